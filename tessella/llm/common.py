@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+#: Rows that a function of :func:`append_columns` may look ahead.
+AHEAD = 256
+
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other character as it is."""
@@ -157,7 +160,9 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, str
     All other columns pass through as Arrow arrays; of the inputs one row at a time is a Python
     object, so memory stays bounded by a batch. ``make`` is called once in each task (to open a
     tokenizer, build a table); what it returns gets a row's inputs and gives a tuple for ``fields``
-    (name, DDL type, Arrow type). A column of ``df`` that has the name of a field is replaced.
+    (name, DDL type, Arrow type). ``make`` may return a pair instead, whose second function sees the
+    first input of some hundred rows before their turn, to prepare for them together. A column of
+    ``df`` that has the name of a field is replaced.
     """
     names = [name for name, _, _ in fields]
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
@@ -166,9 +171,14 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
+        work, ahead = work if isinstance(work, tuple) else (work, None)
         for batch in batches:
             columns = [batch.column(i) for i in inputs_at]
-            made = [work(*[c[i].as_py() for c in columns]) for i in range(batch.num_rows)]
+            made = []
+            for i in range(batch.num_rows):
+                if ahead and i % AHEAD == 0:
+                    ahead(x.as_py() for x in columns[0][i : i + AHEAD])
+                made.append(work(*[c[i].as_py() for c in columns]))
             new = [pa.array([m[k] for m in made], kind) for k, (_, _, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
