@@ -2,4 +2,30 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op5_decontaminate": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        bw AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS g
+               FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM bw),
+        dw AS (SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+               FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+        hits AS (SELECT r, dw.n, i, item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+        words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op6_line_dedup": """
+        WITH d AS (SELECT doc_id, source, row_number() OVER () AS r, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        e AS (SELECT r, doc_id, source, p, l[p] AS line, trim(l[p], ' ' || chr(9) || chr(13)) AS bare FROM (SELECT *, unnest(generate_series(1, len(l))) AS p FROM d)),
+        wide AS (SELECT bare, min(doc_id) AS first FROM e WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 3),
+        m AS (SELECT e.*, coalesce(e.doc_id > wide.first, false) AS gone FROM e LEFT JOIN wide USING (bare)),
+        t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS g, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS clean FROM m GROUP BY r)
+        SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE n END AS INTEGER) AS n_lines, CAST(g AS INTEGER) AS n_removed,
+               CASE WHEN text IS NULL THEN NULL ELSE sha256(clean) END AS text_sha256
+        FROM d JOIN t USING (r)""",
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontam, langid, packing, simhash, vectors
+from tessella.llm import decontam, langid, lines, packing, simhash, toxicity, vectors
 from tessella.llm.common import held_out
 
 
@@ -34,14 +34,28 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and its text without boilerplate."""
+    found = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in packed sequences."""
     return packing.pack(table(spark, sf_dir, "documents")).drop("sequence_length")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~out))
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and near-duplicate class of every vector."""
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_simhash, op5_decontaminate, op7_packing, op10_embedding_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_simhash, op5_decontaminate, op6_line_dedup, op7_packing, op8_toxicity, op10_embedding_dedup)}
