@@ -5,13 +5,26 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import decontam, packing, simhash
+from tessella.llm import decontam, lines, packing, simhash, toxicity
+from tessella.llm.common import held_out
 from tessella.llm.queries import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the toxicity model rejects; it learns as in ``op8_toxicity``."""
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
+    return toxicity.drop_toxic(docs.select(*COLUMNS), toxicity.train(docs, labels))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove boilerplate lines from texts; every document stays."""
+    return lines.remove_boilerplate(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each near-duplicate class."""
     return simhash.drop_near_duplicates(docs.select(*COLUMNS))
@@ -27,7 +40,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing_stage)]
+STAGES = [("toxicity", toxicity_filter), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing_stage)]
 
 #: SQL can express neither the toxicity model nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None

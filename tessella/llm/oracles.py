@@ -28,4 +28,24 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE n END AS INTEGER) AS n_lines, CAST(g AS INTEGER) AS n_removed,
                CASE WHEN text IS NULL THEN NULL ELSE sha256(clean) END AS text_sha256
         FROM d JOIN t USING (r)""",
+    "op9_url_filter": """
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS p FROM pages),
+        r AS (SELECT page_id, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS rest FROM u),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     substr(regexp_extract(rest, '^[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path FROM r),
+        rules(v, rh, rp) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+        fit AS (SELECT page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(v, length(rh || rp)) AS v
+                FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN starts_with(md5(host), '0') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM h LEFT JOIN fit USING (page_id)""",
+    "op4_chat": """
+        WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, t, r, chr(92) || '### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+        e AS (SELECT *, length(role) + length(regexp_replace(role, '[^' || chr(92) || chr(92) || '<:#]', '', 'g')) AS nr,
+                     length(text) + length(regexp_replace(text, '[^' || chr(92) || chr(92) || '<:#]', '', 'g')) AS nt FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(nr + nt + 20) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontam, langid, lines, packing, pii, simhash, toxicity, vectors
+from tessella.llm import chat, decontam, langid, lines, packing, pii, simhash, toxicity, urls, vectors
 from tessella.llm.common import held_out
 
 
@@ -37,6 +37,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: The conversation that the contract adds.
+ADDED_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of every formatted conversation, read back from its output."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    added = spark.createDataFrame(ADDED_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return chat.format_conversations(rows.unionByName(added), outputs=False).select("conv_id", "summary.*")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark contamination of every document."""
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -61,9 +72,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
 
 
+#: The contract's rules: verdict, host, path prefix.
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; hosts whose MD5 digest begins with 0 stand in for a host list."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.select(urls.host_of(F.col("url")).alias("host")).distinct().where(F.md5(F.encode("host", "UTF-8")).startswith("0"))
+    return urls.judge(pages, RULES, listed)
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and near-duplicate class of every vector."""
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_language_id, op3_simhash, op5_decontaminate, op6_line_dedup, op7_packing, op8_toxicity, op10_embedding_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_language_id, op3_simhash, op4_chat, op5_decontaminate, op6_line_dedup, op7_packing, op8_toxicity, op9_url_filter, op10_embedding_dedup)}
