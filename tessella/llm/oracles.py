@@ -4,6 +4,31 @@ from __future__ import annotations
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+#: Kind, rank, pattern and the check on a match ``m`` (``d``: its digits; ``c``: without spaces; ``around``: the text nearby).
+_LUHN = "list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[-i] AS INTEGER) ELSE (CAST(d[-i] AS INTEGER) * 2) // 10 + (CAST(d[-i] AS INTEGER) * 2) % 10 END)) % 10 = 0"
+_MOD97 = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(c, 5) || substr(c, 1, 4), ''), lambda x: CAST(strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x) - 1 AS BIGINT))), lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1"
+_KINDS = (
+    ("email", 0, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", 1, "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(x, 3) AS INTEGER) > 255)) = 0"),
+    ("card", 2, "[0-9](?:[\\x20-]?[0-9])+", f"CASE WHEN length(d) BETWEEN 12 AND 19 THEN {_LUHN} ELSE false END"),
+    ("phone", 3, "\\+[0-9][\\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
+    ("iban", 4, "\\b[A-Z][A-Z][0-9][0-9](?:\\x20?[A-Z0-9]){11,30}\\b", f"length(c) BETWEEN 15 AND 34 AND {_MOD97}"),
+    ("ssn", 5, "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", "NOT regexp_matches(m, '^(?:000|666|9[0-9][0-9])|^[0-9]{3}-00|0000$') AND regexp_matches(lower(around), '(?:^|[^\\pL])(?:ssn|social|security)(?:[^\\pL]|$)')"),
+)
+
+
+def _spans(kind: str, rank: int, pattern: str, check: str) -> str:
+    """All matches of a kind with their places; starts add up the pieces between matches and the matches before."""
+    return f"""SELECT r, '{kind}' AS kind, {rank} AS rank, s AS start, s + length(m) AS stop FROM (
+        SELECT r, m, s, regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ', '') AS c, substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' ' || substr(t, s + length(m) + 1, 40) AS around FROM (
+            SELECT r, t, ms[i] AS m, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (
+                SELECT r, t, ms, gs, unnest(generate_series(1, len(ms))) AS i FROM (
+                    SELECT r, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d)))) WHERE {check}"""
+
+
+_N_KINDS = ", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k, *_ in _KINDS)
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in _KINDS)
+
 ORACLES: dict[str, str] = {
     "op5_decontaminate": f"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
@@ -48,4 +73,18 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(nr + nt + 20) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op1_pii": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+        spans AS ({" UNION ALL ".join(_spans(*k) for k in _KINDS)}),
+        g AS (SELECT r, {_COUNTS}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+                     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 4) AS base FROM spans GROUP BY r)
+        SELECT doc_id, {_N_KINDS}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)""",
+    "op10_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        good AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        walk AS (SELECT vec_id AS id, vec_id AS reached FROM embeddings UNION SELECT id, b FROM walk JOIN links ON reached = a),
+        c AS (SELECT id, min(reached) AS component_id FROM walk GROUP BY id),
+        n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.id = vec_id""",
 }
