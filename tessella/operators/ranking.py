@@ -9,9 +9,20 @@ from tessella.functions.text import token_count
 
 
 def token_budget(rows: DataFrame, text: str, budget: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
-    """Longest prefix whose tokens add up to ``budget`` at most (R7); partitions go by query where ``by`` is given."""
-    window = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(token_count(F.col(text))).over(window)).where(F.col("running") <= budget).drop("running")
+    """Longest prefix whose tokens add up to ``budget`` at most (R7); rows without tokens are left out.
+
+    As each row has a token at least, no more than the first ``budget`` and one can matter: a
+    distributed top-k finds these before the running sum. With ``by`` each of its keys has a budget.
+    """
+    counted = rows.withColumn("__tokens", token_count(F.col(text))).where("__tokens > 0")
+    if by:
+        window = Window.partitionBy(*by).orderBy(*order)
+        counted = counted.withColumn("__rn", F.row_number().over(window)).where(F.col("__rn") <= budget + 1).drop("__rn")
+    else:
+        window = Window.partitionBy(F.lit(1)).orderBy(*order)
+        counted = counted.orderBy(*order).limit(max(budget, 0) + 1)
+    running = F.sum("__tokens").over(window.rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("__running", running).where(F.col("__running") <= budget).drop("__running", "__tokens")
 
 
 def numbered(rows: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "id") -> DataFrame:

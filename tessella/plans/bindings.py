@@ -22,6 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Graph:
     """The stand-in tables over one folder; each is built when asked for."""
 
+    budget = BUDGET
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import context, graph, ranking
+from tessella.operators import context, graph, ranking, sections
 from tessella.plans.bindings import BUDGET, PRELUDE, TOP_K, sql_tokens
 from tessella.plans.catalog import query
 
@@ -21,33 +21,20 @@ def _budget(source: str, order: str, text: str, columns: str, budget: int = BUDG
 # joins on hits
 
 
-def entities_at_hits(g):
-    return g.entity_hits().join(g.nodes().drop("source_ids"), "id").join(graph.degrees(g.edges()), "id", "left").withColumn("rank", F.coalesce("degree", F.lit(0))).drop("degree")
-
-
 _LOCAL_E = "(SELECT pos, nodes.id, entity_type, description, coalesce(degree, 0) AS rank FROM eh JOIN nodes ON nodes.id = eh.id LEFT JOIN degree ON degree.id = eh.id)"
 
 
 @query(PRELUDE + f"SELECT * FROM {_LOCAL_E} x")
 def hits_to_nodes(g):
-    return entities_at_hits(g)
-
-
-def ranked_edges(g):
-    edges = g.edges()
-    return graph.edge_degrees(edges, graph.degrees(edges))
+    return sections.entities_at_hits(g)
 
 
 _GLOBAL_R = "(SELECT pos, ranked.lo, ranked.hi, description, keywords, weight, rank FROM rh JOIN ranked ON ranked.lo = rh.lo AND ranked.hi = rh.hi)"
 
 
-def edges_at_hits(g):
-    return g.edge_hits().join(ranked_edges(g).drop("source_ids"), ["lo", "hi"])
-
-
 @query(PRELUDE + f"SELECT * FROM {_GLOBAL_R} x")
 def hits_to_edges(g):
-    return edges_at_hits(g)
+    return sections.edges_at_hits(g)
 
 
 @query(PRELUDE + "SELECT DISTINCT eh.id, cited.chunk_id FROM eh JOIN cited ON cited.id = eh.id JOIN chunks ON chunks.id = chunk_id")
@@ -75,17 +62,12 @@ def hits_to_chunks(g):
 _ENTITY, _RELATION, _SOURCE = ["entity", "type", "description", "rank"], ["source", "target", "description", "keywords", "weight", "rank"], ["content"]
 
 
-def local_entity_rows(g):
-    rows = entities_at_hits(g).select("pos", F.col("id").alias("entity"), F.col("entity_type").alias("type"), "description", "rank")
-    return ranking.numbered(rows, [F.col("pos")]).drop("pos")
-
-
 _LE = f"(SELECT row_number() OVER (ORDER BY pos) - 1 AS id, x.id AS entity, entity_type AS type, description, rank FROM {_LOCAL_E} x)"
 
 
 @query(PRELUDE + f"SELECT * FROM {_LE} x")
 def local_entities(g):
-    return local_entity_rows(g)
+    return sections.local_entity_rows(g)
 
 
 _RELATED = "(SELECT * FROM ranked WHERE lo IN (SELECT id FROM eh) OR hi IN (SELECT id FROM eh))"
@@ -93,21 +75,7 @@ _RELATED = "(SELECT * FROM ranked WHERE lo IN (SELECT id FROM eh) OR hi IN (SELE
 
 @query(PRELUDE + f"SELECT lo, hi, rank, weight FROM {_RELATED} x")
 def related_edges(g):
-    return ranking.related_edges(g.entity_hits(), ranked_edges(g)).select("lo", "hi", "rank", "weight")
-
-
-
-def _edge_order():
-    return [F.desc("rank"), F.desc("weight"), F.col("lo"), F.col("hi")]
-
-
-def _edge_section(rows):
-    kept = ranking.token_budget(rows, "description", BUDGET, _edge_order())
-    return ranking.numbered(kept, _edge_order()).select("id", F.col("lo").alias("source"), F.col("hi").alias("target"), "description", "keywords", "weight", "rank")
-
-
-def local_relation_rows(g):
-    return _edge_section(ranking.related_edges(g.entity_hits(), ranked_edges(g)))
+    return ranking.related_edges(g.entity_hits(), sections.ranked_edges(g)).select("lo", "hi", "rank", "weight")
 
 
 _EDGE_COLUMNS = "lo AS source, hi AS target, description, keywords, weight, rank"
@@ -116,12 +84,7 @@ _LR = _budget(_RELATED, "rank DESC, weight DESC, lo, hi", "description", _EDGE_C
 
 @query(PRELUDE + f"SELECT * FROM {_LR} x")
 def local_relations(g):
-    return local_relation_rows(g)
-
-
-def entity_chunk_rows(g):
-    found = ranking.chunks_of_entities(g.entity_hits(), g.nodes(), graph.adjacency(g.edges()))
-    return found.join(g.chunks().withColumnRenamed("id", "chunk_id"), "chunk_id")
+    return sections.local_relation_rows(g)
 
 
 _CHUNKS_E = """(SELECT l.chunk_id, l.place, coalesce(n, 0) AS relations, content FROM (SELECT chunk_id, max(pos) AS place, max_by(eh.id, pos) AS id FROM eh JOIN cited ON cited.id = eh.id GROUP BY chunk_id) l
@@ -131,12 +94,7 @@ _CHUNKS_E = """(SELECT l.chunk_id, l.place, coalesce(n, 0) AS relations, content
 
 @query(PRELUDE + f"SELECT chunk_id, place, relations FROM {_CHUNKS_E} x")
 def related_chunks_entity(g):
-    return entity_chunk_rows(g).select("chunk_id", F.col("at").alias("place"), "relations")
-
-
-def local_source_rows(g):
-    order = [F.col("at"), F.desc("relations"), F.col("chunk_id")]
-    return ranking.numbered(ranking.token_budget(entity_chunk_rows(g), "content", BUDGET, order), order).select("id", "content")
+    return sections.entity_chunk_rows(g).select("chunk_id", F.col("at").alias("place"), "relations")
 
 
 _LS = _budget(_CHUNKS_E, "place, relations DESC, chunk_id", "content", "content")
@@ -144,11 +102,7 @@ _LS = _budget(_CHUNKS_E, "place, relations DESC, chunk_id", "content", "content"
 
 @query(PRELUDE + f"SELECT * FROM {_LS} x")
 def local_sources(g):
-    return local_source_rows(g)
-
-
-def edge_chunk_rows(g):
-    return ranking.chunks_of_edges(g.edge_hits(), g.edges()).join(g.chunks().withColumnRenamed("id", "chunk_id"), "chunk_id")
+    return sections.local_source_rows(g)
 
 
 _CHUNKS_R = "(SELECT chunk_id, place, content FROM (SELECT chunk_id, min(pos) AS place FROM (SELECT rh.pos, unnest(edges.source_ids) AS chunk_id FROM rh JOIN edges ON edges.lo = rh.lo AND edges.hi = rh.hi) GROUP BY chunk_id) s JOIN chunks ON chunks.id = chunk_id)"
@@ -156,11 +110,7 @@ _CHUNKS_R = "(SELECT chunk_id, place, content FROM (SELECT chunk_id, min(pos) AS
 
 @query(PRELUDE + f"SELECT chunk_id, place FROM {_CHUNKS_R} x")
 def related_chunks_edge(g):
-    return edge_chunk_rows(g).select("chunk_id", F.col("at").alias("place"))
-
-
-def global_relation_rows(g):
-    return _edge_section(edges_at_hits(g))
+    return sections.edge_chunk_rows(g).select("chunk_id", F.col("at").alias("place"))
 
 
 _GR = _budget(_GLOBAL_R, "rank DESC, weight DESC, lo, hi", "description", _EDGE_COLUMNS)
@@ -168,18 +118,12 @@ _GR = _budget(_GLOBAL_R, "rank DESC, weight DESC, lo, hi", "description", _EDGE_
 
 @query(PRELUDE + f"SELECT * FROM {_GR} x", name="global_relations")
 def global_relations(g):
-    return global_relation_rows(g)
+    return sections.global_relation_rows(g)
 
 
 @query(PRELUDE + f"SELECT lo, hi, rank, weight FROM {_GLOBAL_R} x ORDER BY rank DESC, weight DESC, lo, hi")
 def global_edges(g):
-    return edges_at_hits(g).select("lo", "hi", "rank", "weight").orderBy(*_edge_order())
-
-
-def global_entity_rows(g):
-    ends = ranking.endpoints(g.edge_hits()).join(g.nodes().drop("source_ids"), "id").join(graph.degrees(g.edges()).withColumnRenamed("degree", "rank"), "id")
-    kept = ranking.token_budget(ends, "description", BUDGET, [F.col("at")]).withColumnRenamed("id", "entity")
-    return ranking.numbered(kept, [F.col("at")]).select("id", "entity", F.col("entity_type").alias("type"), "description", "rank")
+    return sections.edges_at_hits(g).select("lo", "hi", "rank", "weight").orderBy(*sections.edge_order())
 
 
 _GE = _budget(f"(SELECT e.id AS entity, e.place, entity_type, description, degree AS rank FROM {_ENDS} e JOIN nodes ON nodes.id = e.id JOIN degree ON degree.id = e.id)", "place", "description", "entity, entity_type AS type, description, rank")
@@ -187,12 +131,7 @@ _GE = _budget(f"(SELECT e.id AS entity, e.place, entity_type, description, degre
 
 @query(PRELUDE + f"SELECT * FROM {_GE} x")
 def global_entities(g):
-    return global_entity_rows(g)
-
-
-def global_source_rows(g):
-    order = [F.col("at"), F.col("chunk_id")]
-    return ranking.numbered(ranking.token_budget(edge_chunk_rows(g), "content", BUDGET, order), order).select("id", "content")
+    return sections.global_entity_rows(g)
 
 
 _GS = _budget(_CHUNKS_R, "place, chunk_id", "content", "content")
@@ -200,7 +139,7 @@ _GS = _budget(_CHUNKS_R, "place, chunk_id", "content", "content")
 
 @query(PRELUDE + f"SELECT * FROM {_GS} x")
 def global_sources(g):
-    return global_source_rows(g)
+    return sections.global_source_rows(g)
 
 
 def _combined_sql(first: str, second: str, columns: str) -> str:
@@ -209,17 +148,17 @@ def _combined_sql(first: str, second: str, columns: str) -> str:
 
 @query(PRELUDE + _combined_sql(_GE, _LE, "entity, type, description, rank"))
 def hybrid_entities(g):
-    return context.combine(global_entity_rows(g), local_entity_rows(g), _ENTITY)
+    return context.combine(sections.global_entity_rows(g), sections.local_entity_rows(g), _ENTITY)
 
 
 @query(PRELUDE + _combined_sql(_GR, _LR, "source, target, description, keywords, weight, rank"))
 def hybrid_relations(g):
-    return context.combine(global_relation_rows(g), local_relation_rows(g), _RELATION)
+    return context.combine(sections.global_relation_rows(g), sections.local_relation_rows(g), _RELATION)
 
 
 @query(PRELUDE + _combined_sql(_GS, _LS, "content"))
 def hybrid_sources(g):
-    return context.combine(global_source_rows(g), local_source_rows(g), _SOURCE)
+    return context.combine(sections.global_source_rows(g), sections.local_source_rows(g), _SOURCE)
 
 
 @query("SELECT row_number() OVER (ORDER BY side, n) AS id, name, region FROM (SELECT name, region, min(side) AS side, min_by(n, side) AS n FROM (SELECT 0 AS side, n_nationkey AS n, n_name AS name, n_regionkey AS region FROM nation WHERE n_nationkey < 15 UNION ALL SELECT 1, n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey > 8) GROUP BY name, region)")
@@ -228,16 +167,12 @@ def combine_contexts(g):
     return context.combine(rows.where("id < 15"), rows.where("id > 8"), ["name", "region"])
 
 
-def naive_rows(g):
-    return ranking.token_budget(g.chunk_hits().join(g.chunks(), "id").where("content is not null"), "content", BUDGET, [F.col("pos")])
-
-
 _NAIVE = f"(SELECT pos, content FROM (SELECT *, sum({_tok('content')}) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT pos, content FROM ch JOIN chunks ON chunks.id = ch.id)) WHERE running <= {BUDGET})"
 
 
 @query(PRELUDE + f"SELECT string_agg(content, chr(10) || '--New Chunk--' || chr(10) ORDER BY pos) AS context FROM {_NAIVE} x")
 def naive_context(g):
-    return context.joined_chunks(naive_rows(g), place="pos")
+    return context.joined_chunks(sections.naive_rows(g), place="pos")
 
 
 @query(PRELUDE + f"SELECT pos, '[Time: 2024-01-01 00:00:' || lpad(CAST(pos AS VARCHAR), 2, '0') || ']' || chr(10) || content AS content FROM (SELECT pos, content FROM ch JOIN chunks ON chunks.id = ch.id WHERE pos < {min(10, TOP_K)}) x")
@@ -256,13 +191,13 @@ def token_budget(g):
     return ranking.token_budget(rows, "text", 3000, [F.col("doc_id")], ["source"]).select("doc_id", "source")
 
 
-_SCORES = "scores AS (SELECT doc_id AS id, source AS query_id, CAST(length(text) AS DOUBLE) AS score FROM documents)"
-
-
 def _scores(g):
     return g.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("query_id"), F.length("text").cast("double").alias("score"))
 
 
+_SCORES = "scores AS (SELECT doc_id AS id, source AS query_id, CAST(length(text) AS DOUBLE) AS score FROM documents)"
+
+
 @query(f"WITH {_SCORES}, r AS (SELECT *, row_number() OVER w AS rn, lag(score) OVER w AS before FROM scores WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)), f AS (SELECT *, max(CASE WHEN rn > 5 AND NOT (score > before / 1.1) THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS failed FROM r) SELECT id, query_id, score, rn FROM f WHERE failed = 0")
 def gradient_select(g):
     return ranking.gradient_select(_scores(g), 5, 1.1)

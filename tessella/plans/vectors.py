@@ -81,4 +81,4 @@ def cache_similar(g):
 
 @query()
 def lsh_near(g):
-    return search.lsh_pairs(g.vectors(), 0.3)
+    return search.lsh_pairs(g.vectors(), 1.1)
