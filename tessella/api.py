@@ -36,14 +36,12 @@ _MENTIONS = "name string, entity_type string, description string, chunk_id strin
 _EDGE_MENTIONS = "src string, tgt string, weight double, description string, keywords string, chunk_id string, pos long"
 
 
-def _schemas() -> dict:
-    from pyspark.sql.types import StructType
-
-    vectors = StructType.fromDDL("id string, vector array<float>")
+def _schemas() -> dict[str, str]:
+    vectors = "id string, vector array<float>"
     return {
-        "full_docs": schemas.FULL_DOCS, "doc_status": StructType.fromDDL("id string, status string"), "text_chunks": schemas.TEXT_CHUNKS, "node_mentions": StructType.fromDDL(_MENTIONS),
-        "edge_mentions": StructType.fromDDL(_EDGE_MENTIONS), "nodes": schemas.NODES, "edges": schemas.EDGES, "chunk_vectors": vectors, "node_vectors": vectors,
-        "edge_vectors": StructType.fromDDL("id string, lo string, hi string, vector array<float>"),
+        "full_docs": schemas.FULL_DOCS, "doc_status": "id string, status string", "text_chunks": schemas.TEXT_CHUNKS, "node_mentions": _MENTIONS,
+        "edge_mentions": _EDGE_MENTIONS, "nodes": schemas.NODES, "edges": schemas.EDGES, "chunk_vectors": vectors, "node_vectors": vectors,
+        "edge_vectors": "id string, lo string, hi string, vector array<float>",
     }
 
 
@@ -69,7 +67,7 @@ class GraphRetrieval:
         cut = chunking.by_tokens(new.select(F.col("id").alias("doc_id"), F.col("content").alias("text")), self.size, self.overlap)
         # equal chunks of a document are one, the last place wins
         cut = cut.groupBy("id").agg(F.max_by(F.struct("tokens", "content", F.col("doc_id").alias("full_doc_id"), "chunk_order_index"), F.struct("doc_id", "chunk_order_index")).alias("c")).select("id", "c.*")
-        chunks = graph.checkpoint(cut.select(*schemas.TEXT_CHUNKS.names).join(read("text_chunks").select("id"), "id", "left_anti"))
+        chunks = graph.checkpoint(cut.select(*schemas.names(schemas.TEXT_CHUNKS)).join(read("text_chunks").select("id"), "id", "left_anti"))
         answers = graph.checkpoint(hooks.extracted(chunks, self.complete))
         nodes = extraction.entities(answers).select(F.col("entity_name").alias("name"), "entity_type", "description", "chunk_id", F.col("pos").cast("long").alias("pos"))
         edges = extraction.relationships(answers).select(F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"), "weight", "description", "keywords", "chunk_id", F.col("pos").cast("long").alias("pos"))
@@ -91,7 +89,7 @@ class GraphRetrieval:
     def _commit_graph(self, node_mentions: DataFrame, edge_mentions: DataFrame, **others: DataFrame) -> None:
         node_mentions, edge_mentions = graph.checkpoint(node_mentions), graph.checkpoint(edge_mentions)
         nodes, edges = graph.merge_nodes(node_mentions), graph.checkpoint(graph.merge_edges(edge_mentions))
-        nodes = graph.checkpoint(nodes.select(*schemas.NODES.names).unionByName(graph.placeholders(edges, nodes).select(*schemas.NODES.names)))
+        nodes = graph.checkpoint(nodes.select(*schemas.names(schemas.NODES)).unionByName(graph.placeholders(edges, nodes).select(*schemas.names(schemas.NODES))))
         chunks = graph.checkpoint(others.pop("text_chunks", self.store.read("text_chunks")))
         node_text = nodes.select("id", F.concat("id", "description").alias("content"))
         edge_text = graph.relation_ids(edges).select("id", "lo", "hi", F.concat("keywords", "lo", "hi", "description").alias("content"))

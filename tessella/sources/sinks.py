@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tessella.functions.text import SEP
 
@@ -88,7 +87,7 @@ class TableStore:
         except AnalysisException:
             return {}
 
-    def create(self, schemas: dict[str, StructType]) -> None:
+    def create(self, schemas: dict[str, str]) -> None:
         """Empty tables for names that have none yet."""
         known = self.current()
         missing = {n: self.spark.createDataFrame([], s) for n, s in schemas.items() if n not in known}
