@@ -21,19 +21,21 @@ from tessella.llm.common import rows_as_batches, shuffle_width
 
 #: The template: what begins a turn, parts role and text, and ends a turn.
 BEGIN, PART, END = "<turn>### ", ": ", "</turn>\n"
-#: Characters that begin a control string, escaped inside roles and texts by a backslash.
+#: How characters of control strings are written inside roles and texts, where they then never stand.
+_WRITTEN = {"\\": "\\\\", "<": "\\l", ":": "\\c", "#": "\\h"}
+_READ = {written: character for character, written in _WRITTEN.items()}
 _SPECIAL = re.compile(r"[\\<:#]")
-_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
+_ESCAPED = re.compile(r"\\[\\lch]")
 #: Characters of a conversation that are encoded at a time; longer ones are cut between turns.
 PART_CHARS = 4_000_000
 
 
 def escape(text: str) -> str:
-    return _SPECIAL.sub(r"\\\g<0>", text)
+    return _SPECIAL.sub(lambda m: _WRITTEN[m[0]], text)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(lambda m: _READ[m[0]], text)
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -51,11 +53,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     """Roles and texts that :func:`render` formatted."""
     turns, at = [], 0
     while at < len(formatted):
-        end = formatted.index(END, at)  # an escaped text has no such string
+        end = formatted.index(END, at)  # a written text has no "<", a written role no ":"
         role, _, text = formatted[at + len(BEGIN) : end].partition(PART)
-        while role.endswith("\\") and (len(role) - len(role.rstrip("\\"))) % 2:  # an escaped colon belongs to the role
-            more, _, text = text.partition(PART)
-            role += PART + more
         turns.append((unescape(role), unescape(text)))
         at = end + len(END)
     return turns
