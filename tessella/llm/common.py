@@ -154,6 +154,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component").distinct())
 
 
+def shielded(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its columns of the given names renamed, and what selects all its columns under their own names again."""
+    aside = {c: f"__own_{c}" for c in df.columns if c in names}
+    return df.withColumnsRenamed(aside), [F.col(f"`{aside.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def append_columns(df: DataFrame, inputs: list[str], fields: list[tuple[str, str, pa.DataType]], make: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """Add columns that a per-row Python function computes, without a shuffle.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import append_columns
+from tessella.llm.common import append_columns, shielded
 
 #: Maps each byte that is not part of a word to a space, and A-Z to a-z; bytes from 0x80 are word characters.
 _WORD_BYTES = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -144,4 +144,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, per: i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, per: int = 20) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, with their columns (a null text is clean)."""
-    return benchmark_hits(docs, benchmark, width).where(~is_contaminated(per)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    free, own = shielded(docs, ["n_words", "hits", "items"])
+    return benchmark_hits(free, benchmark, width).where(~is_contaminated(per)).select(*own)

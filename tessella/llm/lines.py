@@ -57,8 +57,8 @@ def remove_boilerplate(docs: DataFrame, sites: int = 3, precision: int = 12) ->
     """
     gone = boilerplate(docs.select("doc_id", "text", "source"), sites, precision)
     gone = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("__gone"))
-    keyed = docs.drop("n_lines", "n_removed").withColumn("text_hash", F.xxhash64("text"))
-    joined = keyed.join(gone.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), (F.col("doc_id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    keyed = docs.drop("n_lines", "n_removed").withColumn("__text_hash", F.xxhash64("text"))
+    joined = keyed.join(gone.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
     before = F.when(F.col("__gone").isNotNull(), F.col("__gone"))
     mask = F.flatten(F.transform(before, lambda at, k: F.concat(F.array_repeat(F.lit(False), at - F.coalesce(F.get(before, k - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
     masked = joined.withColumn("__mask", mask)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import append_columns
+from tessella.llm.common import append_columns, shielded
 from tessella.llm.langid import tokens_of
 
 #: Lengths of the prefixes that words share evidence by.
@@ -272,6 +272,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose score is below the threshold, with their columns."""
-    clash = {c: f"__doc_{c}" for c in docs.columns if c in [f[0] for f in FIELDS]}
-    kept = score(docs.withColumnsRenamed(clash), model).where(F.col("score") < threshold)
-    return kept.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
+    free, own = shielded(docs, [f[0] for f in FIELDS])
+    return score(free, model).where(F.col("score") < threshold).select(*own)
