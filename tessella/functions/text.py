@@ -23,9 +23,8 @@ def hash_id(prefix: str, text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """White-space tokens of a text; none for a blank one."""
-    bare = strip(F.coalesce(text, F.lit("")))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"(?U)\s+"))
+    """White-space tokens of a text, in one pass; none for a blank one."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", -1), lambda t: t != "")
 
 
 def token_count(text: Column) -> Column:

@@ -45,11 +45,12 @@ def by_separator_then_tokens(docs: DataFrame, separator: str, size: int = 1200,
     """Pieces between separators, those of over ``size`` tokens cut to windows, numbered through."""
 
     def cut(piece: Column) -> Column:
-        words = tokens(piece)
-        whole = F.array(F.struct(F.size(words).alias("tokens"), strip(piece).alias("content")))
+        words = piece["words"]
+        whole = F.array(F.struct(F.size(words).alias("tokens"), strip(piece["text"]).alias("content")))
         return F.when(F.size(words) > size, windows(words, size, overlap)).otherwise(whole)
 
-    return _numbered(docs, key, F.flatten(F.transform(pieces(F.col("text"), separator), cut)))
+    split = F.transform(pieces(F.col("text"), separator), lambda p: F.struct(p.alias("text"), tokens(p).alias("words")))
+    return _numbered(docs.withColumn("__p", split), key, F.flatten(F.transform("__p", cut)))
 
 
 def by_characters(docs: DataFrame, size: int = 300, overlap: int = 50, key: str = "doc_id") -> DataFrame:
