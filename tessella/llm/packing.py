@@ -27,12 +27,15 @@ from tessella.llm.common import rows_as_batches
 
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
+#: Fixed value: the control string of the vocabulary and its id.
+CONTROL = {"<|endoftext|>": 50256}
+
 #: Sequence ids of a task begin at its partition number times this.
 IDS_PER_TASK = 1 << 36
 
 
 def vocabulary_encoder(ranks_file: str | None = None):
-    """Encoder of the public 50k byte-level BPE, control strings being ordinary text.
+    """Encoder of the public 50k byte-level BPE; its control string in a text gets its own id.
 
     The ranks file holds the vocabulary of ``byte_bpe_50k.json``; its ids are the same, several
     times faster (the tests compare the two).
@@ -41,8 +44,8 @@ def vocabulary_encoder(ranks_file: str | None = None):
 
     with open(ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("public_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return encoding.encode_ordinary
+    encoding = tiktoken.Encoding("public_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=CONTROL)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 def attention_cost(length: int, linear: float, quadratic: float) -> float:
