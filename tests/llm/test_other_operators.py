@@ -125,7 +125,7 @@ def test_packing_encoder_is_the_json_vocabulary():
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = packing.vocabulary_encoder()
     rng = random.Random(6)
-    texts = [*NASTY, "x <|endoftext|> y<|endoftext|><|endoftext|>", "I'll we've  it's\t\t x\r\n", "ﬀ ① ½ ٣ 한국어 ‍👩‍👩‍👧 á", "a" * 3000, " " * 500, "".join(chr(rng.choice([*range(32, 1000), *range(0x4E00, 0x4E80)])) for _ in range(3000))]
+    texts = [*NASTY, "x <|endoftext|> y<|endoftext|><|endoftext|>", "I'll we've  it's\t\t x\r\n", "ﬀ ① ½ ٣ 한국어 ‍👩‍👩‍👧 á", "a" * 3000, " " * 500, " " * 1_200_000 + "x", "\n" * 1_200_000, "".join(chr(rng.choice([*range(32, 1000), *range(0x4E00, 0x4E80)])) for _ in range(3000))]
     for text in texts:
         assert encode(text) == reference.encode(text, add_special_tokens=False).ids
 
