@@ -62,10 +62,13 @@ def test_language_of_held_out_documents(spark):
     model = langid.train(docs.where(~out))
     got = langid.identify(docs.where(out).select("doc_id", "text", "lang"), model)
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !!"), (4, "¿§…"), (5, "the of and " * 5000)], DOCS)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !! ½ Ⅷ ²"), (4, "¿§…"), (5, "the of and " * 5000)], DOCS)
     rows = {r.doc_id: r for r in langid.identify(odd, model).collect()}
     assert [rows[i].lang_pred for i in range(1, 6)] == ["und", "und", "und", "und", "en"]
     assert all(0 <= r.score <= 1 for r in rows.values())
+    long = spark.createDataFrame([(1, "漢字" * 40_000), (2, " ".join(f"the{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}of" for i in range(3000))), (3, None)], DOCS)
+    wide = {r.doc_id: (r.lang_pred, round(r.cross_entropy or 0, 6)) for r in langid.identify(long, model).collect()}
+    assert wide == {r.doc_id: (r.lang_pred, round(r.cross_entropy or 0, 6)) for r in langid.identify(long, model, cache=50).collect()}
 
 
 def test_language_probabilities_follow_interpolation(spark):
