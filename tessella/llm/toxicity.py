@@ -28,6 +28,8 @@ PREFIXES = (4, 5, 6)
 MAX_LABELLED = 40_000
 #: What missing a toxic row costs in calibration, against flagging another one.
 MISSED = 3.0
+#: Characters of a word that count; also bytes of a token up to which its score is remembered.
+LONGEST = 64
 #: Distinct features that a task holds before it passes their counts on.
 HELD = 300_000
 
@@ -35,7 +37,7 @@ HELD = 300_000
 def features(token: bytes) -> list[bytes]:
     """From the shortest prefix to the whole word; characters, not bytes, are counted."""
     word = token.decode("utf-8", "replace")
-    return [b"%d:" % n + word[:n].encode() for n in PREFIXES if len(word) > n] + [b"w:" + token]
+    return [b"%d:" % n + word[:n].encode() for n in PREFIXES if len(word) > n] + [b"w:" + word[:LONGEST].encode()]
 
 
 @dataclass
@@ -78,7 +80,9 @@ class Model:
             s = memo.get(t)
             if s is None:
                 s = self.token(t)
-                s = memo[t] = s if s > 1.0 else -self.step
+                s = s if s > 1.0 else -self.step
+                if len(t) <= LONGEST:
+                    memo[t] = s
             out.append(s)
         return out
 
