@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, errors: int = 3, shingle: int = 3, subtree:
     fingerprint zero, which links like any other. Equal fingerprints are one node, so a group of
     copies of any size costs one row after the first aggregation.
     """
-    prints = checkpoint(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fingerprint"))
+    prints = checkpoint(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fingerprint"))
     distinct = checkpoint(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
     components = connected_components(linked_fingerprints(distinct, errors, subtree))
     classes = distinct.join(components, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
