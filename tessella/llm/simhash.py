@@ -24,26 +24,35 @@ from tessella.llm.common import append_columns, checkpoint, connected_components
 SUBTREE = 20_000
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of a text's word shingles, unsigned; zero if it has no words.
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 hashes of a text's word shingles, repeats included, in arrays of at most 65,536.
 
-    Words are runs without ASCII white space after lower-casing A-Z; a bit is set if it is in over
-    half of the shingles' XXH64 hashes, repeats included.
+    Words are runs without ASCII white space after lower-casing A-Z; fewer words than ``shingle``
+    are one shingle, and no word gives no hash.
     """
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(len(words) - shingle + 1, 1)
     stops = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, dtype=np.int64)
     first, last = starts[:n].tolist(), stops.tolist()
     for at in range(0, n, 1 << 16):
-        hashes = np.array([digest(line[a:b], seed) for a, b in zip(first[at : at + (1 << 16)], last[at : at + (1 << 16)], strict=True)], dtype="<u8")
+        yield np.array([digest(line[a:b], seed) for a, b in zip(first[at : at + (1 << 16)], last[at : at + (1 << 16)], strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of a text's word shingles, unsigned; zero if it has no words.
+
+    A bit is set if it is in over half of the hashes of :func:`shingle_hashes`.
+    """
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, shingle, seed):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 

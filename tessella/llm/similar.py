@@ -1,0 +1,128 @@
+"""Near copies by exact similarity of word shingles, found by MinHash bands.
+
+Texts whose sets of five-word shingles have a Jaccard similarity of ``threshold`` or more are linked.
+Candidates share one of ``BANDS`` bands of ``ROWS`` MinHash values; a pair of similarity s shares none
+with probability ``(1 - s ** ROWS) ** BANDS``, 3e-6 at 0.8. In each bucket of a band all pairs are
+then compared by their whole shingle sets, but for those that links already connect.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessella.llm.common import append_columns, checkpoint, connected_components, group_bounds, shuffle_width, whole_groups
+from tessella.llm.simhash import shingle_hashes
+
+BANDS, ROWS = 32, 5
+#: Shingles of the texts in a block of a bucket; larger buckets are compared block against block.
+BLOCK = 1 << 20
+
+_RANDOM = np.random.default_rng(42)
+_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MIX = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted; a text of fewer words is one shingle, one without words has none."""
+    parts = list(shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """Hash of each band of the MinHash signature."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, (shingles[at : at + 2048, None] * _TIMES + _PLUS).min(axis=0))
+    mixed = least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(31))
+    return (mixed * _MIX).sum(axis=1, dtype=np.uint64).astype(np.int64)
+
+
+def similar_components(sets: list[np.ndarray], threshold: float, label: np.ndarray | None = None) -> np.ndarray:
+    """Smallest index that links of at least ``threshold`` reach from each set; pairs already connected are not compared."""
+    n = len(sets)
+    label = np.arange(n) if label is None else label
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    flat, token = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    own = [token[b - k : b] for b, k in zip(ends, size, strict=True)]
+    mark = np.zeros(len(flat), dtype=bool)
+    for i in range(n - 1):
+        fits = (label != label[i]) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]) - 1e-9)
+        fits[: i + 1] = False
+        others = np.flatnonzero(fits)
+        if not len(others):
+            continue
+        mark[own[i]] = True
+        shared = np.array([np.count_nonzero(mark[own[j]]) for j in others])
+        mark[own[i]] = False
+        near = others[shared >= threshold * (size[others] + size[i] - shared) - 1e-9]
+        if len(near):
+            joined = np.isin(label, label[np.append(near, i)])
+            label[joined] = label[joined].min()
+    return label
+
+
+def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, block: int = BLOCK) -> DataFrame:
+    """Classes of near copies of whole documents ``docs(doc_id, text)``.
+
+    One row per row of ``docs``: ``doc_id, component_id`` (smallest doc_id that links of similarity
+    ``threshold`` or more reach, itself included). Null texts, empty ones and those without words
+    are copies of each other. Equal texts are one node from the first aggregation on.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text")).withColumns({"key": F.xxhash64("text"), "key2": F.xxhash64("text", F.lit(1))})
+
+    def make():
+        def one(text):
+            own = shingle_set(text, shingle)
+            return len(own), bands(own).tolist()
+
+        return one
+
+    sketched = append_columns(keyed, ["text"], [("size", "long", pa.int64()), ("bands", "array<long>", pa.list_(pa.int64()))], make)
+    prints = checkpoint(sketched.select("doc_id", "key", "key2", "size", "bands"))
+    nodes = checkpoint(prints.groupBy("key", "key2").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    in_band = nodes.where("node is not null").select("node", "key", "key2", "size", F.posexplode("bands").alias("band", "value"))
+    buckets = in_band.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.sum(F.xxhash64("key", "key2").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    # bands with the same members are compared once
+    apart = checkpoint(buckets.groupBy("n", "total", "members").agg(F.min(F.struct("band", "value")).alias("at")).select("at.band", "at.value", F.greatest(F.lit(1), F.ceil(F.col("total") / block)).cast("int").alias("blocks")))
+    placed = in_band.join(apart, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("key2", "node"), "blocks").cast("int"))
+    against = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
+    dealt = placed.withColumn("other", F.explode(against))
+    dealt = dealt.select(F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "key", "key2")
+    texts = keyed.select(F.col("doc_id").alias("node"), "key", "key2", "text")
+    rows = dealt.join(texts, ["node", "key", "key2"]).select("bucket", "node", "text")
+    sorted_ = rows.repartition(shuffle_width(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    components = connected_components(sorted_.mapInArrow(_compare(threshold, shingle), "a long, b long"))
+    classes = nodes.join(components, "node", "left").select("key", "key2", F.coalesce("component", "node").alias("component_id"))
+    return prints.select("doc_id", "key", "key2").join(checkpoint(classes), ["key", "key2"]).select("doc_id", "component_id")
+
+
+def _compare(threshold: float, shingle: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["bucket"], 2_000):
+            node = table.column("node").to_numpy()
+            bounds = group_bounds(table.column("bucket").to_numpy())
+            a, b = [], []
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                label = similar_components([shingle_set(t.as_py(), shingle) for t in table.column("text")[low:high]], threshold)
+                moved = np.flatnonzero(label != np.arange(high - low))
+                a.append(node[low + moved])
+                b.append(node[low + label[moved]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+
+    return run
+
+
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One document of each class, that of the smallest doc_id, with all columns of ``docs``; repeated rows of an id stay together."""
+    gone = near_copies(docs, threshold, shingle).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
