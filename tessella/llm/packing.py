@@ -31,6 +31,9 @@ SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long,
 #: Fixed value: the control string of the vocabulary and its id.
 CONTROL = {"<|endoftext|>": 50256}
 
+#: Stands where no sequence is open; dearer than any.
+NONE = (float("inf"), -1)
+
 #: Sequence ids of a task begin at its partition number times this.
 IDS_PER_TASK = 1 << 36
 
@@ -68,6 +71,42 @@ def attention_cost(length: int, linear: float, quadratic: float) -> float:
     return linear * length + quadratic * length * length
 
 
+class Cheapest:
+    """Open sequences by the room they have left: a heap for each room, and a tree of the least over ranges of rooms."""
+
+    def __init__(self, capacity: int):
+        self.width = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.least: list[tuple[float, int]] = [NONE] * (2 * self.width)
+
+    def add(self, room: int, cost: float, k: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, k))
+        self._renew(room)
+
+    def take(self, length: int) -> tuple[float, int] | None:
+        """Remove and return ``(cost, k)`` of the cheapest sequence with room for ``length``, the lowest k of equals."""
+        low, high, node = length + self.width, 2 * self.width, 0
+        while low < high:  # the right border is that of the tree, so only left borders are looked at
+            if low & 1:
+                node = low if self.least[low] < self.least[node] else node
+                low += 1
+            low, high = low >> 1, high >> 1
+        if self.least[node] == NONE:
+            return None
+        while node < self.width:
+            node = 2 * node if self.least[2 * node] == self.least[node] else 2 * node + 1
+        found = heapq.heappop(self.heaps[node - self.width])
+        self._renew(node - self.width)
+        return found
+
+    def _renew(self, room: int) -> None:
+        node = room + self.width
+        self.least[node] = self.heaps[room][0] if self.heaps[room] else NONE
+        while node > 1:
+            node >>= 1
+            self.least[node] = min(self.least[2 * node], self.least[2 * node + 1])
+
+
 def pack_round(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 512) -> list[tuple[int, int, int, int, int]]:
     """Place documents of the given token counts; returns ``(document, start, length, sequence, offset)``.
 
@@ -91,33 +130,21 @@ def pack_round(lengths: list[int], capacity: int, linear: float = 1.0, quadratic
     pieces.sort(key=lambda p: (-p[0], p[1]))
     used = [0] * len(sizes)
     cost = [0.0] * len(sizes)
-    heap = [(0.0, k) for k in range(len(sizes))]
-    heapq.heapify(heap)
-
-    def put(k: int, length: int, document: int, start: int) -> None:
-        placed.append((document, start, length, sequences + k, used[k]))
-        used[k] += length
-        cost[k] += attention_cost(length, linear, quadratic)
-
+    cheapest = Cheapest(capacity)
+    for k, size in enumerate(sizes):
+        cheapest.add(size, 0.0, k)
     for length, document, start in pieces:
-        passed = []
         while length:
-            if heap and sizes[heap[0][1]] - used[heap[0][1]] < length and len(passed) < 64:
-                passed.append(heapq.heappop(heap))  # no room in the cheapest: look at the next
-                continue
-            if heap and sizes[heap[0][1]] - used[heap[0][1]] >= length:
-                k = heapq.heappop(heap)[1]
-                taken = length
-            else:  # none has room: fill the cheapest that was passed, and go on with the rest
-                k = passed.pop(0)[1] if passed else heapq.heappop(heap)[1]
-                taken = min(length, sizes[k] - used[k])
-            put(k, taken, document, start)
+            found = cheapest.take(length) or cheapest.take(1)  # none has room: fill the cheapest, and go on with the rest
+            k = found[1]
+            taken = min(length, sizes[k] - used[k])
+            placed.append((document, start, taken, sequences + k, used[k]))
+            used[k] += taken
+            cost[k] += attention_cost(taken, linear, quadratic)
             if used[k] < sizes[k]:
-                heapq.heappush(heap, (cost[k], k))
+                cheapest.add(sizes[k] - used[k], cost[k], k)
             length -= taken
             start += taken
-        for entry in passed:
-            heapq.heappush(heap, entry)
     return placed
 
 
