@@ -26,6 +26,10 @@ from tessella.llm.langid import tokens_of
 PREFIXES = (4, 5, 6)
 #: Labelled rows to fit on, at most; those of the smallest hash of their id.
 MAX_LABELLED = 40_000
+#: Odds of a feature against those of the class, above which it is kept.
+LEADING = 4.0
+#: Probability that a feature is in toxic rows alone by chance, above which its occurrences are too few.
+CHANCE = 0.02
 #: What missing a toxic row costs in calibration, against flagging another one.
 MISSED = 3.0
 #: Characters of a word that count; also bytes of a token up to which its score is remembered.
@@ -177,9 +181,9 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> D
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, least: int = 2) -> Model:
     """Fit on at most ``limit`` labelled rows of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    Only features of toxic rows with ``least`` occurrences and more than four times the class's
-    share come to the driver, no more than the bounded sample has. Without labels of both classes
-    the model knows no toxic token.
+    Only features with ``least`` occurrences in toxic rows, or more where so many would be in toxic
+    rows alone by chance, and odds over ``LEADING`` times the class's come to the driver, no more than the bounded sample has. Without labels of both classes,
+    or without such features, the model knows no toxic token.
     """
     rows = labelled(docs, labels, limit)
     n = {int(k): c for k, c in rows.groupBy("toxic").count().collect()}
@@ -188,8 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, least:
         return model
     model.base = n[1] / (n[0] + n[1])
     counts = feature_counts(rows)
-    leading = counts.where(F.col("toxic") >= least).where(F.col("toxic") > F.lit(4 * model.base) * (F.col("toxic") + F.col("other")))
+    least = max(least, math.ceil(math.log(CHANCE) / math.log(model.base)))
+    leading = counts.where(F.col("toxic") >= least).where(F.col("toxic") * F.lit(n[0]) > F.col("other") * F.lit(LEADING * n[1]))
     model.counts = {bytes(f): (float(t), float(o)) for f, t, o in leading.toArrow().to_pandas().itertuples(index=False)}
+    if not model.counts:  # nothing to calibrate: the share alone would reject all or none
+        return Model()
     _background(model, rows)
     _calibrate(model, rows)
     model.memo = {}
