@@ -16,6 +16,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +33,43 @@ LEADING = 4.0
 CHANCE = 0.02
 #: What missing a toxic row costs in calibration, against flagging another one.
 MISSED = 3.0
-#: Characters of a word that count; also bytes of a token up to which its score is remembered.
+#: Characters of a run of letters above which it is walked in pieces; also bytes of a word up to which its score is remembered.
 LONGEST = 64
+#: Characters of the pieces of a long run, and of a run in a script that sets no spaces; pieces overlap.
+PIECE, UNSPACED_PIECE = 6, 2
 #: Distinct features that a task holds before it passes their counts on.
 HELD = 300_000
 
 
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\u30fc]"
+#: A run in a script without spaces, or one of other letters.
+RUN = regex.compile(rf"((?:{_UNSPACED}\p{{M}}*)+)|(?!{_UNSPACED})\p{{L}}(?:(?!{_UNSPACED})[\p{{L}}\p{{M}}])*")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The runs of letters of a text in lower case; long runs and scripts without spaces as overlapping pieces, over their whole length."""
+    out = []
+    for token in tokens_of(text):
+        if token.isascii():
+            out.extend([token] if len(token) <= LONGEST else _pieces(token.decode(), PIECE))
+            continue
+        for run in RUN.finditer(token.decode("utf-8").lower()):
+            word = run[0]
+            if run[1]:
+                out.extend(_pieces(word, UNSPACED_PIECE))
+            else:
+                out.extend([word.encode()] if len(word) <= LONGEST else _pieces(word, PIECE))
+    return out
+
+
+def _pieces(run: str, n: int) -> list[bytes]:
+    return [run[i : i + n].encode() for i in range(max(len(run) - n + 1, 1))]
+
+
 def features(token: bytes) -> list[bytes]:
     """From the shortest prefix to the whole word; characters, not bytes, are counted."""
-    word = token.decode("utf-8", "replace")
-    return [b"%d:" % n + word[:n].encode() for n in PREFIXES if len(word) > n] + [b"w:" + word[:LONGEST].encode()]
+    word = token.decode("utf-8")
+    return [b"%d:" % n + word[:n].encode() for n in PREFIXES if len(word) > n] + [b"w:" + token]
 
 
 @dataclass
@@ -158,7 +186,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                found = {f for token in set(tokens_of(batch.column(0)[i].as_py())) for f in features(token)}
+                found = {f for token in set(words_of(batch.column(0)[i].as_py())) for f in features(token)}
                 held[batch.column(1)[i].as_py()].update(found)
                 if len(held[0]) + len(held[1]) > HELD:
                     yield from flush()
@@ -211,7 +239,7 @@ def _background(model: Model, rows: DataFrame) -> None:
         own, seen = shared.value.leaving(0), Counter()
         for batch in batches:
             for text in batch.column(0):
-                for s in own.scores(tokens_of(text.as_py())):
+                for s in own.scores(words_of(text.as_py())):
                     seen[round(s, 1) if s > 0 else 0.0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.float64()), pa.array(seen.values(), pa.int64())], names=["score", "n"])
 
@@ -240,7 +268,7 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
         own, seen = [shared.value.leaving(0), shared.value.leaving(1)], Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                seen[round(evidence(own[toxic.as_py()], tokens_of(text.as_py()))[0], 1), toxic.as_py()] += 1
+                seen[round(evidence(own[toxic.as_py()], words_of(text.as_py()))[0], 1), toxic.as_py()] += 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.float64()), pa.array([k[1] for k in seen], pa.int32()), pa.array(seen.values(), pa.int64())], names=["x", "toxic", "n"])
 
     found = rows.mapInArrow(run, "x double, toxic int, n long").groupBy("x", "toxic").agg(F.sum("n").alias("n")).collect()
@@ -264,7 +292,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``score`` (0 to 1), ``n_passages`` and ``passages`` to every row of ``docs``, which has ``text``.
 
     ``passages`` are the significant segments as first and last token (counted from zero, in the
-    cut of :func:`tessella.llm.langid.tokens_of`) and score. Null and empty texts have no evidence.
+    cut of :func:`words_of`) and score. Null and empty texts have no evidence.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -272,7 +300,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         own = shared.value
 
         def one(text):
-            x, found = evidence(own, tokens_of(text))
+            x, found = evidence(own, words_of(text))
             value = 1 / (1 + math.exp(-(own.slope * x + own.shift)))
             return value, len(found), [{"first": a, "last": b - 1, "score": s} for a, b, s in found]
 
