@@ -48,7 +48,7 @@ def test_stages(spark, sf):
     before = {r.doc_id: r.text for r in steps[1].collect()}
     for r in steps[2].collect():
         assert r.text == "\n".join(x for x in before[r.doc_id].split("\n") if wide.get(x.strip(" \t\r"), r.doc_id) >= r.doc_id)
-    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(steps[2]).collect()}
+    classes = {r.doc_id: r.component_id for r in simhash.near_copies(steps[2]).collect()}
     assert ids[3] == set(classes.values())
     assert ids[4] <= ids[3] and {r.doc_id for r in steps[5].collect()} == ids[4]
     assert lines.lines_of is not None

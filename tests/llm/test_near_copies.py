@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tessella.llm import similar
+from tessella.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,14 +39,14 @@ def near_texts(seed, families=30):
     return rows
 
 
-@pytest.mark.parametrize("block", [similar.BLOCK, 300])
+@pytest.mark.parametrize("block", [simhash.BLOCK, 300])
 def test_near_copies_match_all_pairs(spark, block):
     rows = near_texts(1)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes(rows)
     assert 10 < len(set(want.values())) < len(rows) - 20
-    assert {r.doc_id: r.component_id for r in similar.near_copies(df, block=block).collect()} == want
-    assert similar.near_copies(df.limit(0)).count() == 0
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df, block=block).collect()} == want
+    assert simhash.near_copies(df.limit(0)).count() == 0
 
 
 def test_stage_drops_copies_with_a_few_words_changed(spark, sf):
