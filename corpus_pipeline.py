@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontam, lines, packing, similar, toxicity
+from tessella.llm import decontam, lines, packing, simhash, toxicity
 from tessella.llm.common import held_out
 from tessella.llm.queries import table
 
@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each class of texts with five-word Jaccard similarity of 0.8 or more."""
-    return similar.drop_near_copies(docs.select(*COLUMNS))
+    return simhash.drop_near_copies(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
