@@ -71,17 +71,6 @@ def test_language_of_held_out_documents(spark):
     assert wide == {r.doc_id: (r.lang_pred, round(r.cross_entropy or 0, 6)) for r in langid.identify(long, model, cache=50).collect()}
 
 
-def test_language_probabilities_follow_interpolation(spark):
-    docs = spark.createDataFrame([("x", "abab abab abac"), ("y", "zzzz zz"), (None, "q"), ("x", None)], "lang string, text string")
-    model = langid.train(docs)
-    assert model.languages == ["x", "y"]
-    cost, length = model.score(["abab", "zzzz"])
-    assert length.tolist() == [5, 5] and cost[0, 0] < cost[0, 1] and cost[1, 1] < cost[1, 0]
-    # over all characters that can follow, probabilities add up to less than one and near it
-    follow = [float(model.score(["ab" + c])[0][0, 0]) for c in "abcz"]
-    assert min(follow) == follow[0]
-
-
 def test_language_without_training_rows(spark):
     none = spark.createDataFrame([], "lang string, text string")
     assert langid.identify(spark.createDataFrame([(1, "abc")], DOCS), langid.train(none)).first().lang_pred == "und"
