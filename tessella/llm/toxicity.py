@@ -2,9 +2,10 @@
 
 Tokens get log-odds of the toxic against the other class under an informative Dirichlet prior: a
 word's prior is that of its longest known prefix, a prefix's that of the shorter one, the shortest's
-the class itself. A linear-time scan over a text finds all maximal segments of positive score; the
-extreme-value distribution of such segments under the other class's token frequencies tells which
-are significant. A text's score calibrates the significance of its segments together.
+the class itself. A token's score is its log-odds less a drift, as segment scores must fall in plain
+text. A linear-time scan over a text finds all maximal segments of positive score; the extreme-value
+distribution of such segments under the other class's token scores tells which are significant. A
+text's score calibrates the significance of its segments together.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import append_columns, shielded
+from tessella.llm.common import append_columns, checkpoint, shielded
 from tessella.llm.langid import tokens_of
 
 #: Lengths of the prefixes that words share evidence by.
@@ -31,6 +32,8 @@ MAX_LABELLED = 40_000
 LEADING = 4.0
 #: Probability that a feature is in toxic rows alone by chance, above which its occurrences are too few.
 CHANCE = 0.02
+#: What a token's score falls short of its log-odds by.
+DRIFT = 1.0
 #: What missing a toxic row costs in calibration, against flagging another one.
 MISSED = 3.0
 #: Characters of a run of letters above which it is walked in pieces; also bytes of a word up to which its score is remembered.
@@ -74,12 +77,11 @@ def features(token: bytes) -> list[bytes]:
 
 @dataclass
 class Model:
-    """Positive token scores, the step down for any other token, and the calibration."""
+    """Counts of the features that lead to the toxic class, extreme-value parameters, and the calibration."""
 
     counts: dict[bytes, tuple[float, float]] = field(default_factory=dict)
     base: float = 0.1
     weight: float = 2.0
-    step: float = 0.0
     rate: float = 1.0
     scale: float = 1.0
     slope: float = 1.0
@@ -92,7 +94,7 @@ class Model:
         return replace(self, without=(toxic, 1 - toxic), memo={})
 
     def token(self, token: bytes) -> float:
-        """Log-odds of a token less the class's own; zero or below means no evidence of toxicity."""
+        """Log-odds of a token less the class's own; zero where no feature of it is known."""
         share, start = self.base, math.log(self.base / (1 - self.base))
         for name in features(token):
             found = self.counts.get(name)
@@ -111,8 +113,7 @@ class Model:
         for t in tokens:
             s = memo.get(t)
             if s is None:
-                s = self.token(t)
-                s = s if s > 1.0 else -self.step
+                s = self.token(t) - DRIFT
                 if len(t) <= LONGEST:
                     memo[t] = s
             out.append(s)
@@ -145,30 +146,22 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y in stack]
 
 
-def expected(model: Model, score: float, n: int) -> float:
-    """Expected number of segments of at least ``score`` in ``n`` tokens of the other class."""
-    return model.scale * max(n, 1) * math.exp(-model.rate * score)
-
-
 def evidence(model: Model, tokens: list[bytes], significant: float = 0.05) -> tuple[float, list[tuple[int, int, float]]]:
     """Minus the log p-value of a text's significant segments together, and these segments.
 
     By the extreme-value law the best segment has p = 1 - exp(-E); further significant segments
-    each add the log of their expected number.
+    each add the log of their expected number. There is no upper bound.
     """
     found = maximal_segments(model.scores(tokens))
     if not found:
         return 0.0, []
     n = len(tokens)
-    strong = [s for s in found if expected(model, s[2], n) < significant]
+    expectation = lambda score: math.log(model.scale * n) - model.rate * score
+    strong = [s for s in found if expectation(s[2]) < math.log(significant)]
     best = max(s[2] for s in found)
-    log_e = math.log(expected(model, best, n) + 1e-300)
-    p = -math.expm1(-math.exp(min(log_e, 50)))
-    total = -math.log(max(p, 1e-300))
-    for a, b, s in strong:
-        if s < best:
-            total += max(0.0, -math.log(expected(model, s, n) + 1e-300))
-    return min(total, 60.0), strong
+    log_e = expectation(best)
+    total = -log_e if log_e < -30 else -math.log(-math.expm1(-math.exp(min(log_e, 30))))
+    return total + sum(-expectation(s) for _, _, s in strong if s < best), strong
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -209,11 +202,14 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> D
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, least: int = 2) -> Model:
     """Fit on at most ``limit`` labelled rows of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    Only features with ``least`` occurrences in toxic rows, or more where so many would be in toxic
-    rows alone by chance, and odds over ``LEADING`` times the class's come to the driver, no more than the bounded sample has. Without labels of both classes,
-    or without such features, the model knows no toxic token.
+    The documents are read once, to keep the sample. Only features with ``least`` occurrences in
+    toxic rows, or more where so many would be in toxic rows alone by chance, and odds over
+    ``LEADING`` times the class's come to the driver, no more than the bounded sample has; other
+    tokens have log-odds of zero. Without labels of both classes, or without such features, the
+    model knows no toxic token. Null texts are empty; rows with a null id or another label than 0
+    and 1 count for nothing.
     """
-    rows = labelled(docs, labels, limit)
+    rows = checkpoint(labelled(docs, labels, limit))
     n = {int(k): c for k, c in rows.groupBy("toxic").count().collect()}
     model = Model()
     if len(n) < 2:
@@ -239,41 +235,50 @@ def _background(model: Model, rows: DataFrame) -> None:
         own, seen = shared.value.leaving(0), Counter()
         for batch in batches:
             for text in batch.column(0):
-                for s in own.scores(words_of(text.as_py())):
-                    seen[round(s, 1) if s > 0 else 0.0] += 1
+                seen.update(round(s, 2) for s in own.scores(words_of(text.as_py())))
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.float64()), pa.array(seen.values(), pa.int64())], names=["score", "n"])
 
     found = rows.where("toxic = 0").select("text").mapInArrow(run, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
     shared.unpersist()
-    n = sum(r.n for r in found) or 1
-    positive = {r.score: (r.n + 0.5) / (n + 1) for r in found if r.score > 0}
-    positive.setdefault(1.0, 0.5 / (n + 1))
-    rise = sum(s * p for s, p in positive.items())
-    model.step = max(0.25, 4 * rise)
+    model.rate, model.scale = extreme_values({r.score: r.n for r in found})
+
+
+def extreme_values(seen: dict[float, int]) -> tuple[float, float]:
+    """Rate and scale of the law of maximal segments for tokens that have each score so often.
+
+    The rate is the positive root of E[exp(rate * s)] = 1, the scale the part of that mean which
+    positive scores give; where none is positive one is counted as seen half a time.
+    """
+    seen = dict(seen)
+    if not any(s > 0 for s in seen):
+        seen[1.0] = 0.5
+    n = sum(seen.values())
+    mean = lambda rate, scores: sum(c * math.exp(min(rate * s, 700)) for s, c in seen.items() if s in scores) / n
     low, high = 1e-6, 50.0
     for _ in range(200):
         middle = (low + high) / 2
-        value = sum(p * math.exp(min(middle * s, 700)) for s, p in positive.items()) + (1 - sum(positive.values())) * math.exp(-middle * model.step)
-        low, high = (middle, high) if value < 1 else (low, middle)
-    model.rate = low
-    model.scale = max(sum(p * math.exp(min(low * s, 700)) for s, p in positive.items()), 1e-12)
-    model.memo = {}
+        low, high = (middle, high) if mean(middle, seen) < 1 else (low, middle)
+    return low, max(mean(low, {s for s in seen if s > 0}), 1e-12)
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    """Logistic calibration of the evidence on the sample, rows of each class without their own counts."""
+    """Logistic calibration of log(1 + evidence) on the sample, rows of each class without their own counts."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = [shared.value.leaving(0), shared.value.leaving(1)], Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                seen[round(evidence(own[toxic.as_py()], words_of(text.as_py()))[0], 1), toxic.as_py()] += 1
+                seen[round(math.log1p(evidence(own[toxic.as_py()], words_of(text.as_py()))[0]), 2), toxic.as_py()] += 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.float64()), pa.array([k[1] for k in seen], pa.int32()), pa.array(seen.values(), pa.int64())], names=["x", "toxic", "n"])
 
     found = rows.mapInArrow(run, "x double, toxic int, n long").groupBy("x", "toxic").agg(F.sum("n").alias("n")).collect()
     shared.unpersist()
-    x, y, n = (np.array(v, dtype=float) for v in zip(*[(r.x, r.toxic, r.n) for r in found], strict=True))
+    model.slope, model.shift = logistic(*(np.array(v, dtype=float) for v in zip(*[(r.x, r.toxic, r.n) for r in found], strict=True)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and shift for values ``x`` of class ``y`` seen ``n`` times, toxic ones counting ``MISSED`` times."""
     n = np.where(y == 1, MISSED * n, n)
     w = np.array([0.5, -2.0])
     design = np.column_stack([x, np.ones(len(x))])
@@ -282,7 +287,7 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
         slope = design.T @ (n * (p - y)) + 1e-2 * w
         curve = (design * (n * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
         w = w - np.clip(np.linalg.solve(curve, slope), -2, 2)
-    model.slope, model.shift = max(float(w[0]), 1e-3), float(w[1])
+    return max(float(w[0]), 1e-3), float(w[1])
 
 
 FIELDS = [("score", "double", pa.float64()), ("n_passages", "int", pa.int32()), ("passages", "array<struct<first:int,last:int,score:double>>", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])))]
@@ -292,7 +297,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``score`` (0 to 1), ``n_passages`` and ``passages`` to every row of ``docs``, which has ``text``.
 
     ``passages`` are the significant segments as first and last token (counted from zero, in the
-    cut of :func:`words_of`) and score. Null and empty texts have no evidence.
+    cut of :func:`words_of`) and score. Null and empty texts have no evidence. Repeated rows are
+    scored alike; columns named like the results are replaced, others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -301,7 +307,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         def one(text):
             x, found = evidence(own, words_of(text))
-            value = 1 / (1 + math.exp(-(own.slope * x + own.shift)))
+            value = 1 / (1 + math.exp(-(own.slope * math.log1p(x) + own.shift)))
             return value, len(found), [{"first": a, "last": b - 1, "score": s} for a, b, s in found]
 
         return one
