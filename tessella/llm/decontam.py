@@ -2,21 +2,23 @@
 
 Patterns are the windows of ``width`` consecutive words of the benchmark items (an item of fewer
 words is one shorter window). For each pattern length a shift table over blocks of two words tells
-how far the scan may jump, a bucket table over the last block selects candidate windows, and a
-direct comparison confirms them. The scan runs inside the tasks that read the documents, so nothing
-is shuffled; the benchmark is broadcast in blocks of a bounded size.
+how far the scan may jump, a bucket table over a window's first word and last block selects
+candidates, and a direct comparison of words confirms them. Tables are sorted arrays over the
+benchmark's words, each kept once. The scan runs inside the tasks that read the documents, so
+nothing is shuffled; the benchmark is broadcast in blocks of a bounded size, one after another.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import append_columns, shielded
+from tessella.llm.common import append_columns, checkpoint, shielded
 
 #: Maps each byte that is not part of a word to a space, and A-Z to a-z; bytes from 0x80 are word characters.
 _WORD_BYTES = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -30,59 +32,102 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_WORD_BYTES).split()
 
 
+_MULTIPLIER = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of two."""
+    return ((a * np.uint64(_MULTIPLIER)) ^ b) * np.uint64(_MULTIPLIER)
+
+
+def _ranges(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each length, one after another."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+class Benchmark:
+    """Words of items, each word once, with their items and places."""
+
+    def __init__(self, items: list[tuple]):
+        known: dict[bytes, int] = {}
+        places, self.items, self.bounds = [], [], [0]
+        for item_id, text in items:
+            found = words_of(text)
+            if found:
+                places.append(np.array([known.setdefault(w, len(known)) for w in found], dtype=np.int32))
+                self.items.append(item_id)
+                self.bounds.append(self.bounds[-1] + len(found))
+        self.vocabulary = list(known)
+        self.words = np.concatenate(places) if places else np.zeros(0, dtype=np.int32)
+        self.bounds = np.array(self.bounds, dtype=np.int64)
+        #: Hashes hold within one process only, in which tables are both made and used.
+        self.hashes = np.array([hash(w) & _MASK for w in self.vocabulary], dtype=np.uint64)
+
+
 class WuManber:
-    """Search tables for patterns of one length, each a tuple of words."""
+    """Search tables for all windows of one length of the given items of a benchmark."""
 
-    def __init__(self, length: int, patterns: dict[tuple, set]):
-        self.length = length
+    def __init__(self, benchmark: Benchmark, length: int, items: np.ndarray):
+        self.benchmark, self.length = benchmark, length
         self.block = min(2, length)
         self.free = length - self.block + 1
-        self.shift: dict = {}
-        self.buckets: dict = defaultdict(list)
-        for pattern, owners in patterns.items():
-            for at in range(self.free):
-                key = self.key(pattern, at)
-                self.shift[key] = min(self.shift.get(key, self.free), self.free - 1 - at)
-            self.buckets[self.key(pattern, self.free - 1)].append((pattern, owners))
-        self.buckets = {key: self._by_prefix(found) for key, found in self.buckets.items()}
-
-    def key(self, words, at: int):
-        return words[at] if self.block == 1 else (words[at], words[at + 1])
-
-    @staticmethod
-    def _by_prefix(found: list) -> dict:
-        out: dict = defaultdict(list)
-        for pattern, owners in found:
-            out[pattern[0]].append((pattern, owners))
-        return dict(out)
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
-        """Start and owners of every occurrence."""
-        shift, free, length, two = self.shift.get, self.free, self.length, self.block == 2
-        at, last = free - 1, len(words) - self.block
-        while at <= last:
-            key = (words[at], words[at + 1]) if two else words[at]
-            jump = shift(key, free)
-            if jump:
-                at += jump
-                continue
-            start = at - free + 1
-            for pattern, owners in self.buckets[key].get(words[start], ()):
-                if tuple(words[start : start + length]) == pattern:
-                    yield start, owners
-            at += 1
+        first, size = benchmark.bounds[items], np.diff(benchmark.bounds)[items]
+        own = benchmark.hashes[benchmark.words]
+        block = own * np.uint64(_MULTIPLIER) if self.block == 1 else _pair(own[:-1], own[1:])
+        # a block's shift: how far the end of the first window that has it lies ahead
+        place = _ranges(size - self.block + 1)
+        at = np.repeat(first, size - self.block + 1) + place
+        order = np.lexsort((shift := np.maximum(self.free - 1 - place, 0), keys := block[at]))
+        new = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+        self.keys, self.shifts = keys[order[new]], shift[order[new]].astype(np.int16)
+        starts = np.repeat(first, size - length + 1) + _ranges(size - length + 1)
+        bucket = _pair(own[starts], block[starts + self.free - 1])
+        order = np.argsort(bucket, kind="stable")
+        self.buckets, self.starts = bucket[order], starts[order]
+
+    def _blocks(self, words: list[bytes], at: list[int]) -> np.ndarray:
+        """Hashes of the blocks that begin at some words."""
+        one = np.array([hash(words[p]) & _MASK for p in at], dtype=np.uint64)
+        return one * np.uint64(_MULTIPLIER) if self.block == 1 else _pair(one, np.array([hash(words[p + 1]) & _MASK for p in at], dtype=np.uint64))
+
+    def _shifts(self, blocks: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, blocks), len(self.keys) - 1)
+        return np.where(self.keys[at] == blocks, self.shifts[at], self.free)
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Start in ``words`` and place in the benchmark of every occurrence of every window.
+
+        An occurrence covers ``free`` blocks, so one of those that stand ``free`` apart; where that
+        one is unknown the scan jumps over all of them. Otherwise it looks at the blocks from the
+        one that the shift allows on; those of shift zero can end an occurrence.
+        """
+        free, last = self.free, len(words) - self.block
+        probes = range(free - 1, last + 1, free)
+        if not len(self.keys) or not len(probes):
+            return
+        shift = self._shifts(self._blocks(words, probes))
+        ends = [e for k in np.flatnonzero(shift < free).tolist() for e in range(probes[k] + int(shift[k]), min(probes[k] + free, last + 1))]
+        if not ends:
+            return
+        blocks = self._blocks(words, ends)
+        at = np.flatnonzero(self._shifts(blocks) == 0)
+        starts = [ends[k] - free + 1 for k in at.tolist()]
+        wanted = _pair(np.array([hash(words[p]) & _MASK for p in starts], dtype=np.uint64), blocks[at])
+        low, high = np.searchsorted(self.buckets, wanted), np.searchsorted(self.buckets, wanted, side="right")
+        own, vocabulary = self.benchmark.words, self.benchmark.vocabulary
+        for k in np.flatnonzero(high > low).tolist():
+            start = starts[k]
+            for place in self.starts[low[k] : high[k]].tolist():
+                if all(vocabulary[own[place + i]] == words[start + i] for i in range(self.length)):
+                    yield start, place
 
 
 def windows(items: list[tuple], width: int) -> list[WuManber]:
     """Search tables, one for each length of window that the items have."""
-    by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-    for item_id, text in items:
-        words = words_of(text)
-        if words:
-            n = min(width, len(words))
-            for i in range(len(words) - n + 1):
-                by_length[n][tuple(words[i : i + n])].add(item_id)
-    return [WuManber(n, patterns) for n, patterns in by_length.items()]
+    benchmark = Benchmark(items)
+    length = np.minimum(np.diff(benchmark.bounds), width)
+    return [WuManber(benchmark, n, np.flatnonzero(length == n)) for n in np.unique(length).tolist()]
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -93,8 +138,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block
     that occur, sorted as strings). Null and empty texts have no words; items without words or with
     a null id own no window; repeated items count once; an empty benchmark hits nothing. The
     benchmark goes to the tasks in blocks of about ``block_chars`` characters, its size being
-    measured first; the blocks are searched one after another within one stage, each in a worker of
-    its own, so neither a larger benchmark nor a hot passage makes a shuffle.
+    measured first. The blocks are searched one after another, with a checkpoint between, so that
+    the tables of one block are alive at a time; neither a larger benchmark nor a hot passage makes
+    a shuffle.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -103,22 +149,36 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         out = _search(out, [tuple(r) for r in part.dropDuplicates().collect()], width)
+        out = checkpoint(out) if k < blocks - 1 else out
     return out
 
 
+#: Tables of the last block that this process searched; further tasks of the stage find them made.
+_MADE: dict[str, list[WuManber]] = {}
+
+
+def _tables(name: str, shared, width: int) -> list[WuManber]:
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = windows(shared.value, width)
+    return _MADE[name]
+
+
 def _search(docs: DataFrame, items: list[tuple], width: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def make():
-        tables = windows(shared.value, width)
+        tables = _tables(name, shared, width)
 
         def scan(text, hits, owners):
             words = words_of(text)
             hit, of = set(hits or ()), set(owners or ())
             for table in tables:
-                for start, found in table.search(words):
+                places = []
+                for start, place in table.search(words):
                     hit.update(range(start, start + table.length))
-                    of |= found
+                    places.append(place)
+                of.update(table.benchmark.items[k] for k in np.unique(np.searchsorted(table.benchmark.bounds, places, side="right") - 1).tolist())
             return len(words), sorted(hit), sorted(of)
 
         return scan

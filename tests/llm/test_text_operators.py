@@ -107,6 +107,29 @@ def test_contamination_matches_brute_force(spark, block_chars):
         assert (r.n_words, len(r["hits"]), r["items"]) == brute_hits(r.text, items), r.text
 
 
+def test_contamination_search_finds_every_occurrence():
+    rng = random.Random(9)
+    for _ in range(60):
+        text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+        items = [(i, text(rng.randint(0, 20))) for i in range(rng.randint(0, 6))]
+        width, own = rng.randint(1, 8), words(text(rng.randint(0, 50)))
+        got = sorted((s, t.length, t.benchmark.items[int((t.benchmark.bounds <= p).sum()) - 1]) for t in decontam.windows(items, width) for s, p in t.search([w.encode() for w in own]))
+        want = []
+        for item, t in items:
+            w = words(t)
+            n = min(width, len(w))
+            want += [(j, n, item) for i in range(len(w) - n + 1 if w else 0) for j in range(len(own) - n + 1) if own[j : j + n] == w[i : i + n]]
+        assert got == sorted(want)
+
+
+def test_one_block_of_the_benchmark_is_held_at_a_time(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "a b " + " ".join(f"w{i}x{k}" for k in range(3, 18)) + " c " * 1000 * (i == 7)) for i in range(30)], DOCS)
+    found = decontam.benchmark_hits(docs, items, block_chars=500)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # the blocks before are in a checkpoint
+    assert all(r["items"] == [str(r.doc_id)] and r["hits"] == list(range(2, 17)) for r in found.collect())
+
+
 def test_decontaminate_keeps_columns_and_empty_benchmark(spark):
     df = spark.createDataFrame([(1, "x y", 7), (2, None, 8)], "doc_id long, text string, hits int")
     empty = spark.createDataFrame([], "item_id long, text string")
