@@ -90,9 +90,13 @@ def test_chat_round_trip_and_mask(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     for part in (10**6, 5):
         seen: dict = {}
+        ids: dict = {}
         for r in sorted(chat.format_conversations(df, part_chars=part).collect(), key=lambda r: (r.conv_id, r.part)):
             texts, masked = seen.setdefault(r.conv_id, ([], []))
             texts += chat.parse(r.formatted)
+            formatted, own = ids.setdefault(r.conv_id, ([], []))
+            formatted.append(r.formatted)
+            own += r.ids
             masked.append("".join(r.formatted[m.start : m.end] for m in r["mask"]))
             assert all(0 <= m.token < len(r.ids) for m in r["mask"])
             if r.summary:
@@ -104,9 +108,21 @@ def test_chat_round_trip_and_mask(spark):
                 assert (summary.n_turns, summary.loss_chars, summary.loss_sha256) == (len(want), len(said), hashlib.sha256(said.encode()).hexdigest())
                 assert summary.turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in want).encode()).hexdigest()
         assert set(seen) == {r[0] for r in rows}
+        encode = chat.encoder()
+        assert all(own == encode("".join(formatted))[0] for formatted, own in ids.values())  # pieces change no id
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_a_conversation_over_many_ranges(spark):
+    rows = [(5, i, "assistant" if i % 2 else "user", f"turn {i} \\<#: {'x' * (i % 7)}") for i in range(3000)] + [(None, None, None, None), (None, 1, "user", "b"), (None, 1, "user", "b"), (6, 0, "assistant", "z" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1)).repartition(7)
+    got = {r.conv_id: r.summary for r in chat.format_conversations(df, part_chars=10_000, outputs=False).collect()}
+    said = "".join(t for c, _, role, t in rows if c == 5 and role == "assistant")
+    assert set(got) == {5, 6, None} and got[None].n_turns == 3 and got[6].loss_chars == 300_000
+    assert (got[5].n_turns, got[5].loss_sha256) == (3000, hashlib.sha256(said.encode()).hexdigest())
+    assert got[5].turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for c, _, role, t in rows if c == 5).encode()).hexdigest()
+
+
 def test_mask_equals_a_scan_over_characters():
     rng = np.random.default_rng(0)
     for _ in range(50):
