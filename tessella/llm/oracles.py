@@ -46,11 +46,12 @@ ORACLES: dict[str, str] = {
         FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
     "op6_line_dedup": """
         WITH d AS (SELECT doc_id, source, row_number() OVER () AS r, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-        e AS (SELECT r, doc_id, source, p, l[p] AS line, trim(l[p], ' ' || chr(9) || chr(13)) AS bare FROM (SELECT *, unnest(generate_series(1, len(l))) AS p FROM d)),
-        wide AS (SELECT bare, min(doc_id) AS first FROM e WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 3),
-        m AS (SELECT e.*, coalesce(e.doc_id > wide.first, false) AS gone FROM e LEFT JOIN wide USING (bare)),
+        e AS (SELECT r, doc_id, source, text, p, l[p] AS line, trim(l[p], ' ' || chr(9) || chr(13)) AS bare FROM (SELECT *, unnest(generate_series(1, len(l))) AS p FROM d)),
+        lines AS (SELECT bare, min(doc_id) AS first, min_by(text, doc_id) AS first_text, count(DISTINCT source) >= 3 AS wide,
+                         len(string_split_regex(bare, '[ \\t\\x0B\\f\\r]+')) > 50 AND min(text) < max(text) AS repeated FROM e WHERE bare <> '' GROUP BY bare),
+        m AS (SELECT e.*, coalesce(e.doc_id > l.first AND (l.wide OR (l.repeated AND e.text <> l.first_text)), false) AS gone FROM e LEFT JOIN lines l USING (bare)),
         t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS g, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS clean FROM m GROUP BY r)
-        SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE n END AS INTEGER) AS n_lines, CAST(g AS INTEGER) AS n_removed,
+        SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE n END AS INTEGER) AS n_lines, CAST(g AS INTEGER) AS n_removed,
                CASE WHEN text IS NULL THEN NULL ELSE sha256(clean) END AS text_sha256
         FROM d JOIN t USING (r)""",
     "op9_url_filter": """

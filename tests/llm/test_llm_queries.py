@@ -40,14 +40,22 @@ def test_stages(spark, sf):
     ids = [{r.doc_id for r in s.collect()} for s in steps]
     assert ids[1] == ids[0] - bad and ids[2] == ids[1]
     spread: dict = {}
+    before = {r.doc_id: r.text for r in steps[1].collect()}
     for r in steps[1].collect():
         for line in (r.text or "").split("\n"):
             if line.strip(" \t\r"):
                 spread.setdefault(line.strip(" \t\r"), []).append((r.doc_id, r.source))
-    wide = {line: min(d for d, _ in at) for line, at in spread.items() if len({s for _, s in at}) >= 3}
-    before = {r.doc_id: r.text for r in steps[1].collect()}
+    wide = {line for line, at in spread.items() if len({s for _, s in at}) >= 3}
+    repeated = {line for line, at in spread.items() if len(line.split()) > 50 and len({before[d] for d, _ in at}) > 1}
+
+    def stays(line, doc_id):
+        bare = line.strip(" \t\r")
+        first = min((d for d, _ in spread.get(bare, [])), default=doc_id)
+        return doc_id <= first or not (bare in wide or (bare in repeated and before[first] != before[doc_id]))
+
+    assert wide and repeated
     for r in steps[2].collect():
-        assert r.text == "\n".join(x for x in before[r.doc_id].split("\n") if wide.get(x.strip(" \t\r"), r.doc_id) >= r.doc_id)
+        assert r.text == "\n".join(x for x in before[r.doc_id].split("\n") if stays(x, r.doc_id))
     classes = {r.doc_id: r.component_id for r in simhash.near_copies(steps[2]).collect()}
     assert ids[3] == set(classes.values())
     assert ids[4] <= ids[3] and {r.doc_id for r in steps[5].collect()} == ids[4]

@@ -148,6 +148,14 @@ def test_boilerplate_by_sites(spark):
     assert null.text is None and null.n_lines == 0
 
 
+def test_passages_that_repeat_in_one_source(spark):
+    passage = " ".join(f"word{i}" for i in range(51))
+    rows = [(1, "x\n" + passage, "a"), (2, passage + " \ny", "a"), (3, "x\n" + passage, "a"), (4, passage[:-7] + "\nz", "a"), (5, passage[:-7] + "\nw", "a"), (6, "p " * 200_000 + "\n" + passage, None), (None, passage, "a"), (2, passage + " \ny", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n_lines": F.lit("k"), "__gone": F.lit(2)})
+    got = sorted(((r.doc_id or 0, r.n_removed, r.text[-20:]) for r in lines.remove_boilerplate(df).collect()))
+    assert [(d, n) for d, n, _ in got] == [(0, 0), (1, 0), (2, 1), (2, 1), (3, 0), (4, 0), (5, 0), (6, 1)] and got[2][2] == "y"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(-3, 3), max_size=14))
 def test_maximal_segments_contain_the_best(scores):
