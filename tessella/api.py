@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tessella import hooks, schemas
 from tessella.functions.text import hash_id
-from tessella.operators import chunking, context, custom, extraction, graph, kv, ranking, search, sections
+from tessella.functions.tokenizers import WHITE, Tokenizer
+from tessella.functions.vectors import quantised
+from tessella.operators import cache, chunking, context, custom, extraction, graph, kv, ranking, search, sections
 from tessella.sources.sinks import TableStore
 
 FAIL = "Sorry, I cannot answer that from what I know."
@@ -17,7 +20,7 @@ FAIL = "Sorry, I cannot answer that from what I know."
 
 @dataclass(frozen=True)
 class QueryParam:
-    """Parameters of one query."""
+    """Parameters of one query; ``cached`` looks for an equal question first, ``similar`` for one of at least that cosine."""
 
     mode: str = "hybrid"
     only_need_context: bool = False
@@ -28,28 +31,41 @@ class QueryParam:
     high_keywords: tuple[str, ...] = ()
     low_keywords: tuple[str, ...] = ()
     history: tuple[dict, ...] = field(default_factory=tuple)
+    history_turns: int = 3
     gradient: float | None = None
     least: int = 30
+    cached: bool = True
+    similar: float | None = None
+    recheck: bool = False
 
 
 _MENTIONS = "name string, entity_type string, description string, chunk_id string, pos long"
 _EDGE_MENTIONS = "src string, tgt string, weight double, description string, keywords string, chunk_id string, pos long"
+_CACHE = "mode string, args_hash string, question string, answer string, q array<int>, low double, high double"
 
 
 def _schemas() -> dict[str, str]:
-    vectors = "id string, vector array<float>"
     return {
-        "full_docs": schemas.FULL_DOCS, "doc_status": "id string, status string", "text_chunks": schemas.TEXT_CHUNKS, "node_mentions": _MENTIONS,
-        "edge_mentions": _EDGE_MENTIONS, "nodes": schemas.NODES, "edges": schemas.EDGES, "chunk_vectors": vectors, "node_vectors": vectors,
-        "edge_vectors": "id string, lo string, hi string, vector array<float>",
+        "full_docs": schemas.FULL_DOCS, "doc_status": "id string, status string, error string", "doc_chunks": "doc_id string, id string", "text_chunks": schemas.TEXT_CHUNKS,
+        "node_mentions": _MENTIONS, "edge_mentions": _EDGE_MENTIONS, "nodes": schemas.NODES, "edges": schemas.EDGES, "chunk_vectors": "id string, hash string, vector array<float>",
+        "node_vectors": "id string, hash string, vector array<float>", "edge_vectors": "id string, hash string, lo string, hi string, vector array<float>", "cache": _CACHE,
     }
 
 
 class GraphRetrieval:
-    """Documents in, answers out; tables live in a folder that driver and executors share."""
-
-    def __init__(self, spark: SparkSession, folder: str, embed: hooks.Embed, complete: hooks.Complete, size: int = 1200, overlap: int = 100):
-        self.spark, self.embed, self.complete, self.size, self.overlap = spark, embed, complete, size, overlap
+    """Documents in, answers out; tables live in a folder that driver and executors share.
+
+    ``score`` is a reranker, ``chunk`` cuts ``docs(doc_id, text)`` into the columns that
+    :func:`tessella.operators.chunking.by_tokens` gives, ``tokenizer`` counts for chunks and budgets,
+    and descriptions of over ``summary_tokens`` are summarised by the model.
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, embed: hooks.Embed, complete: hooks.Complete, size: int = 1200, overlap: int = 100, score: hooks.Score | None = None,
+        chunk: Callable[[DataFrame], DataFrame] | None = None, tokenizer: Tokenizer = WHITE, summary_tokens: int = 500,
+    ):
+        self.spark, self.embed, self.complete, self.score, self.tokenizer, self.summary_tokens = spark, embed, complete, score, tokenizer, summary_tokens
+        self.chunk = chunk or (lambda docs: chunking.by_tokens(docs, size, overlap, tokenizer=tokenizer))
         self.store = TableStore(spark, folder)
         self.store.create(_schemas())
 
@@ -58,64 +74,119 @@ class GraphRetrieval:
     def insert(self, docs: DataFrame) -> None:
         """Index ``docs(text)`` that are new or failed before; all tables change together at the end.
 
-        Mentions are kept by chunk and merged anew, so a document that is indexed twice adds no weight.
+        A document with a chunk for which the model fails is marked ``failed`` with the message, and
+        nothing of it but its text is kept; the next insert of it, or :meth:`retry`, tries again.
         """
-        read = self.store.read
         ingested = chunking.ingest(docs).select("id", "content")
-        wanted = kv.missing_or(ingested, read("doc_status"), F.col("status") == "failed")
+        wanted = kv.missing_or(ingested, self.store.read("doc_status"), F.col("status") == "failed")
+        new = graph.checkpoint(ingested.join(wanted, "id", "left_semi"))
+        cut = self.chunk(new.select(F.col("id").alias("doc_id"), F.col("content").alias("text")))
+        self._index(new, cut.select("doc_id", "chunk_order_index", "tokens", "content", "id"))
+
+    def insert_chunks(self, docs: DataFrame) -> None:
+        """Index ``docs(text, chunks)`` whose chunks are given."""
+        ingested = docs.where("text is not null").select(F.trim("text").alias("content"), "chunks").withColumn("id", hash_id("doc-", F.col("content"))).dropDuplicates(["id"])
+        wanted = kv.missing_or(ingested, self.store.read("doc_status"), F.col("status") == "failed")
         new = graph.checkpoint(ingested.join(wanted, "id", "left_semi"))
-        cut = chunking.by_tokens(new.select(F.col("id").alias("doc_id"), F.col("content").alias("text")), self.size, self.overlap)
-        # equal chunks of a document are one, the last place wins
-        cut = cut.groupBy("id").agg(F.max_by(F.struct("tokens", "content", F.col("doc_id").alias("full_doc_id"), "chunk_order_index"), F.struct("doc_id", "chunk_order_index")).alias("c")).select("id", "c.*")
-        chunks = graph.checkpoint(cut.select(*schemas.names(schemas.TEXT_CHUNKS)).join(read("text_chunks").select("id"), "id", "left_anti"))
+        each = new.select(F.col("id").alias("doc_id"), F.posexplode("chunks").alias("chunk_order_index", "content")).withColumn("content", F.trim("content"))
+        self._index(new.select("id", "content"), each.select("doc_id", "chunk_order_index", self.tokenizer.count(F.col("content")).alias("tokens"), "content", hash_id("chunk-", F.col("content")).alias("id")))
+
+    def retry(self) -> None:
+        """Index the failed documents again."""
+        failed = self.store.read("doc_status").where("status = 'failed'").select("id")
+        self.insert(self.store.read("full_docs").join(failed, "id", "left_semi").select(F.col("content").alias("text")))
+
+    def _index(self, new: DataFrame, cut: DataFrame) -> None:
+        read = self.store.read
+        cut = graph.checkpoint(cut)
+        pairs = cut.select("doc_id", "id").distinct()
+        # equal chunks are one, the last place wins
+        single = cut.groupBy("id").agg(F.max_by(F.struct("tokens", "content", F.col("doc_id").alias("full_doc_id"), "chunk_order_index"), F.struct("doc_id", "chunk_order_index")).alias("c")).select("id", "c.*")
+        chunks = single.select(*schemas.names(schemas.TEXT_CHUNKS)).join(read("text_chunks").select("id"), "id", "left_anti")
         answers = graph.checkpoint(hooks.extracted(chunks, self.complete))
-        nodes = extraction.entities(answers).select(F.col("entity_name").alias("name"), "entity_type", "description", "chunk_id", F.col("pos").cast("long").alias("pos"))
-        edges = extraction.relationships(answers).select(F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"), "weight", "description", "keywords", "chunk_id", F.col("pos").cast("long").alias("pos"))
-        self._commit_graph(
-            read("node_mentions").unionByName(nodes), read("edge_mentions").unionByName(edges),
-            full_docs=kv.insert_absent(read("full_docs"), new), text_chunks=read("text_chunks").unionByName(chunks),
-            doc_status=kv.overwrite(read("doc_status"), new.select("id", F.lit("processed").alias("status"))),
+        errors = answers.where("error is not null").select(F.col("chunk_id").alias("id"), "error")
+        failed = graph.checkpoint(pairs.join(errors, "id").groupBy("doc_id").agg(F.min("error").alias("error")))
+        good = graph.checkpoint(pairs.join(failed, "doc_id", "left_anti"))
+        kept = good.select(F.col("id").alias("chunk_id")).distinct()
+        told = answers.where("error is null").join(kept, "chunk_id", "left_semi")
+        nodes = extraction.entities(told).select(F.col("entity_name").alias("name"), "entity_type", "description", "chunk_id", F.col("pos").cast("long").alias("pos"))
+        edges = extraction.relationships(told).select(F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"), "weight", "description", "keywords", "chunk_id", F.col("pos").cast("long").alias("pos"))
+        status = new.select("id").join(failed.withColumnRenamed("doc_id", "id"), "id", "left").select("id", F.when(F.col("error").isNull(), "processed").otherwise("failed").alias("status"), "error")
+        self._grow(
+            nodes, edges, chunks.join(kept.withColumnRenamed("chunk_id", "id"), "id", "left_semi"), replaced={"doc_status": kv.overwrite(read("doc_status"), status)},
+            appended={"full_docs": new.join(read("full_docs").select("id"), "id", "left_anti"), "doc_chunks": good},
         )
 
     def insert_custom_graph(self, entities: DataFrame, relationships: DataFrame, chunks: DataFrame) -> None:
-        """Index a prebuilt graph whose parts name their chunks by label; rows have ``pos``, their order."""
+        """Index a prebuilt graph whose parts name their chunks by label; rows have ``pos``, their order. What is there already adds nothing."""
         read, labels = self.store.read, custom.chunk_map(chunks)
-        ids = chunks.select(hash_id("chunk-", F.trim("content")).alias("id"), F.size(F.split("content", r"\s+")).alias("tokens"), F.trim("content").alias("content"), "source_id")
+        ids = chunks.select(hash_id("chunk-", F.trim("content")).alias("id"), self.tokenizer.count(F.col("content")).alias("tokens"), F.trim("content").alias("content"))
         fresh = ids.dropDuplicates(["id"]).select("id", "tokens", "content", F.lit(None).cast("string").alias("full_doc_id"), F.lit(0).alias("chunk_order_index"))
         nodes = custom.nodes(entities, relationships, labels).select(F.col("id").alias("name"), "entity_type", "description", F.col("source_id").alias("chunk_id"), F.lit(0).cast("long").alias("pos"))
         edges = custom.edges(relationships, labels).select("src", "tgt", "weight", "description", "keywords", F.col("source_id").alias("chunk_id"), F.lit(0).cast("long").alias("pos"))
-        self._commit_graph(read("node_mentions").unionByName(nodes), read("edge_mentions").unionByName(edges), text_chunks=kv.insert_absent(read("text_chunks"), fresh))
+        self._grow(_new_rows(nodes, read("node_mentions")), _new_rows(edges, read("edge_mentions")), fresh.join(read("text_chunks").select("id"), "id", "left_anti"))
 
-    def _commit_graph(self, node_mentions: DataFrame, edge_mentions: DataFrame, **others: DataFrame) -> None:
-        node_mentions, edge_mentions = graph.checkpoint(node_mentions), graph.checkpoint(edge_mentions)
-        nodes, edges = graph.merge_nodes(node_mentions), graph.checkpoint(graph.merge_edges(edge_mentions))
-        nodes = graph.checkpoint(nodes.select(*schemas.names(schemas.NODES)).unionByName(graph.placeholders(edges, nodes).select(*schemas.names(schemas.NODES))))
-        chunks = graph.checkpoint(others.pop("text_chunks", self.store.read("text_chunks")))
+    def _grow(self, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, replaced: dict | None = None, appended: dict | None = None) -> None:
+        """Add mentions and chunks; only names and pairs that they touch are merged anew, and only changed texts embedded."""
+        read = self.store.read
+        nodes, edges, chunks = graph.checkpoint(nodes), graph.checkpoint(edges), graph.checkpoint(chunks)
+        tables = self._merged(read("node_mentions").unionByName(nodes), read("edge_mentions").unionByName(edges), nodes.select(F.col("name").alias("id")), _pairs(edges))
+        vectors = hooks.embedded(chunks, self.embed).join(chunks.select("id", _digest().alias("hash")), "id").select("id", "hash", "vector")
+        self.store.commit({**(replaced or {}), **tables}, {**(appended or {}), "text_chunks": chunks, "node_mentions": nodes, "edge_mentions": edges, "chunk_vectors": vectors})
+
+    def _merged(self, node_mentions: DataFrame, edge_mentions: DataFrame, names: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+        """Nodes, edges and their vectors after the mentions of some names and pairs changed."""
+        read = self.store.read
+        pairs = graph.checkpoint(pairs.distinct())
+        names = graph.checkpoint(names.unionByName(pairs.select(F.explode(F.array("lo", "hi")).alias("id"))).distinct())
+        own = edge_mentions.withColumns({"lo": F.least("src", "tgt"), "hi": F.greatest("src", "tgt")}).join(pairs, ["lo", "hi"], "left_semi").drop("lo", "hi")
+        keyed = graph.relation_ids(graph.merge_edges(own)).select("id", *schemas.names(schemas.EDGES))
+        new_edges = hooks.summarised(keyed, self.complete, self.summary_tokens, counter=self.tokenizer.count).drop("id")
+        edges = graph.checkpoint(read("edges").join(pairs, ["lo", "hi"], "left_anti").select(*schemas.names(schemas.EDGES)).unionByName(new_edges))
+        merged = graph.merge_nodes(node_mentions.join(names.withColumnRenamed("id", "name"), "name", "left_semi")).select(*schemas.names(schemas.NODES))
+        merged = graph.checkpoint(hooks.summarised(merged, self.complete, self.summary_tokens, counter=self.tokenizer.count))
+        lacking = graph.placeholders(graph.touching(edges, names), merged).join(names, "id", "left_semi").select(*schemas.names(schemas.NODES))
+        nodes = graph.checkpoint(read("nodes").join(names, "id", "left_anti").unionByName(merged).unionByName(lacking))
         node_text = nodes.select("id", F.concat("id", "description").alias("content"))
         edge_text = graph.relation_ids(edges).select("id", "lo", "hi", F.concat("keywords", "lo", "hi", "description").alias("content"))
-        new_chunks = chunks.join(self.store.read("chunk_vectors").select("id"), "id", "left_anti")
-        kept = self.store.read("chunk_vectors").join(chunks.select("id"), "id", "left_semi")
-        self.store.commit({
-            **others, "text_chunks": chunks, "node_mentions": node_mentions, "edge_mentions": edge_mentions, "nodes": nodes, "edges": edges,
-            "chunk_vectors": kept.unionByName(hooks.embedded(new_chunks, self.embed)), "node_vectors": hooks.embedded(node_text, self.embed),
-            "edge_vectors": edge_text.select("id", "lo", "hi").join(hooks.embedded(edge_text, self.embed), "id"),
-        })
+        return {
+            "nodes": nodes, "edges": edges, "node_vectors": self._embedded(node_text, "node_vectors").select("id", "hash", "vector"),
+            "edge_vectors": self._embedded(edge_text, "edge_vectors").join(edge_text.select("id", "lo", "hi"), "id").select("id", "hash", "lo", "hi", "vector"),
+        }
+
+    def _embedded(self, texts: DataFrame, table: str) -> DataFrame:
+        """Vectors of ``texts(id, content)``: those at hand where the text is as before, others embedded now."""
+        hashed = texts.select("id", "content", _digest().alias("hash"))
+        known = self.store.read(table).select("id", "hash", "vector")
+        kept = known.join(hashed.select("id", "hash"), ["id", "hash"], "left_semi")
+        fresh = graph.checkpoint(hashed.join(known.select("id", "hash"), ["id", "hash"], "left_anti"))
+        return graph.checkpoint(kept.unionByName(hooks.embedded(fresh, self.embed).join(fresh.select("id", "hash"), "id").select("id", "hash", "vector")))
+
+    def _shrink(self, gone_nodes: DataFrame, gone_edges: DataFrame, **replaced: DataFrame) -> None:
+        """Take mentions away; ``gone_*`` are among those stored."""
+        read = self.store.read
+        gone_nodes, gone_edges = graph.checkpoint(gone_nodes), graph.checkpoint(gone_edges)
+        nodes = graph.checkpoint(_new_rows(read("node_mentions"), gone_nodes, distinct=False))
+        edges = graph.checkpoint(_new_rows(read("edge_mentions"), gone_edges, distinct=False))
+        tables = self._merged(nodes, edges, gone_nodes.select(F.col("name").alias("id")), _pairs(gone_edges))
+        self.store.commit({**tables, **replaced, "node_mentions": nodes, "edge_mentions": edges})
 
     def delete_document(self, doc_id: str) -> None:
-        """Remove a document with its chunks, and what only these support."""
+        """Remove a document with the chunks that no other has, and what only these support."""
         read = self.store.read
-        gone = graph.checkpoint(read("text_chunks").where(F.col("full_doc_id") == doc_id).select(F.col("id").alias("chunk_id")))
-        self._commit_graph(
-            read("node_mentions").join(gone, "chunk_id", "left_anti").select("name", "entity_type", "description", "chunk_id", "pos"),
-            read("edge_mentions").join(gone, "chunk_id", "left_anti").select("src", "tgt", "weight", "description", "keywords", "chunk_id", "pos"),
-            text_chunks=kv.delete(read("text_chunks"), gone.select(F.col("chunk_id").alias("id"))),
+        theirs = read("doc_chunks")
+        left = theirs.where(F.col("doc_id") != doc_id)
+        gone = graph.checkpoint(theirs.where(F.col("doc_id") == doc_id).select("id").distinct().join(left.select("id"), "id", "left_anti"))
+        mine = lambda name: read(name).join(gone.withColumnRenamed("id", "chunk_id"), "chunk_id", "left_semi").select(*read(name).columns)
+        self._shrink(
+            mine("node_mentions"), mine("edge_mentions"), text_chunks=kv.delete(read("text_chunks"), gone), chunk_vectors=kv.delete(read("chunk_vectors"), gone), doc_chunks=left,
             full_docs=read("full_docs").where(F.col("id") != doc_id), doc_status=read("doc_status").where(F.col("id") != doc_id),
         )
 
     def delete_entity(self, name: str) -> None:
         """Remove an entity and its relations."""
         read = self.store.read
-        self._commit_graph(read("node_mentions").where(F.col("name") != name), read("edge_mentions").where((F.col("src") != name) & (F.col("tgt") != name)))
+        self._shrink(read("node_mentions").where(F.col("name") == name), read("edge_mentions").where((F.col("src") == name) | (F.col("tgt") == name)))
 
     def clear(self) -> None:
         self.store.drop()
@@ -126,8 +197,21 @@ class GraphRetrieval:
     def labels(self) -> DataFrame:
         return self.store.read("nodes").select("entity_type").distinct().orderBy("entity_type")
 
-    def subgraph(self, name: str, depth: int = 5) -> DataFrame:
-        return graph.reachable(self.store.read("edges"), self.spark.createDataFrame([(name,)], "id string"), depth)
+    def subgraph(self, name: str, depth: int = 5) -> tuple[DataFrame, DataFrame]:
+        """Nodes within ``depth`` steps of a name, with their depth, and the edges between them."""
+        edges = self.store.read("edges")
+        near = graph.reachable(edges, self.spark.createDataFrame([(name,)], "id string"), depth)
+        return near.join(self.store.read("nodes"), "id", "left"), graph.induced(edges, near)
+
+    def entity_info(self, name: str, with_vector: bool = False) -> DataFrame:
+        """Node of a name, with its vector if asked."""
+        found = self.store.read("nodes").where(F.col("id") == name)
+        return graph.with_vectors(found, self.store.read("node_vectors"), ["id"]) if with_vector else found
+
+    def relation_info(self, one: str, other: str, with_vector: bool = False) -> DataFrame:
+        """Edge between two names, with its vector if asked."""
+        found = self.store.read("edges").where((F.col("lo") == min(one, other)) & (F.col("hi") == max(one, other)))
+        return graph.with_vectors(found, self.store.read("edge_vectors"), ["lo", "hi"]) if with_vector else found
 
     # queries
 
@@ -137,6 +221,15 @@ class GraphRetrieval:
         row = self.spark.createDataFrame([(answer,)], "a string").select(extraction.keywords(F.col("a")).alias("k")).first()
         return list(row.k.high), list(row.k.low)
 
+    def _ranked(self, rows: DataFrame, text: Callable[[DataFrame], DataFrame], query: str, param: QueryParam) -> DataFrame:
+        """Rows of a section in the reranker's order, cut where scores fall; as they are without a reranker or a gradient."""
+        if not (self.score and param.gradient):
+            return rows
+        asked = text(rows).withColumns({"query": F.lit(query), "query_id": F.lit(0)})
+        scored = hooks.scored(asked, self.score, "__text").withColumnRenamed("id", "key")
+        kept = ranking.gradient_select(scored, param.least, param.gradient, key="key")
+        return kept.withColumn("id", F.col("rn") - 1).select(*rows.columns)
+
     def context(self, text: str, param: QueryParam = QueryParam()) -> str | None:
         """Context of a query, or None where nothing is found."""
         if param.mode == "naive":
@@ -156,28 +249,89 @@ class GraphRetrieval:
         parts = []
         for title, mine, theirs, names in zip(("Entities", "Relationships", "Sources"), local, overall, columns, strict=True):
             rows = mine(g) if mode == "local" else theirs(g) if mode == "global" else context.combine(theirs(g), mine(g), names)
+            if param.mode == "mix":
+                rows = self._ranked(rows, lambda r, names=names: r.withColumn("__text", F.concat_ws(" ", *[F.col(c).cast("string") for c in names])), text, param)
             parts.append(f"-----{title}-----\n" + context.csv_section(rows, ["id", *names]).first().csv)
         if param.mode == "mix":
-            hits = g.chunk_hits().where(F.col("pos") < min(10, param.top_k)).join(g.chunks(), "id")
-            if param.gradient:
-                scored = hits.join(g.chunk_scores(), "id").select(F.lit(0).alias("query_id"), "id", "content", "score")
-                hits = ranking.gradient_select(scored, param.least, param.gradient).withColumn("pos", F.col("rn"))
-            parts.append("-----Chunks-----\n" + (context.joined_chunks(hits, "pos").first().context or ""))
+            hits = g.chunk_hits().where(F.col("pos") < min(10, param.top_k)).join(g.chunks(), "id").select(F.col("pos").alias("id"), "content")
+            hits = self._ranked(hits, lambda r: r.withColumn("__text", F.col("content")), text, param)
+            parts.append("-----Chunks-----\n" + (context.joined_chunks(hits, "id").first().context or ""))
         return "\n".join(parts)
 
+    def past(self, param: QueryParam) -> str:
+        """The last turns of the history as text."""
+        if not param.history:
+            return ""
+        rows = [(0, i, m.get("role"), m.get("content")) for i, m in enumerate(param.history)]
+        found = extraction.conversation_turns(self.spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), param.history_turns).first()
+        return found.history + "\n" if found else ""
+
     def query(self, text: str, param: QueryParam = QueryParam()) -> str:
-        """Answer of the model over the query's context; a prefix such as ``/local `` names the mode."""
+        """Answer of the model over the query's context; a prefix such as ``/local `` names the mode.
+
+        An answer is kept under mode, query, keywords and history, and an equal query later takes it from there.
+        """
         row = self.spark.createDataFrame([(text,)], "q string").select(extraction.query_mode(F.col("q")).alias("m")).first().m
         if row.query != text:
             param, text = replace(param, mode=row.mode), row.query
+        whole = not (param.only_need_context or param.only_need_prompt)
+        known = self._cached(text, param) if whole and param.cached else None
+        if known is not None:
+            return known
         found = self.context(text, param)
         if found is None:
             return FAIL
         if param.only_need_context:
             return found
-        past = "".join(f"{m['role']}: {m['content']}\n" for m in param.history)
-        prompt = f"Answer from the data below only.\n{past}\n{found}\n\nQuestion: {text}"
-        return prompt if param.only_need_prompt else self.complete(prompt)
+        prompt = f"Answer from the data below only.\n{self.past(param)}\n{found}\n\nQuestion: {text}"
+        if param.only_need_prompt:
+            return prompt
+        answer = self.complete(prompt)
+        if param.cached:
+            vector = self.spark.createDataFrame([(self._key(text, param), param.mode, text, answer, [float(x) for x in self.embed([text])[0]])], "args_hash string, mode string, question string, answer string, v array<double>")
+            saved = vector.select("mode", "args_hash", "question", "answer", quantised(F.col("v")).alias("q"), F.array_min("v").alias("low"), F.array_max("v").alias("high"))
+            self.store.commit(append={"cache": saved})
+        return answer
+
+    def _key(self, text: str, param: QueryParam) -> str:
+        parts = repr((text, param.high_keywords, param.low_keywords, param.history, param.top_k, param.threshold, param.budget, param.gradient, param.least))
+        return self.spark.range(1).select(cache.key(F.lit(param.mode), F.lit(parts), "query").alias("k")).first().k
+
+    def _cached(self, text: str, param: QueryParam) -> str | None:
+        """Answer to an equal query, or to the most similar one of the mode that the model, if asked, takes for the same."""
+        stored = self.store.read("cache").where(F.col("mode") == param.mode)
+        asked = self.spark.createDataFrame([(param.mode, self._key(text, param))], "mode string, args_hash string")
+        answer = cache.exact(asked, stored).select("answer").first()
+        if answer and answer.answer is not None:
+            return answer.answer
+        if param.similar is None:
+            return None
+        query = self.spark.createDataFrame([(0, [float(x) for x in self.embed([text])[0]])], "query_id long, vector array<double>")
+        best = cache.similar(query, stored.withColumn("id", F.col("args_hash")), param.similar).first()
+        if best is None:
+            return None
+        other = stored.where(F.col("args_hash") == best.id).first()
+        if param.recheck and self.complete(f"{hooks.SAME}1. {text}\n2. {other.question}").strip().strip("\"'").lower() not in ("yes", "是"):
+            return None
+        return other.answer
+
+
+def _digest():
+    return F.md5(F.encode("content", "UTF-8"))
+
+
+def _pairs(mentions: DataFrame) -> DataFrame:
+    return mentions.select(F.least("src", "tgt").alias("lo"), F.greatest("src", "tgt").alias("hi"))
+
+
+def _new_rows(rows: DataFrame, known: DataFrame, distinct: bool = True) -> DataFrame:
+    """Rows that ``known`` does not have, nulls equal to nulls; equal rows once unless told otherwise."""
+    match = None
+    other = known.select(*[F.col(c).alias(f"__{c}") for c in rows.columns])
+    for c in rows.columns:
+        same = F.col(c).eqNullSafe(F.col(f"__{c}"))
+        match = same if match is None else match & same
+    return (rows.distinct() if distinct else rows).join(other, match, "left_anti")
 
 
 class _Stored:
@@ -185,6 +339,7 @@ class _Stored:
 
     def __init__(self, engine: GraphRetrieval, param: QueryParam, low: str, high: str, text: str):
         self.engine, self.param, self.low, self.high, self.text, self.budget = engine, param, low, high, text, param.budget
+        self.counter = engine.tokenizer.count
 
     def _read(self, name: str) -> DataFrame:
         return self.engine.store.read(name)
@@ -211,6 +366,3 @@ class _Stored:
 
     def chunk_hits(self) -> DataFrame:
         return self._hits("chunk_vectors", self.text).select("pos", "id")
-
-    def chunk_scores(self) -> DataFrame:
-        return self._hits("chunk_vectors", self.text).select("id", F.col("similarity").alias("score"))

@@ -39,6 +39,24 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(out, r"[\x00-\x1f\x7f-\x9f]", "")
 
 
+def decoded_escapes(text: Column) -> Column:
+    r"""``\uXXXX`` escapes as characters; other backslashes stay."""
+    body = F.regexp_replace(text, r"\\(?!u[0-9a-fA-F]{4})", r"\\\\")
+    body = F.concat(F.lit('{"v":"'), F.replace(body, F.lit('"'), F.lit('\\"')), F.lit('"}'))
+    return F.coalesce(F.from_json(body, "v string", {"allowUnquotedControlChars": "true"})["v"], text)
+
+
+def without_nul(text: Column) -> Column:
+    return F.replace(text, F.lit("\0"), F.lit(""))
+
+
+def csv_fields(line: Column) -> Column:
+    """Fields of a CSV row without NUL characters; quoted fields may hold commas and doubled quotes (inverse of :func:`csv_row`)."""
+    parts = F.regexp_extract_all(F.concat(without_nul(line), F.lit(",")), F.lit(r'(?s)("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
+    bare = lambda p: F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(parts, lambda p: F.when(p.rlike(r'(?s)^".*"$'), bare(p)).otherwise(p))
+
+
 def quoted(value: Column) -> Column:
     """A CSV field in double quotes."""
     return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))

@@ -9,6 +9,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.text import token_count
 from tessella.operators import extraction
 
 
@@ -20,6 +21,10 @@ class Complete(Protocol):
     def __call__(self, prompt: str, history: list[dict] | None = None) -> str: ...
 
 
+class Score(Protocol):
+    def __call__(self, query: str, texts: list[str]) -> list[float | None]: ...
+
+
 def embedded(rows: DataFrame, embed: Embed, text: str = "content", key: str = "id", batch: int = 32) -> DataFrame:
     """``key, vector`` of every row, embedded ``batch`` texts a call inside the tasks (K5).
 
@@ -62,6 +67,8 @@ def answered(rows: DataFrame, complete: Complete, prompt: str = "prompt", key: s
 
 #: Prompts of extraction; an application gives its own.
 EXTRACT = 'List entities as ("entity"<|>name<|>type<|>description) and relationships as ("relationship"<|>source<|>target<|>description<|>keywords<|>weight), joined by ## and ended by <|COMPLETE|>.\nText: '
+SUMMARISE = "Summarise what these descriptions of one thing say.\n"
+SAME = "Answer yes or no: do these two questions ask for the same?\n"
 MORE, ASK = "Some were missed. Add them in the same format.", "Answer yes or no: are entities still missing?"
 
 
@@ -80,9 +87,47 @@ def gleaned(complete: Complete, text: str, rounds: int = 1, yes: tuple[str, ...]
 
 
 def extracted(chunks: DataFrame, complete: Complete, rounds: int = 1) -> DataFrame:
-    """``chunk_id, text``: a model's records for every chunk ``(id, content)``."""
+    """``chunk_id, text, error``: a model's records for every chunk ``(id, content)``, or the message of its failure."""
     found = answered(chunks, lambda text: gleaned(complete, text, rounds), "content")
-    return found.where("error is null").select(F.col("id").alias("chunk_id"), F.col("answer").alias("text"))
+    return found.select(F.col("id").alias("chunk_id"), F.col("answer").alias("text"), "error")
+
+
+def scored(rows: DataFrame, score: Score, text: str = "content", query: str = "query", batch: int = 64) -> DataFrame:
+    """Rows with the ``score`` of a reranker for their text and query, ``batch`` texts a call.
+
+    A call that fails, or gives another number of scores than texts, leaves its rows with a null.
+    """
+    from pyspark.sql import types as T
+
+    kept = rows.drop("score")
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in batches:
+            texts, queries, out = part.column(text).to_pylist(), part.column(query).to_pylist(), [None] * part.num_rows
+            for asked in dict.fromkeys(queries):
+                own = [i for i, q in enumerate(queries) if q == asked]
+                for at in range(0, len(own), batch):
+                    some = own[at : at + batch]
+                    try:
+                        found = score(asked, [texts[i] for i in some])
+                    except Exception:  # noqa: BLE001  the scorer is foreign code
+                        continue
+                    if len(found) == len(some):
+                        for i, value in zip(some, found, strict=True):
+                            out[i] = value
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names=[*part.schema.names, "score"])
+
+    return kept.mapInArrow(run, schema)
+
+
+def summarised(rows: DataFrame, complete: Complete, limit: int = 500, text: str = "description", key: str = "id", counter: Callable | None = None) -> DataFrame:
+    """Rows whose text has over ``limit`` tokens with a model's summary instead; the text stays where a call fails (A4)."""
+    long = rows.where((counter or token_count)(F.col(text)) > limit).select(key, F.concat(F.lit(SUMMARISE), F.col(text)).alias("prompt"))
+    short = answered(long, complete, "prompt", key).select(key, "answer")
+    return rows.join(short, key, "left").withColumn(text, F.coalesce("answer", text)).select(*rows.columns)
 
 
 def accepted(rows: DataFrame, complete: Complete, question: Callable[[str], str], text: str = "text", key: str = "id", yes: str = "是") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import hash_id, strip, summary, tokens
+from tessella.functions.text import hash_id, strip, summary
+from tessella.functions.tokenizers import WHITE, Tokenizer, WhiteSpace
+from tessella.operators import ranking
 
 
 def ingest(docs: DataFrame) -> DataFrame:
@@ -14,43 +16,41 @@ def ingest(docs: DataFrame) -> DataFrame:
     return bare.select(hash_id("doc-", F.col("content")).alias("id"), "content", summary(F.col("content")).alias("content_summary"), F.length("content").alias("content_length"))
 
 
-def windows(words: Column, size: int, overlap: int) -> Column:
-    """Array of (tokens, content) of overlapping windows; a last one may lie within that before it."""
-    n = F.size(words)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(F.least(F.lit(size), n - s).alias("tokens"), F.array_join(F.slice(words, s + 1, F.lit(size)), " ").alias("content")))
-
-
 def _numbered(df: DataFrame, key: str, chunks: Column) -> DataFrame:
     out = df.select(key, F.posexplode(chunks).alias("chunk_order_index", "c"))
     return out.select(key, "chunk_order_index", F.col("c.tokens").alias("tokens"), F.col("c.content").alias("content"), hash_id("chunk-", F.col("c.content")).alias("id"))
 
 
-def by_tokens(docs: DataFrame, size: int = 1200, overlap: int = 100, key: str = "doc_id") -> DataFrame:
-    """Windows of white-space tokens (O2); blank texts have none."""
-    return _numbered(docs.withColumn("__w", tokens(F.col("text"))), key, windows(F.col("__w"), size, overlap))
+def by_tokens(docs: DataFrame, size: int = 1200, overlap: int = 100, key: str = "doc_id", tokenizer: Tokenizer = WHITE) -> DataFrame:
+    """Overlapping windows of tokens (O2); blank texts have none."""
+    return _numbered(docs.withColumn("__w", tokenizer.windows(F.col("text"), size, overlap)), key, F.col("__w"))
 
 
 def pieces(text: Column, separator: str) -> Column:
     return F.split(text, F.lit("\\Q" + separator + "\\E"), F.lit(-1))
 
 
-def by_separator(docs: DataFrame, separator: str, key: str = "doc_id") -> DataFrame:
+def by_separator(docs: DataFrame, separator: str, key: str = "doc_id", tokenizer: Tokenizer = WHITE) -> DataFrame:
     """Stripped pieces between separators (O3)."""
-    chunks = F.transform(pieces(F.col("text"), separator), lambda p: F.struct(F.size(tokens(p)).alias("tokens"), strip(p).alias("content")))
-    return _numbered(docs, key, chunks)
+    return by_separator_then_tokens(docs, separator, 1 << 30, 0, key, tokenizer)
 
 
-def by_separator_then_tokens(docs: DataFrame, separator: str, size: int = 1200, overlap: int = 100, key: str = "doc_id") -> DataFrame:
+def by_separator_then_tokens(docs: DataFrame, separator: str, size: int = 1200, overlap: int = 100, key: str = "doc_id", tokenizer: Tokenizer = WHITE) -> DataFrame:
     """Pieces between separators, those of over ``size`` tokens cut to windows, numbered through."""
+    if isinstance(tokenizer, WhiteSpace):
 
-    def cut(piece: Column) -> Column:
-        words = piece["words"]
-        whole = F.array(F.struct(F.size(words).alias("tokens"), strip(piece["text"]).alias("content")))
-        return F.when(F.size(words) > size, windows(words, size, overlap)).otherwise(whole)
+        def cut(piece: Column) -> Column:
+            n = tokenizer.count(piece)
+            return F.when(n > size, tokenizer.windows(piece, size, overlap)).otherwise(F.array(F.struct(n.alias("tokens"), strip(piece).alias("content"))))
 
-    split = F.transform(pieces(F.col("text"), separator), lambda p: F.struct(p.alias("text"), tokens(p).alias("words")))
-    return _numbered(docs.withColumn("__p", split), key, F.flatten(F.transform("__p", cut)))
+        return _numbered(docs.withColumn("__p", pieces(F.col("text"), separator)), key, F.flatten(F.transform("__p", cut)))
+    # an injected encoder takes columns, so each piece becomes a row, and rows are numbered within their text
+    each = docs.select(key, F.posexplode(pieces(F.col("text"), separator)).alias("__at", "__piece"))
+    counted = each.withColumns({"__n": tokenizer.count(F.col("__piece")), "__w": tokenizer.windows(F.col("__piece"), size, overlap)})
+    whole = F.array(F.struct(F.col("__n").alias("tokens"), strip(F.col("__piece")).alias("content")))
+    cut_ = counted.select(key, "__at", F.posexplode(F.when(F.col("__n") > size, F.col("__w")).otherwise(whole)).alias("__k", "c"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("__at", "__k")) - 1
+    return cut_.select(key, place.alias("chunk_order_index"), F.col("c.tokens").alias("tokens"), F.col("c.content").alias("content"), hash_id("chunk-", F.col("c.content")).alias("id"))
 
 
 def by_characters(docs: DataFrame, size: int = 300, overlap: int = 50, key: str = "doc_id") -> DataFrame:
@@ -68,11 +68,9 @@ def half_and_half(words: Column, limit: int = 2000, skip: int = 1000) -> Column:
 
 
 def grouped_comments(comments: DataFrame, size: int = 10, limit: int = 500, key: str = "doc_id") -> DataFrame:
-    """Comments in batches of ``size`` ids, joined by line feeds and cut to ``limit`` characters.
-
-    Batches go by key ranges, which needs no global order.
-    """
-    batch = F.floor(F.col(key) / size).alias("batch")
+    """Comments in batches of ``size`` rows in the order of the key, joined by line feeds and cut to ``limit`` characters."""
+    comments = ranking.positions(comments, key)
+    batch = F.floor(F.col("at") / size).alias("batch")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "text"))), lambda x: x["text"]), "\n")
     return comments.groupBy(batch).agg(F.substring(joined, 1, limit).alias("source_comment"))
 

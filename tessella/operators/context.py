@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessella.functions.text import csv_row, strip
@@ -62,3 +62,9 @@ def rendered(template: str, **values: Column) -> Column:
 
 def created_at(epoch: Column) -> Column:
     return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm:ss")
+
+
+def observed(rows: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """Rows, and aggregates of them that are there once an action has run over the rows: progress and context counts."""
+    seen = Observation()
+    return rows.observe(seen, *[c.alias(name) for name, c in counts.items()]), seen

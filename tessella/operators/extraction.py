@@ -67,14 +67,16 @@ def conversation_turns(history: DataFrame, turns: int) -> DataFrame:
     Messages that hold extracted keywords go first; then every two messages in order are a pair,
     kept if one is the user's and one the assistant's, the user's put first.
     """
-    own = history.where(~((F.col("role") == "assistant") & (F.col("text").startswith('{ "high_level_keywords"') | F.col("text").startswith("{'high_level_keywords'"))))
+    of_keywords = (F.col("role") == "assistant") & (F.col("text").startswith('{ "high_level_keywords"') | F.col("text").startswith("{'high_level_keywords'"))
+    own = history.where(~F.coalesce(of_keywords, F.lit(False)))
     order = Window.partitionBy("conv_id").orderBy("turn")
     pairs = own.select("conv_id", "role", "text", (F.row_number().over(order) - 1).alias("i"), F.lead("role").over(order).alias("role2"), F.lead("text").over(order).alias("text2")).where("i % 2 = 0")
     forward = (F.col("role") == "user") & (F.col("role2") == "assistant")
     backward = (F.col("role") == "assistant") & (F.col("role2") == "user")
     kept = pairs.where(forward | backward).select("conv_id", "i", F.when(forward, F.col("text")).otherwise(F.col("text2")).alias("u"), F.when(forward, F.col("text2")).otherwise(F.col("text")).alias("a"))
     last = kept.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("i")))).where(F.col("back") <= turns)
-    line = F.concat(F.lit("user: "), F.col("u"), F.lit("\nassistant: "), F.col("a"))
+    said = lambda c: F.coalesce(F.col(c), F.lit(""))  # noqa: E731  a null text is an empty one
+    line = F.concat(F.lit("user: "), said("u"), F.lit("\nassistant: "), said("a"))
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "\n").alias("history"))
 
 
@@ -95,11 +97,23 @@ def valid_question(q: Column) -> Column:
     return good
 
 
+_FENCE = r"(?s)```([A-Za-z0-9_+-]*)\n(.*?)```"
+
+
 def code_blocks(text: Column) -> Column:
-    """Bodies of fenced code blocks."""
-    return F.regexp_extract_all(text, F.lit(r"(?s)```[A-Za-z0-9_+-]*\n(.*?)```"), F.lit(1))
+    """Fenced code blocks of a text as ``blocks (language, body)``, and the ``rest`` of the text."""
+    languages, bodies = (F.regexp_extract_all(text, F.lit(_FENCE), F.lit(k)) for k in (1, 2))
+    blocks = F.zip_with(languages, bodies, lambda x, y: F.struct(x.alias("language"), y.alias("body")))
+    return F.struct(blocks.alias("blocks"), strip(F.regexp_replace(text, _FENCE, "")).alias("rest"))
+
+
+_PARAGRAPH = r'(?s)"(\d+)"\s*(.*?)(?=\n\n|\n"\d+"|$)'
 
 
-def paragraphs(text: Column) -> Column:
-    """Numbered paragraphs of a rerank request."""
-    return F.regexp_extract_all(text, F.lit(r'(?m)"\d+"\s*(.*?)(?=\n\n|$)'), F.lit(1))
+def paragraphs(text: Column, query_mark: str = "Query: ") -> Column:
+    """Paragraphs ``(number, text)`` of a rerank request, and the ``query`` of its line that ``query_mark`` begins."""
+    line = F.lit("(?m)^\\Q" + query_mark + "\\E(.*)$")
+    body = F.regexp_replace(text, line, F.lit(""))
+    numbers, bodies = (F.regexp_extract_all(body, F.lit(_PARAGRAPH), F.lit(k)) for k in (1, 2))
+    found = F.zip_with(numbers, bodies, lambda n, t: F.struct(n.cast("int").alias("number"), strip(t).alias("text")))
+    return F.struct(F.nullif(F.get(F.regexp_extract_all(text, line, F.lit(1)), F.lit(0)), F.lit("")).alias("query"), found.alias("paragraphs"))

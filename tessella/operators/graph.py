@@ -51,6 +51,17 @@ def degrees(edges: DataFrame, direction: str = "both") -> DataFrame:
     return edges.select(ends.alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
+def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with an end among ``ids(id)``, each once; the few ids go to the edges."""
+    low, high = (ids.select(F.col("id").alias(c)).distinct() for c in ("lo", "hi"))
+    return edges.join(low, "lo", "left_semi").unionByName(edges.join(high, "hi", "left_semi").join(low, "lo", "left_anti").select(*edges.columns))
+
+
+def degrees_of(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Degrees of ``ids(id)`` only: of the edges those at these ids are counted."""
+    return edges.select(F.explode(F.array("lo", "hi")).alias("id")).join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+
+
 def edge_degrees(edges: DataFrame, degree: DataFrame) -> DataFrame:
     """Sum of the degrees of both ends."""
     low = degree.select(F.col("id").alias("lo"), F.col("degree").alias("d1"))
@@ -65,7 +76,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def one_hop(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Neighbours of ``seeds(id)``."""
-    return seeds.join(adjacency(edges).withColumnRenamed("src", "id"), "id")
+    return seeds.join(adjacency(touching(edges, seeds)).withColumnRenamed("src", "id"), "id")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -119,6 +130,16 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = F
     return seen
 
 
+def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with both ends among ``ids(id)``."""
+    return edges.join(ids.select(F.col("id").alias("lo")), "lo", "left_semi").join(ids.select(F.col("id").alias("hi")), "hi", "left_semi").select(*edges.columns)
+
+
+def with_vectors(items: DataFrame, vectors: DataFrame, key: list[str]) -> DataFrame:
+    """Nodes or edges with their vectors, null where there is none."""
+    return items.join(vectors.select(*key, "vector"), key, "left")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest id reachable from every node, by rounds of the least label of the neighbours and of the label's own label."""
     steps = checkpoint(adjacency(edges))

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import token_count
+from tessella.operators import graph
 
 
-def token_budget(rows: DataFrame, text: str, budget: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
-    """Longest prefix whose tokens add up to ``budget`` at most (R7); rows without tokens are left out.
+def token_budget(rows: DataFrame, text: str, budget: int, order: list[Column], by: list[str] | None = None, counter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Longest prefix whose tokens add up to ``budget`` at most (R7); rows without tokens cost nothing.
 
-    As each row has a token at least, no more than the first ``budget`` and one can matter: a
-    distributed top-k finds these before the running sum. With ``by`` each of its keys has a budget.
+    Of the rows with tokens no more than the first ``budget`` and one can matter: a distributed
+    top-k finds these before the running sum. With ``by`` each of its keys has a budget. Tokens are
+    those of ``counter``, white-space tokens by default.
     """
-    counted = rows.withColumn("__tokens", token_count(F.col(text))).where("__tokens > 0")
+    counted = rows.withColumn("__tokens", (counter or token_count)(F.col(text)))
+    some, none = counted.where("__tokens > 0"), counted.where("__tokens <= 0")
     if by:
         window = Window.partitionBy(*by).orderBy(*order)
-        counted = counted.withColumn("__rn", F.row_number().over(window)).where(F.col("__rn") <= budget + 1).drop("__rn")
+        some = some.withColumn("__rn", F.row_number().over(window)).where(F.col("__rn") <= budget + 1).drop("__rn")
     else:
         window = Window.partitionBy(F.lit(1)).orderBy(*order)
-        counted = counted.orderBy(*order).limit(max(budget, 0) + 1)
+        some = some.orderBy(*order).limit(max(budget, 0) + 1)
+    counted = some.unionByName(none)
     running = F.sum("__tokens").over(window.rowsBetween(Window.unboundedPreceding, 0))
     return counted.withColumn("__running", running).where(F.col("__running") <= budget).drop("__running", "__tokens")
 
@@ -31,10 +37,13 @@ def numbered(rows: DataFrame, order: list[Column], by: list[str] | None = None,
 
 
 def gradient_select(scored: DataFrame, least: int = 30, gradient: float = 1.1, by: str = "query_id", key: str = "id") -> DataFrame:
-    """Best rows of each query: ``least`` of them, then on while a score is over the last one's ``gradient``-th part."""
+    """Best rows of each query: ``least`` of them, then on while a score is over the last one's ``gradient``-th part.
+
+    ``scored`` holds a query's candidates, which a top-k bounds. Rows without a score come last and end nothing.
+    """
     order = Window.partitionBy(by).orderBy(F.desc("score"), key)
     ranked = scored.withColumns({"rn": F.row_number().over(order), "before": F.lag("score").over(order)})
-    fails = ((F.col("rn") > least) & ~(F.col("score") > F.col("before") / gradient)).cast("int")
+    fails = F.coalesce(((F.col("rn") > least) & ~(F.col("score") > F.col("before") / gradient)).cast("int"), F.lit(0))
     return ranked.withColumn("failed", F.max(fails).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("failed = 0").drop("failed", "before")
 
 
@@ -46,18 +55,33 @@ def gradient_select_difference(scored: DataFrame, least: int = 12, threshold: fl
     return ranked.withColumn("failed", F.max(fails).over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("failed") == 0) | (F.col("rn") <= least)).drop("failed", "before")
 
 
+def positions(rows: DataFrame, key: str, name: str = "at") -> DataFrame:
+    """Place of each row in the order of ``key``, from 0, without one task for all: ranges are counted first, then numbered each."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = graph.checkpoint(rows.repartitionByRange(width, key).withColumn("__range", F.spark_partition_id()))
+    counts = dict(dealt.groupBy("__range").count().collect())  # one row for each range
+    before, starts = 0, []
+    for k in range(width):
+        starts.append(F.lit(before).cast("long"))
+        before += counts.get(k, 0)
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return dealt.withColumn(name, own + F.get(F.array(*starts), F.col("__range"))).drop("__range")
+
+
 def related_edges(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with ``rank`` at ``seeds(id)``, each once."""
-    near = edges.join(seeds.select(F.col("id").alias("lo")), "lo", "left_semi").unionByName(edges.join(seeds.select(F.col("id").alias("hi")), "hi", "left_semi"))
-    return near.dropDuplicates(["lo", "hi"])
+    """Edges at ``seeds(id)``, each once, with the sum of their ends' degrees as ``rank``."""
+    near = graph.touching(edges, seeds)
+    return graph.edge_degrees(near, graph.degrees_of(edges, near.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()))
 
 
-def chunks_of_entities(hits: DataFrame, nodes: DataFrame, adjacent: DataFrame) -> DataFrame:
+def chunks_of_entities(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Chunks that hit entities cite: ``chunk_id, at (place of the last entity citing it), relations`` (R2).
 
     ``relations`` counts that entity's neighbours that cite the chunk too.
     """
-    cited = nodes.select("id", F.explode("source_ids").alias("chunk_id"))
+    adjacent = graph.adjacency(graph.touching(edges, hits.select("id")))
+    known = hits.select("id").unionByName(adjacent.select(F.col("dst").alias("id"))).distinct()
+    cited = nodes.join(known, "id", "left_semi").select("id", F.explode("source_ids").alias("chunk_id"))
     own = hits.select("pos", "id").join(cited, "id")
     last = own.groupBy("chunk_id").agg(F.max(F.struct("pos", "id")).alias("x")).select("chunk_id", F.col("x.pos").alias("at"), F.col("x.id").alias("id"))
     neighbours = last.join(adjacent.select(F.col("src").alias("id"), F.col("dst").alias("near")), "id")

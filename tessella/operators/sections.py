@@ -1,8 +1,7 @@
-"""Sections of query contexts, over any graph that has ``nodes``, ``edges``, ``chunks``, the three kinds of hits and a ``budget``.
+"""Sections of query contexts, over any graph that has ``nodes``, ``edges``, ``chunks``, the three kinds of hits, a ``budget`` and a token ``counter``.
 
 A graph is an object with the methods of :class:`tessella.plans.bindings.Graph`: hits are few (a
-top-k), so joins that begin with them are small against the tables, and ranked rows are those that
-hits touch.
+top-k), so every join begins with them: nodes, edges and degrees are looked up for what hits touch.
 """
 
 from __future__ import annotations
@@ -14,18 +13,17 @@ from tessella.operators import graph, ranking
 
 def entities_at_hits(g):
     """Hit entities with their nodes and degrees, missing ones left out."""
-    return g.entity_hits().join(g.nodes().drop("source_ids"), "id").join(graph.degrees(g.edges()), "id", "left").withColumn("rank", F.coalesce("degree", F.lit(0))).drop("degree")
-
-
-def ranked_edges(g):
-    """All edges with the sum of their ends' degrees."""
-    edges = g.edges()
-    return graph.edge_degrees(edges, graph.degrees(edges))
+    hits = g.entity_hits()
+    nodes = g.nodes().join(hits.select("id"), "id", "left_semi").drop("source_ids")
+    return hits.join(nodes, "id").join(graph.degrees_of(g.edges(), hits), "id", "left").withColumn("rank", F.coalesce("degree", F.lit(0))).drop("degree")
 
 
 def edges_at_hits(g):
     """Hit edges with rank."""
-    return g.edge_hits().join(ranked_edges(g).drop("source_ids"), ["lo", "hi"])
+    hits, edges = g.edge_hits(), g.edges()
+    near = edges.join(hits.select("lo", "hi"), ["lo", "hi"], "left_semi").drop("source_ids")
+    ends = hits.select(F.explode(F.array("lo", "hi")).alias("id"))
+    return hits.join(graph.edge_degrees(near, graph.degrees_of(edges, ends)), ["lo", "hi"])
 
 
 def local_entity_rows(g):
@@ -41,25 +39,25 @@ def edge_order():
 
 def edge_section(g, rows):
     """Edges within the budget of their descriptions, numbered."""
-    kept = ranking.token_budget(rows, "description", g.budget, edge_order())
+    kept = ranking.token_budget(rows, "description", g.budget, edge_order(), counter=g.counter)
     return ranking.numbered(kept, edge_order()).select("id", F.col("lo").alias("source"), F.col("hi").alias("target"), "description", "keywords", "weight", "rank")
 
 
 def local_relation_rows(g):
     """Relations of local mode."""
-    return edge_section(g, ranking.related_edges(g.entity_hits(), ranked_edges(g)))
+    return edge_section(g, ranking.related_edges(g.entity_hits(), g.edges()))
 
 
 def entity_chunk_rows(g):
     """Chunks that hit entities cite, with text (R2)."""
-    found = ranking.chunks_of_entities(g.entity_hits(), g.nodes(), graph.adjacency(g.edges()))
+    found = ranking.chunks_of_entities(g.entity_hits(), g.nodes(), g.edges())
     return found.join(g.chunks().withColumnRenamed("id", "chunk_id"), "chunk_id")
 
 
 def local_source_rows(g):
     """Sources of local mode."""
     order = [F.col("at"), F.desc("relations"), F.col("chunk_id")]
-    return ranking.numbered(ranking.token_budget(entity_chunk_rows(g), "content", g.budget, order), order).select("id", "content")
+    return ranking.numbered(ranking.token_budget(entity_chunk_rows(g), "content", g.budget, order, counter=g.counter), order).select("id", "content")
 
 
 def edge_chunk_rows(g):
@@ -74,17 +72,19 @@ def global_relation_rows(g):
 
 def global_entity_rows(g):
     """Entities of global mode, in the order edges name them."""
-    ends = ranking.endpoints(g.edge_hits()).join(g.nodes().drop("source_ids"), "id").join(graph.degrees(g.edges()).withColumnRenamed("degree", "rank"), "id")
-    kept = ranking.token_budget(ends, "description", g.budget, [F.col("at")]).withColumnRenamed("id", "entity")
+    ends = ranking.endpoints(g.edge_hits())
+    nodes = g.nodes().join(ends.select("id"), "id", "left_semi").drop("source_ids")
+    ends = ends.join(nodes, "id").join(graph.degrees_of(g.edges(), ends).withColumnRenamed("degree", "rank"), "id")
+    kept = ranking.token_budget(ends, "description", g.budget, [F.col("at")], counter=g.counter).withColumnRenamed("id", "entity")
     return ranking.numbered(kept, [F.col("at")]).select("id", "entity", F.col("entity_type").alias("type"), "description", "rank")
 
 
 def global_source_rows(g):
     """Sources of global mode."""
     order = [F.col("at"), F.col("chunk_id")]
-    return ranking.numbered(ranking.token_budget(edge_chunk_rows(g), "content", g.budget, order), order).select("id", "content")
+    return ranking.numbered(ranking.token_budget(edge_chunk_rows(g), "content", g.budget, order, counter=g.counter), order).select("id", "content")
 
 
 def naive_rows(g):
     """Hit chunks within the budget (Q1)."""
-    return ranking.token_budget(g.chunk_hits().join(g.chunks(), "id").where("content is not null"), "content", g.budget, [F.col("pos")])
+    return ranking.token_budget(g.chunk_hits().join(g.chunks(), "id").where("content is not null"), "content", g.budget, [F.col("pos")], counter=g.counter)

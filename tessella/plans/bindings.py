@@ -23,6 +23,7 @@ class Graph:
     """The stand-in tables over one folder; each is built when asked for."""
 
     budget = BUDGET
+    counter = None
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir

@@ -60,7 +60,7 @@ def estimate_tokens(g):
     return g.documents().select("doc_id", tx.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query("SELECT doc_id // 10 AS batch, substr(string_agg(text, chr(10) ORDER BY doc_id), 1, 500) AS source_comment FROM documents GROUP BY 1")
+@query("SELECT place // 10 AS batch, substr(string_agg(text, chr(10) ORDER BY place), 1, 500) AS source_comment FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) GROUP BY 1")
 def group_comments(g):
     return chunking.grouped_comments(g.documents())
 

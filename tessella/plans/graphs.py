@@ -120,11 +120,20 @@ def get_edge(g):
     return g.edges().where("lo = 'P7'").drop("source_ids")
 
 
-@query(PRELUDE + "SELECT id, entity_type, description, 'rel' AS kind, (SELECT count(*) FROM edges WHERE lo = nodes.id) AS relations FROM nodes WHERE id IN ('P1', 'P2', 'S3')")
+@query(PRELUDE + "SELECT nodes.id, entity_type, description, array_to_string(source_ids, '<SEP>') AS source_ids, coalesce(degree, 0) AS degree, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS vector_sum FROM nodes LEFT JOIN degree ON degree.id = nodes.id LEFT JOIN embeddings ON 'P' || vec_id = nodes.id")
 def entity_info(g):
-    some = g.nodes().where(F.col("id").isin("P1", "P2", "S3"))
-    counts = g.edges().groupBy(F.col("lo").alias("id")).agg(F.count("*").alias("relations"))
-    return some.join(counts, "id", "left").select("id", "entity_type", "description", F.lit("rel").alias("kind"), F.coalesce("relations", F.lit(0)).alias("relations"))
+    vectors = g.vectors().select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("id"), "vector")
+    found = graph.with_vectors(g.nodes().join(graph.degrees(g.edges()), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), vectors, ["id"])
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return _flat(found).withColumn("vector_sum", F.round(total, 6)).drop("vector")
+
+
+@query(PRELUDE + "SELECT lo, hi, weight, description, keywords, array_to_string(source_ids, '<SEP>') AS source_ids, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS vector_sum FROM edges LEFT JOIN embeddings ON 'P' || vec_id = lo")
+def relation_info(g):
+    vectors = g.vectors().select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("lo"), "vector")
+    found = graph.with_vectors(g.edges(), vectors, ["lo"])
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return _flat(found).withColumn("vector_sum", F.round(total, 6)).drop("vector")
 
 
 @query(PRELUDE + ", new AS (SELECT id, 'X' AS entity_type, CAST(NULL AS VARCHAR) AS description FROM nodes WHERE id LIKE '%3' UNION ALL SELECT 'NEW', 'Y', 'fresh') SELECT coalesce(new.id, nodes.id) AS id, coalesce(new.entity_type, nodes.entity_type) AS entity_type, coalesce(new.description, nodes.description) AS description FROM nodes FULL OUTER JOIN new ON new.id = nodes.id")
@@ -136,14 +145,14 @@ def graph_upsert(g):
 
 # traversal over regions, nations, customers and suppliers
 
-_TREE = """tree AS (SELECT 'R' || n_regionkey AS lo, 'N' || n_nationkey AS hi FROM nation UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer WHERE c_nationkey % 2 = 0
+_TREE = """tree AS (SELECT 'R' || n_regionkey AS lo, 'N' || n_nationkey AS hi FROM nation UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer
     UNION ALL SELECT 'N' || s_nationkey, 'U' || s_suppkey FROM supplier)"""
 
 
 def _tree(g):
     name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
     edges = g.table("nation").select(name("R", "n_regionkey").alias("lo"), name("N", "n_nationkey").alias("hi"))
-    edges = edges.unionAll(g.table("customer").where("c_nationkey % 2 = 0").select(name("N", "c_nationkey"), name("C", "c_custkey")))
+    edges = edges.unionAll(g.table("customer").select(name("N", "c_nationkey"), name("C", "c_custkey")))
     return edges.unionAll(g.table("supplier").select(name("N", "s_nationkey"), name("U", "s_suppkey")))
 
 
@@ -152,6 +161,12 @@ def bfs_subgraph(g):
     return graph.reachable(_tree(g), g.spark.createDataFrame([("R1",)], "id string"), 2)
 
 
+@query(PRELUDE + f", {_TREE}, both_ways AS (SELECT lo AS src, hi AS dst FROM tree UNION SELECT hi, lo FROM tree), walk AS (SELECT 'R1' AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN both_ways ON src = id WHERE depth < 2), near AS (SELECT DISTINCT id FROM walk) SELECT lo, hi FROM tree WHERE lo IN (SELECT id FROM near) AND hi IN (SELECT id FROM near)")
+def bfs_subgraph_edges(g):
+    tree = _tree(g)
+    return graph.induced(tree, graph.reachable(tree, g.spark.createDataFrame([("R1",)], "id string"), 2))
+
+
 @query(PRELUDE + f", {_TREE}, walk AS (SELECT 'R0' AS id, 0 AS depth UNION SELECT hi, depth + 1 FROM walk JOIN tree ON lo = id WHERE depth < 3) SELECT id, min(depth) AS depth FROM walk GROUP BY id")
 def reachable_depth(g):
     return graph.reachable(_tree(g), g.spark.createDataFrame([("R0",)], "id string"), 3, directed=True)
@@ -169,27 +184,32 @@ def label_communities(g):
 
 # a prebuilt graph
 
-_CHUNK_MAP = "cm AS (SELECT brand AS source_id, id FROM (SELECT p_brand AS brand, 'chunk-' || md5(p_name || p_partkey) AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS rn FROM part WHERE p_partkey < 40) WHERE rn = 1)"
+_LABEL = "CASE WHEN p_partkey % 7 = 0 THEN 'lost' ELSE p_brand END"
+_CHUNK_MAP = "cm AS (SELECT p_brand AS source_id, 'chunk-' || md5(max_by(p_name || p_partkey, p_partkey)) AS id FROM part GROUP BY p_brand)"
 
 
 def _custom(g):
+    """A prebuilt graph of all parts; a seventh of them name a label that no chunk has."""
     from tessella.operators.custom import chunk_map
 
-    part = g.table("part")
-    chunks = part.where("p_partkey < 40").select(F.col("p_partkey").alias("pos"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("content"), F.col("p_brand").alias("source_id"))
-    entities = part.where("p_partkey < 60").select(F.col("p_partkey").alias("pos"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("entity_name"), F.col("p_type").alias("entity_type"), F.lit(None).cast("string").alias("description"), F.col("p_brand").alias("source_id"))
-    relations = part.where("p_partkey < 80").select(F.col("p_partkey").alias("pos"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("src_id"), F.col("p_brand").alias("tgt_id"), F.lit("made by").alias("description"), F.lit("brand").alias("keywords"), F.lit(None).cast("double").alias("weight"), F.col("p_brand").alias("source_id"))
+    part = g.table("part").withColumns({"pos": F.col("p_partkey"), "own": F.concat("p_name", F.col("p_partkey").cast("string")), "label": F.expr(_LABEL)})
+    chunks = part.select("pos", F.col("own").alias("content"), F.col("p_brand").alias("source_id"))
+    entities = part.select("pos", F.col("own").alias("entity_name"), F.col("p_type").alias("entity_type"), F.lit(None).cast("string").alias("description"), F.col("label").alias("source_id"))
+    relations = part.select("pos", F.col("own").alias("src_id"), F.col("p_brand").alias("tgt_id"), F.lit("made by").alias("description"), F.lit("brand").alias("keywords"), F.lit(None).cast("double").alias("weight"), F.col("label").alias("source_id"))
     return entities, relations, chunk_map(chunks)
 
 
-@query(PRELUDE + f", {_CHUNK_MAP}, ent AS (SELECT upper(p_name || p_partkey) AS id, p_type AS entity_type, 'No description provided' AS description, coalesce(cm.id, 'UNKNOWN') AS source_id FROM part LEFT JOIN cm ON source_id = p_brand WHERE p_partkey < 60), ends AS (SELECT upper(p_name || p_partkey) AS e, coalesce(cm.id, 'UNKNOWN') AS s, p_partkey AS pos FROM part LEFT JOIN cm ON source_id = p_brand WHERE p_partkey < 80 UNION ALL SELECT upper(p_brand), coalesce(cm.id, 'UNKNOWN'), p_partkey FROM part LEFT JOIN cm ON source_id = p_brand WHERE p_partkey < 80) SELECT * FROM ent UNION ALL SELECT e, 'UNKNOWN', 'UNKNOWN', min_by(s, pos) FROM ends WHERE e NOT IN (SELECT id FROM ent) GROUP BY e")
+_SOURCED = f"(SELECT p_partkey, p_brand, p_type, upper(p_name || p_partkey) AS own, coalesce(cm.id, 'UNKNOWN') AS source_id FROM part LEFT JOIN cm ON cm.source_id = {_LABEL})"
+
+
+@query(PRELUDE + f", {_CHUNK_MAP}, sourced AS {_SOURCED}, ent AS (SELECT own AS id, p_type AS entity_type, 'No description provided' AS description, source_id FROM sourced), ends AS (SELECT upper(p_brand) AS e, source_id AS s, p_partkey AS pos FROM sourced) SELECT * FROM ent UNION ALL SELECT e, 'UNKNOWN', 'UNKNOWN', min_by(s, pos) FROM ends WHERE e NOT IN (SELECT id FROM ent) GROUP BY e")
 def custom_kg_nodes(g):
     from tessella.operators.custom import nodes
 
     return nodes(*_custom(g))
 
 
-@query(PRELUDE + f", {_CHUNK_MAP} SELECT upper(p_name || p_partkey) AS src, upper(p_brand) AS tgt, 1.0::DOUBLE AS weight, 'made by' AS description, 'brand' AS keywords, coalesce(cm.id, 'UNKNOWN') AS source_id FROM part LEFT JOIN cm ON source_id = p_brand WHERE p_partkey < 80")
+@query(PRELUDE + f", {_CHUNK_MAP}, sourced AS {_SOURCED} SELECT own AS src, upper(p_brand) AS tgt, 1.0::DOUBLE AS weight, 'made by' AS description, 'brand' AS keywords, source_id FROM sourced")
 def custom_kg_edges(g):
     from tessella.operators.custom import edges
 

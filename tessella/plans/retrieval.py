@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella import hooks
 from tessella.operators import context, graph, ranking, sections
 from tessella.plans.bindings import BUDGET, PRELUDE, TOP_K, sql_tokens
 from tessella.plans.catalog import query
@@ -49,7 +50,8 @@ _ENDS = "(SELECT id, min(pos * 2 + side) AS place FROM (SELECT pos, 0 AS side, l
 @query(PRELUDE + f"SELECT e.id, place, entity_type, degree FROM {_ENDS} e JOIN nodes ON nodes.id = e.id JOIN degree ON degree.id = e.id")
 def edge_entities(g):
     ends = ranking.endpoints(g.edge_hits()).select("id", (F.col("at.pos") * 2 + F.col("at.side")).alias("place"))
-    return ends.join(g.nodes().select("id", "entity_type"), "id").join(graph.degrees(g.edges()), "id")
+    nodes = g.nodes().join(ends.select("id"), "id", "left_semi").select("id", "entity_type")
+    return ends.join(nodes, "id").join(graph.degrees_of(g.edges(), ends), "id")
 
 
 @query(PRELUDE + "SELECT pos, ch.id, content FROM ch JOIN chunks ON chunks.id = ch.id")
@@ -75,7 +77,7 @@ _RELATED = "(SELECT * FROM ranked WHERE lo IN (SELECT id FROM eh) OR hi IN (SELE
 
 @query(PRELUDE + f"SELECT lo, hi, rank, weight FROM {_RELATED} x")
 def related_edges(g):
-    return ranking.related_edges(g.entity_hits(), sections.ranked_edges(g)).select("lo", "hi", "rank", "weight")
+    return ranking.related_edges(g.entity_hits(), g.edges()).select("lo", "hi", "rank", "weight")
 
 
 _EDGE_COLUMNS = "lo AS source, hi AS target, description, keywords, weight, rank"
@@ -208,17 +210,30 @@ def gradient_select_diff(g):
     return ranking.gradient_select_difference(_scores(g), 4, -900.0)
 
 
-@query(f"WITH {_SCORES} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS place FROM scores")
+_ASKED = "the of and une der"
+_OVERLAP = f"CASE WHEN length(text) % 10 > 0 THEN CAST(len(list_intersect(list_distinct({sql_tokens('text')}), string_split('{_ASKED}', ' '))) AS DOUBLE) END"
+
+
+def _overlap(query: str, texts: list[str]) -> list[float | None]:
+    """A stand-in scorer: words of the query that a text has; every tenth length has no score."""
+    words = set(query.split())
+    return [float(len(words & set(t.split()))) if len(t) % 10 else None for t in texts]
+
+
+@query(f"WITH s AS (SELECT doc_id AS id, source AS query_id, {_OVERLAP} AS score FROM documents WHERE text IS NOT NULL) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, id) - 1 AS place FROM s")
 def rerank_order(g):
-    return ranking.numbered(_scores(g), [F.desc("score"), F.col("id")], ["query_id"], "place").select("query_id", "id", "place")
+    rows = g.table("documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("source").alias("query_id"), "text", F.lit(_ASKED).alias("query"))
+    scored = hooks.scored(rows, _overlap, "text", "query")
+    return ranking.numbered(scored, [F.desc_nulls_last("score"), F.col("id")], ["query_id"], "place").select("query_id", "id", "score", "place")
 
 
-_MIX = "(SELECT 0 AS query_id, pos AS id, content, CAST(length(content) AS DOUBLE) AS score FROM (SELECT pos, content FROM ch JOIN chunks ON chunks.id = ch.id))"
+_MIX = "(SELECT 0 AS query_id, pos AS id, content, list_sum([CAST(ascii(x) AS DOUBLE) for x in string_split(content, '')]) AS score FROM (SELECT pos, content FROM ch JOIN chunks ON chunks.id = ch.id))"
 
 
 @query(PRELUDE + f", r AS (SELECT *, row_number() OVER w AS rn, lag(score) OVER w AS before FROM {_MIX} m WINDOW w AS (ORDER BY score DESC, id)), f AS (SELECT *, max(CASE WHEN rn > 3 AND NOT (score > before / 1.05) THEN 1 ELSE 0 END) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS failed FROM r) SELECT string_agg(rn || '. ' || content, chr(10) ORDER BY rn) AS context FROM f WHERE failed = 0")
 def mix_gradient(g):
-    rows = g.chunk_hits().join(g.chunks(), "id").select(F.lit(0).alias("query_id"), F.col("pos").alias("id"), "content", F.length("content").cast("double").alias("score"))
+    rows = g.chunk_hits().join(g.chunks(), "id").select(F.lit(0).alias("query_id"), F.col("pos").alias("id"), "content", F.lit("q").alias("query"))
+    rows = hooks.scored(rows, lambda query, texts: [float(sum(map(ord, t))) for t in texts], "content", "query")
     kept = ranking.gradient_select(rows, 3, 1.05).select("rn", F.concat(F.col("rn").cast("string"), F.lit(". "), F.col("content")).alias("line"))
     return kept.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "line"))), lambda x: x["line"]), "\n").alias("context"))
 

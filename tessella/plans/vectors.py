@@ -69,13 +69,13 @@ def delete_entity_relations(g):
     return g.edges().where("not (lo = 'P5' or hi = 'P5')").select("lo", "hi")
 
 
-@query("""WITH c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 2 = 0),
+@query("""WITH c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     d AS (SELECT id, list_transform(v, lambda x: round_even((x - list_min(v)) * 255 / (list_max(v) - list_min(v)), 0) * (list_max(v) - list_min(v)) / 255 + list_min(v)) AS v FROM c),
-    s AS (SELECT q.vec_id AS query_id, d.id, list_cosine_similarity(CAST(d.v AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings q, d WHERE q.vec_id % 5 = 0),
+    s AS (SELECT q.vec_id AS query_id, d.id, list_cosine_similarity(CAST(d.v AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings q, d WHERE q.vec_id % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rn FROM s) SELECT query_id, id, round(s, 6) AS similarity FROM r WHERE rn = 1 AND s > 0.95""")
 def cache_similar(g):
-    stored = g.vectors().where("id % 2 = 0").select("id", vx.quantised(F.col("vector")).alias("q"), F.array_min("vector").cast("double").alias("low"), F.array_max("vector").cast("double").alias("high"))
-    asked = g.vectors().where("id % 5 = 0").select(F.col("id").alias("query_id"), "vector")
+    stored = g.vectors().select("id", vx.quantised(F.col("vector")).alias("q"), F.array_min("vector").cast("double").alias("low"), F.array_max("vector").cast("double").alias("high"))
+    asked = g.vectors().where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
     return cache.similar(asked, stored).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -58,46 +59,77 @@ def load_external(df: DataFrame, connect: Callable, batch: int = 500) -> None:
 
 
 class TableStore:
-    """Parquet tables under one folder, each replaced as a whole by a new version.
+    """Parquet tables under one folder; a commit replaces tables or appends to them, all together.
 
-    A version is written first; then a one-row manifest naming it is appended, so readers see the old
-    table or the new one. Versions stay until :meth:`vacuum`.
+    Each table is a list of folders. A commit writes new folders first, then one numbered manifest
+    with the folders of every table, created only if that number is free: readers see the old state
+    or the new one, and of two commits at once one fails. Old folders stay until :meth:`vacuum`.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _manifest(self) -> str:
-        return f"{self.folder}/_manifest"
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_manifest")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _state(self) -> tuple[int, dict[str, list[str]]]:
+        """Number of the last commit, and the folders of each table."""
+        files, path = self._files()
+        if not files.exists(path):
+            return 0, {}
+        last = max((f.getPath().getName() for f in files.listStatus(path)), default=None)
+        if last is None:
+            return 0, {}
+        stream = files.open(self.spark._jvm.org.apache.hadoop.fs.Path(path, last))
+        try:
+            return int(last), json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Write all tables, then make them current together."""
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None) -> None:
+        """Write the given tables, then make them current together; fails if another commit came between."""
+        number, state = self._state()
         version = uuid.uuid4().hex
-        for name, df in tables.items():
-            df.write.parquet(f"{self.folder}/{name}/{version}")
-        rows = [(name, version) for name in tables]
-        self.spark.createDataFrame(rows, "name string, version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(self._manifest())
-
-    def current(self) -> dict[str, str]:
-        from pyspark.errors import AnalysisException
-
+        for tables, kept in ((replace or {}, False), (append or {}, True)):
+            for name, df in tables.items():
+                df.write.parquet(f"{self.folder}/{name}/{version}")
+                state[name] = [*(state.get(name, []) if kept else []), version]
+        files, path = self._files()
+        stream = files.create(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{number + 1:012d}"), False)
         try:
-            log = self.spark.read.schema("name string, version string, at timestamp").json(self._manifest())
-            return {r.name: r.version for r in log.groupBy("name").agg(F.max_by("version", "at").alias("version")).collect()}
-        except AnalysisException:
-            return {}
+            stream.write(bytearray(json.dumps(state).encode()))
+        finally:
+            stream.close()
 
     def create(self, schemas: dict[str, str]) -> None:
         """Empty tables for names that have none yet."""
-        known = self.current()
+        _, known = self._state()
         missing = {n: self.spark.createDataFrame([], s) for n, s in schemas.items() if n not in known}
         if missing:
             self.commit(missing)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}/{self.current()[name]}")
+        return self.spark.read.parquet(*[f"{self.folder}/{name}/{part}" for part in self._state()[1][name]])
 
     def drop(self, *names: str) -> None:
         """Make tables empty, all of them without names."""
-        known = self.current()
-        self.commit({n: self.read(n).limit(0) for n in (names or known)})
+        self.commit({n: self.read(n).limit(0) for n in (names or self._state()[1])})
+
+    def vacuum(self) -> int:
+        """Delete the folders that no table has now, and all manifests but the last; returns how many folders went.
+
+        Frames that were read before may need them, so no reader may be at work.
+        """
+        number, state = self._state()
+        files, path = self._files()
+        gone = 0
+        for name, parts in state.items():
+            for found in files.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")):
+                if found.getPath().getName() not in parts:
+                    files.delete(found.getPath(), True)
+                    gone += 1
+        for found in files.listStatus(path):
+            if int(found.getPath().getName()) < number:
+                files.delete(found.getPath(), False)
+        return gone

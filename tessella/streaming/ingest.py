@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessella.api import GraphRetrieval
 from tessella.operators import chunking, kv
 
 
@@ -45,6 +46,22 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, size: int = 1200, ov
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
+def index(stream: DataFrame, engine: GraphRetrieval, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Index ``stream(text)`` with an engine: documents, chunks and the graph, failed documents marked and tried again.
+
+    The engine takes a document once, so a micro-batch that runs again after a failure adds nothing;
+    each micro-batch also retries what failed in those before.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        engine.insert(batch)
+        if epoch:
+            engine.retry()
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
+
+
 def progress(spark: SparkSession, target: str) -> DataFrame:
     """Documents in each state so far."""
     return kv.status_counts(spark.read.parquet(f"{target}/status"))

@@ -1,5 +1,6 @@
 """Files, tables, streaming and the engine class."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella import hooks
@@ -37,6 +38,15 @@ def test_store_versions(spark, tmp_path):
     store.commit({"t": spark.range(3)})
     store.commit({"t": store.read("t").where("id > 0")})
     assert store.read("t").count() == 2
+    store.commit(append={"t": spark.range(10, 12)})
+    assert store.read("t").count() == 4
+    other = sinks.TableStore(spark, str(tmp_path))
+    number, _ = other._state()
+    store.commit({"u": spark.range(1)})
+    other._state = lambda: (number, {})  # as if it had looked before the other commit
+    with pytest.raises(Exception, match="exist"):
+        other.commit({"t": spark.range(1)})
+    assert store.vacuum() == 2 and store.read("t").count() == 4 and store.vacuum() == 0
     store.drop("t")
     assert store.read("t").count() == 0
 
@@ -83,10 +93,115 @@ def test_engine(spark, tmp_path):
     assert "Anna" in engine.query("/naive Anna", QueryParam(threshold=-1.0, only_need_context=True))
     assert "Chunks" in engine.query("Anna", QueryParam(mode="mix", threshold=-1.0, only_need_context=True, gradient=1.1, least=1))
     assert engine.query("/local Anna", QueryParam(threshold=-1.0)) == "answer"
+    near, between = engine.subgraph("ROME", 1)
+    assert {r.id: r.depth for r in near.collect()} == {"ROME": 0, "ANNA": 1} and between.count() == 1
+    assert engine.entity_info("ANNA", True).first().vector and engine.relation_info("ROME", "ANNA", True).first().vector
     doc = engine.store.read("full_docs").where(F.col("content").contains("Rome")).first().id
     engine.delete_document(doc)
     assert engine.store.read("edges").first().weight == 2.0 and engine.store.read("full_docs").count() == 1
     engine.delete_entity("ROME")
-    assert engine.store.read("edges").count() == 0
+    assert engine.store.read("edges").count() == 0 and {r.id for r in engine.store.read("nodes").collect()} == {"ANNA"}
     engine.clear()
     assert engine.query("Anna", QueryParam(mode="naive")) == "Sorry, I cannot answer that from what I know."
+
+
+def counted(folder):
+    """A model, an embedding and a scorer that note their calls in a folder, which workers share; words in ``bad.txt`` fail."""
+    import os
+    import uuid
+
+    inner, more = model(), hooks.hashed_embedding
+
+    def note(kind, text):
+        with open(os.path.join(folder, f"{kind}-{uuid.uuid4().hex}"), "w") as out:
+            out.write(text)
+
+    def complete(prompt, history=None):
+        note("complete", prompt)
+        with open(os.path.join(folder, "bad.txt")) as bad:
+            if any(word in prompt for word in bad.read().split()):
+                raise RuntimeError("no answer")
+        return inner(prompt, history)
+
+    def embed(texts):
+        for text in texts:
+            note("embed", text)
+        return more(texts)
+
+    def calls(kind):
+        found = [n for n in os.listdir(folder) if n.startswith(kind + "-")]
+        texts = sorted(open(os.path.join(folder, n)).read() for n in found)
+        for n in found:
+            os.remove(os.path.join(folder, n))
+        return texts
+
+    return complete, embed, calls
+
+
+def test_failed_documents_are_kept_apart_and_retried(spark, tmp_path):
+    (tmp_path / "bad.txt").write_text("tea")
+    complete, embed, calls = counted(str(tmp_path))
+    engine = GraphRetrieval(spark, str(tmp_path / "store"), embed, complete, 8, 2)
+    engine.insert(spark.createDataFrame([("Anna lives in Rome",), ("Anna likes tea",)], "text string"))
+    states = {r.status: r.error for r in engine.store.read("doc_status").collect()}
+    assert states == {"processed": None, "failed": "no answer"}
+    assert engine.store.read("full_docs").count() == 2 and engine.store.read("text_chunks").count() == 1
+    assert engine.store.read("edges").first().weight == 2.0
+    assert len(calls("embed")) == 4  # a chunk, two nodes, an edge
+    (tmp_path / "bad.txt").write_text("none-such")
+    calls("complete")
+    engine.retry()
+    assert {r.status for r in engine.store.read("doc_status").collect()} == {"processed"} and engine.store.read("edges").first().weight == 4.0
+    assert not any("lives in Rome" in p and "Text: " in p and "tea" not in p for p in calls("complete"))
+    embedded = calls("embed")
+    assert any("likes tea" in t for t in embedded) and not any(t.startswith("Anna lives") for t in embedded) and len(embedded) <= 4
+    engine.insert(spark.createDataFrame([("Anna likes tea",)], "text string"))
+    assert calls("embed") == [] == calls("complete")
+
+
+def test_custom_graphs_are_idempotent(spark, tmp_path):
+    engine = GraphRetrieval(spark, str(tmp_path), hooks.hashed_embedding, model())
+    entities = spark.createDataFrame([(0, "A", "T", "d", "s")], "pos int, entity_name string, entity_type string, description string, source_id string")
+    relations = spark.createDataFrame([(0, "A", "B", "x", "k", 2.0, "s")], "pos int, src_id string, tgt_id string, description string, keywords string, weight double, source_id string")
+    chunks = spark.createDataFrame([(0, "text of it", "s")], "pos int, content string, source_id string")
+    for _ in range(2):
+        engine.insert_custom_graph(entities, relations, chunks)
+        assert engine.store.read("edges").first().weight == 2.0 and engine.store.read("nodes").count() == 2 and engine.store.read("text_chunks").count() == 1
+
+
+def test_cache_rerank_and_history(spark, tmp_path):
+    (tmp_path / "bad.txt").write_text("none-such")
+    complete, embed, calls = counted(str(tmp_path))
+    engine = GraphRetrieval(spark, str(tmp_path / "store"), embed, complete, score=lambda query, texts: [None if "tea" in t else float(len(t)) for t in texts])
+    engine.insert_chunks(spark.createDataFrame([("a b", ["Anna lives in Rome", "Anna likes tea", "Rome is old and wide"])], "text string, chunks array<string>"))
+    assert engine.store.read("text_chunks").count() == 3
+    calls("complete")
+    param = QueryParam(mode="local", threshold=-1.0, low_keywords=("ANNA",))
+    assert engine.query("who is Anna", param) == "answer" and len(calls("complete")) == 1
+    assert engine.query("who is Anna", param) == "answer" and calls("complete") == []
+    asked = QueryParam(mode="local", threshold=-1.0, low_keywords=("ANNA",), similar=0.5, recheck=True)
+    assert engine.query("who is Anna now", asked) == "answer"
+    assert [p.startswith(hooks.SAME) for p in calls("complete")].count(True) == 1
+    found = engine.context("Anna", QueryParam(mode="mix", threshold=-1.0, low_keywords=("ANNA",), gradient=1.1, least=3))
+    tail = found.rpartition("-----Chunks-----\n")[2]
+    assert tail.startswith("Rome is old and wide") and tail.endswith("Anna likes tea")
+    turns = ({"role": "user", "content": "q"}, {"role": "assistant", "content": None}, {"role": "user", "content": "q2"}, {"role": "assistant", "content": "a2"})
+    assert engine.past(QueryParam(history=turns)) == "user: q\nassistant: \nuser: q2\nassistant: a2\n"
+
+
+def test_stream_indexes_a_graph(spark, tmp_path):
+    engine = GraphRetrieval(spark, str(tmp_path / "store"), hooks.hashed_embedding, model())
+    spark.createDataFrame([("Anna lives in Rome",)], "text string").write.parquet(str(tmp_path / "in"))
+    ingest.index(ingest.document_stream(spark, str(tmp_path / "in"), "text string"), engine, str(tmp_path / "check"), once=True).awaitTermination()
+    assert engine.store.read("edges").first().weight == 2.0
+
+
+def test_long_descriptions_are_summarised(spark):
+    rows = spark.createDataFrame([("a", "one two three"), ("b", "one"), ("c", "bad bad bad")], "id string, description string")
+
+    def complete(prompt, history=None):
+        if "bad" in prompt:
+            raise RuntimeError("no")
+        return "short"
+
+    assert {r.id: r.description for r in hooks.summarised(rows, complete, 2).collect()} == {"a": "short", "b": "one", "c": "bad bad bad"}
