@@ -1,17 +1,14 @@
 """Column functions on text: identity, cleaning, tokens and CSV."""
 
-from __future__ import annotations
+import html
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Joins lists that older stores keep in one string.
 SEP = "<SEP>"
 
-#: The XML entities that are undone without a UDF.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-
-
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -31,12 +28,15 @@ def token_count(text: Column) -> Column:
     return F.size(tokens(text))
 
 
+@F.pandas_udf("string")
+def unescaped(texts: pd.Series) -> pd.Series:
+    """All named and numeric HTML entities as characters, in Arrow batches; no table of them has to be in a plan."""
+    return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
+
 def clean(text: Column) -> Column:
-    """XML entities undone, control characters dropped, stripped."""
-    out = strip(text)
-    for entity, character in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(character))
-    return F.regexp_replace(out, r"[\x00-\x1f\x7f-\x9f]", "")
+    """HTML entities undone, control characters dropped, stripped."""
+    return F.regexp_replace(unescaped(strip(text)), r"[\x00-\x1f\x7f-\x9f]", "")
 
 
 def decoded_escapes(text: Column) -> Column:

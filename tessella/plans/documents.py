@@ -133,7 +133,7 @@ def parse_relations(g):
 _CLEAN = sql_strip("html")
 
 
-@query(f"SELECT page_id, regexp_replace(replace(replace(replace(replace(replace({_CLEAN}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[\\x00-\\x1f\\x7f-\\x{{9f}}]', '', 'g') AS clean FROM pages")
+@query(f"SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace({_CLEAN}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g'), '[\\x00-\\x1f\\x7f-\\x{{9f}}]', '', 'g') AS clean FROM pages")
 def clean_str(g):
     return g.table("pages").select("page_id", tx.clean(F.col("html")).alias("clean"))
 

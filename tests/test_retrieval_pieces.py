@@ -52,6 +52,11 @@ def test_escapes_and_csv(spark):
     assert [tuple(r) for r in got] == [("a你\\n\\\"b\\\"", ["x", 'y,"z', "", "w"]), ("plain \\ \n", [""])]
 
 
+def test_all_html_entities(spark):
+    df = spark.createDataFrame([("  &lt;b&gt; &eacute;&#233;&#xe9; &amp;lt; a & b &hellip;\x07 ",), (None,)], "t string")
+    assert [r[0] for r in df.select(tx.clean(F.col("t"))).collect()] == ["<b> ééé &lt; a & b …", None]
+
+
 def test_code_blocks_and_rerank_requests(spark):
     text = "Say:\n```python\nx = 1\n```\nand\n```\nplain\n```\nend"
     blocks = spark.createDataFrame([(text,)], "t string").select(extraction.code_blocks(F.col("t")).alias("c")).first().c
@@ -95,3 +100,19 @@ def test_hits_are_filtered_before_aggregation(spark, depth):
         assert {r.id: r.degree for r in found.collect()} == {"a": 2, "b": 3}
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Aggregate") < plan.index("LeftSemi")  # the join lies below
+
+
+def test_recall_of_projection_hashing(spark):
+    """Approximate near pairs against all pairs of the embeddings."""
+    import numpy as np
+
+    from tessella.operators.search import lsh_pairs
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).collect()
+    x, ids = np.array([r.vector for r in rows], dtype=np.float64), [r.id for r in rows]
+    limit = float(np.quantile(np.linalg.norm(x[:, None] - x[None], axis=2)[np.triu_indices(len(x), 1)], 0.02))
+    near = {tuple(sorted((ids[i], ids[j]))) for i in range(len(x)) for j in range(i) if np.linalg.norm(x[i] - x[j]) < limit}
+    df = spark.createDataFrame([(r.id, r.vector) for r in rows], "id long, vector array<float>")
+    found = {(r.a, r.b) for r in lsh_pairs(df, limit).collect()}
+    print("recall", len(found & near) / len(near))
+    assert found <= near and len(found) >= 0.9 * len(near) > 900
