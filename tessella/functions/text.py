@@ -5,6 +5,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Joins lists that older stores keep in one string.
 SEP = "<SEP>"
@@ -28,7 +29,7 @@ def token_count(text: Column) -> Column:
     return F.size(tokens(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(texts: pd.Series) -> pd.Series:
     """All named and numeric HTML entities as characters, in Arrow batches; no table of them has to be in a plan."""
     return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
