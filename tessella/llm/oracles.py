@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessella.llm.pii import CONTEXT
+
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 #: Kind, rank, pattern and the check on a match ``m`` (``d``: its digits; ``c``: without spaces; ``around``: the text nearby).
@@ -19,7 +21,7 @@ _KINDS = (
 
 def _spans(kind: str, rank: int, pattern: str, check: str) -> str:
     """All matches of a kind with their places; starts add up the pieces between matches and the matches before."""
-    return f"""SELECT r, '{kind}' AS kind, {rank} AS rank, s AS start, s + length(m) AS stop FROM (
+    return f"""SELECT r, '{kind}' AS kind, {rank} AS rank, s AS start, s + length(m) AS stop, regexp_matches(lower(around), '(?:^|[^\\pL])(?:{CONTEXT[kind]})(?:[^\\pL]|$)') AS near FROM (
         SELECT r, m, s, regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ', '') AS c, substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' ' || substr(t, s + length(m) + 1, 40) AS around FROM (
             SELECT r, t, ms[i] AS m, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (
                 SELECT r, t, ms, gs, unnest(generate_series(1, len(ms))) AS i FROM (
@@ -77,9 +79,9 @@ ORACLES: dict[str, str] = {
     "op1_pii": f"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
         spans AS ({" UNION ALL ".join(_spans(*k) for k in _KINDS)}),
-        g AS (SELECT r, {_COUNTS}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+        g AS (SELECT r, {_COUNTS}, count(*) FILTER (WHERE near) AS n_context, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
                      string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 4) AS base FROM spans GROUP BY r)
-        SELECT doc_id, {_N_KINDS}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)""",
+        SELECT doc_id, {_N_KINDS}, CAST(coalesce(n_context, 0) AS BIGINT) AS n_context, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)""",
     "op10_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
         good AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),

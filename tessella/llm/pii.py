@@ -143,6 +143,14 @@ def _span(kind: str, rank: int, start: Column, match: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), score.cast("double").alias("score"))
 
 
+def has_context(span: Column) -> Column:
+    """Whether a context word near a span raised its score."""
+    alone = F.lit(0.0)
+    for kind, score in SCORES.items():
+        alone = F.when(span["kind"] == kind, score).otherwise(alone)
+    return span["score"] > alone
+
+
 def joined(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -20,7 +20,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["rank"] < 4)
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(F.encode(pii.joined(base), "UTF-8"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    near = F.size(F.filter("spans", pii.has_context)).cast("long").alias("n_context")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], near, F.sha2(F.encode(pii.joined(base), "UTF-8"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,3 +228,62 @@ def test_vectors_match_brute_force(spark):
     assert sum(got[i][1] == label[i] for i in range(len(rows))) >= 0.95 * len(rows)
     assert all(k == (c == i) for i, (_, c, k) in got.items())
     assert vectors.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+VECTORS = "vec_id long, embedding array<double>, label int"
+
+
+def test_repeated_ids_have_the_links_of_their_own_vectors(spark):
+    rng = np.random.default_rng(1)
+    u, v, w = rng.standard_normal((3, 16))
+    rows = [(1, u, 0), (1, v, 0), (2, u + 1e-3, 0), (3, v + 1e-3, 0), (4, w, 0), (4, w, 0), (5, -w, 0), (6, u, 1)]
+    df = spark.createDataFrame([(i, x.tolist(), k) for i, x, k in rows], VECTORS).withColumns({"component": F.lit("k"), "n_links": F.lit(9)})
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicate_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True), (5, 0, 5, True), (6, 0, 6, True)]
+
+
+def test_links_of_vectors_with_a_common_mean(spark):
+    """20,000 vectors around one mean, as real embeddings lie; half of them have a copy with a cosine near the threshold."""
+    rng = np.random.default_rng(0)
+    n = 20_000
+    base = 3 * rng.standard_normal(64) + rng.standard_normal((n // 2, 64))
+    x = np.concatenate([base, base + 0.62 * rng.standard_normal((n // 2, 64))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = np.concatenate([(unit[a : a + 2000] @ unit.T >= 0.98).sum(axis=1) - 1 for a in range(0, n, 2000)])
+    got = vectors.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).toPandas()
+    found = got.set_index("vec_id").n_links.loc[range(n)].to_numpy()
+    print("recall", found.sum() / links.sum())
+    assert (found <= links).all() and found.sum() >= 0.95 * links.sum() > 5_000
+
+
+def test_windows_cross_the_borders_of_partitions(spark):
+    """One pass in one partition and in eight find the same candidates, as every partition has more rows than a window."""
+    rng = np.random.default_rng(4)
+    walk = [rng.standard_normal(16)]
+    for _ in range(399):
+        walk.append(walk[-1] + 0.12 * rng.standard_normal(16))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(walk)], VECTORS)
+    got = []
+    for width in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        got.append(sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(df, passes=1, window=20).collect()))
+    assert got[0] == got[1] and sum(r[1] for r in got[0]) > 100
+
+
+def test_near_duplicates_of_null_ids_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (8, "a b c d e f"), (5, long), (6, long), (7, long + " more")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted(((r.doc_id or 0), r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert got == [(0, 8), (0, 8), (5, 5), (6, 5), (7, 5), (8, 8)]
+    assert sorted((r.doc_id or 0) for r in simhash.drop_near_copies(df).collect()) == [0, 0, 5, 8]
+    assert sorted((r.doc_id or 0) for r in simhash.drop_near_duplicates(df).collect()) == [0, 0, 5, 8]
+
+
+def test_packing_of_clashing_names_and_urls_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "x y", 5), (1, "x y", 6), (None, None, 7)], "doc_id long, text string, length int")
+    assert packing.pack(docs).agg(F.sum("length"), F.count_if(F.col("doc_id").isNull())).first()[1] == 1
+    pages = spark.createDataFrame([(1, "http://a.com/en/1", "k"), (1, "http://a.com/en/1", "k"), (None, None, "k")], "page_id long, url string, verdict string")
+    got = urls.judge(pages, queries.RULES, pages.select(F.lit("zz").alias("host"))).collect()
+    assert sorted((r.page_id or 0, r.rule, r.verdict) for r in got) == [(0, None, "allow"), (1, "com/en/", "block"), (1, "com/en/", "block")]

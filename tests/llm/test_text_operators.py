@@ -130,6 +130,13 @@ def test_one_block_of_the_benchmark_is_held_at_a_time(spark):
     assert all(r["items"] == [str(r.doc_id)] and r["hits"] == list(range(2, 17)) for r in found.collect())
 
 
+def test_contamination_of_long_texts_and_null_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "x " * 300_000 + passage), (None, passage), (None, None)], DOCS).withColumns({"items": F.lit(1), "__hits": F.lit(2)})
+    found = decontam.contamination(docs, spark.createDataFrame([(3, passage), (None, "x x x")], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found) == [(0, 0, 0, 0, False), (0, 20, 20, 1, True), (1, 300_020, 20, 1, False)]
+
+
 def test_decontaminate_keeps_columns_and_empty_benchmark(spark):
     df = spark.createDataFrame([(1, "x y", 7), (2, None, 8)], "doc_id long, text string, hits int")
     empty = spark.createDataFrame([], "item_id long, text string")
