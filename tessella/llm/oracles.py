@@ -90,4 +90,21 @@ ORACLES: dict[str, str] = {
         c AS (SELECT id, min(reached) AS component_id FROM walk GROUP BY id),
         n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
         SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.id = vec_id""",
+    "op12_filter_audit": """
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+        m AS (SELECT r, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                     || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                     || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails,
+                     EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS bad
+              FROM d JOIN firsts USING (text)),
+        c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM m GROUP BY part, fails),
+        o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS v(f) WHERE NOT contains(filter_order, f)),
+        s AS (SELECT filter_order, step, filter_order[step] AS f, substr(filter_order, 1, step - 1) AS before FROM o, generate_series(1, 5) AS g(step) WHERE length(filter_order) = 5),
+        e AS (SELECT part, filter_order, step, n, good, bad, fails, contains(fails, f) AS hit, before <> '' AND regexp_matches(fails, '[' || before || '0]') AS gone, fails = f AS alone FROM c, s)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) FILTER (WHERE NOT hit AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0) AS BIGINT) AS removed,
+               CAST(coalesce(sum(n) FILTER (WHERE hit AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE alone), 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(sum(good) FILTER (WHERE hit AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(bad) FILTER (WHERE hit AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+               CAST(coalesce(sum(n * 120 // greatest(length(fails), 1)) FILTER (WHERE hit), 0) AS BIGINT) AS shapley
+        FROM e GROUP BY part, filter_order, step""",
 }

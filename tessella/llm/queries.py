@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontam, langid, lines, packing, pii, simhash, toxicity, urls, vectors
+from tessella.llm import audit, chat, decontam, langid, lines, packing, pii, quality, simhash, toxicity, urls, vectors, whitening
 from tessella.llm.common import held_out
 
 
@@ -89,4 +89,22 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_language_id, op3_simhash, op4_chat, op5_decontaminate, op6_line_dedup, op7_packing, op8_toxicity, op9_url_filter, op10_embedding_dedup)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 3, 1)
+    net = quality.train(docs, table(spark, sf_dir, "labels").where(~out))
+    found = quality.score(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order of five filters removes at each step, in each source."""
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first four whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_language_id, op3_simhash, op4_chat, op5_decontaminate, op6_line_dedup, op7_packing, op8_toxicity, op9_url_filter, op10_embedding_dedup, op11_quality, op12_filter_audit, op13_whitening)}
