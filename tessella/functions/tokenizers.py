@@ -25,10 +25,17 @@ class Tokenizer(Protocol):
 
 
 def _cut(words: Column, size: int, overlap: int, join: Callable[[Column], Column]) -> Column:
-    """Windows over an array of tokens; a last one may lie within that before it."""
-    n = F.size(words)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(F.least(F.lit(size), n - s).alias("tokens"), join(F.slice(words, s + 1, F.lit(size))).alias("content")))
+    """Windows over an array of tokens; a last one may lie within that before it.
+
+    The array is handed on as a lambda's variable, so that it is made once and not for each window.
+    """
+
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(F.least(F.lit(size), n - s).alias("tokens"), join(F.slice(w, s + 1, F.lit(size))).alias("content")))
+
+    return F.flatten(F.transform(F.array(words), windows))
 
 
 class WhiteSpace:
@@ -40,8 +47,16 @@ class WhiteSpace:
     def count(self, text: Column) -> Column:
         return F.size(self.tokens(text))
 
+    def join(self, part: Column) -> Column:
+        return F.array_join(part, " ")
+
     def windows(self, text: Column, size: int, overlap: int) -> Column:
-        return _cut(self.tokens(text), size, overlap, lambda part: F.array_join(part, " "))
+        return _cut(self.tokens(text), size, overlap, self.join)
+
+    def windows_if_long(self, text: Column, size: int, overlap: int) -> Column:
+        """Windows of a text of over ``size`` tokens, a shorter one whole and stripped."""
+        whole = lambda w: F.array(F.struct(F.size(w).alias("tokens"), strip(text).alias("content")))
+        return F.flatten(F.transform(F.array(self.tokens(text)), lambda w: F.when(F.size(w) > size, _cut(w, size, overlap, self.join)).otherwise(whole(w))))
 
 
 class Characters(WhiteSpace):
@@ -51,8 +66,8 @@ class Characters(WhiteSpace):
         wide = r"\x{4e00}-\x{9fff}"
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?U)\s*(?:[{wide}]|[^\s{wide}]+)"), F.lit(0))
 
-    def windows(self, text: Column, size: int, overlap: int) -> Column:
-        return _cut(self.tokens(text), size, overlap, lambda part: strip(F.array_join(part, "")))
+    def join(self, part: Column) -> Column:
+        return strip(F.array_join(part, ""))
 
 
 class Encoded:

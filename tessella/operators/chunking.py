@@ -17,13 +17,14 @@ def ingest(docs: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, key: str, chunks: Column) -> DataFrame:
-    out = df.select(key, F.posexplode(chunks).alias("chunk_order_index", "c"))
+    # the outer generator adds no filter, in which the chunks would be made a second time
+    out = df.select(key, F.posexplode_outer(chunks).alias("chunk_order_index", "c")).where("c is not null")
     return out.select(key, "chunk_order_index", F.col("c.tokens").alias("tokens"), F.col("c.content").alias("content"), hash_id("chunk-", F.col("c.content")).alias("id"))
 
 
 def by_tokens(docs: DataFrame, size: int = 1200, overlap: int = 100, key: str = "doc_id", tokenizer: Tokenizer = WHITE) -> DataFrame:
     """Overlapping windows of tokens (O2); blank texts have none."""
-    return _numbered(docs.withColumn("__w", tokenizer.windows(F.col("text"), size, overlap)), key, F.col("__w"))
+    return _numbered(docs, key, tokenizer.windows(F.col("text"), size, overlap))
 
 
 def pieces(text: Column, separator: str) -> Column:
@@ -38,12 +39,7 @@ def by_separator(docs: DataFrame, separator: str, key: str = "doc_id", tokenizer
 def by_separator_then_tokens(docs: DataFrame, separator: str, size: int = 1200, overlap: int = 100, key: str = "doc_id", tokenizer: Tokenizer = WHITE) -> DataFrame:
     """Pieces between separators, those of over ``size`` tokens cut to windows, numbered through."""
     if isinstance(tokenizer, WhiteSpace):
-
-        def cut(piece: Column) -> Column:
-            n = tokenizer.count(piece)
-            return F.when(n > size, tokenizer.windows(piece, size, overlap)).otherwise(F.array(F.struct(n.alias("tokens"), strip(piece).alias("content"))))
-
-        return _numbered(docs.withColumn("__p", pieces(F.col("text"), separator)), key, F.flatten(F.transform("__p", cut)))
+        return _numbered(docs, key, F.flatten(F.transform(pieces(F.col("text"), separator), lambda piece: tokenizer.windows_if_long(piece, size, overlap))))
     # an injected encoder takes columns, so each piece becomes a row, and rows are numbered within their text
     each = docs.select(key, F.posexplode(pieces(F.col("text"), separator)).alias("__at", "__piece"))
     counted = each.withColumns({"__n": tokenizer.count(F.col("__piece")), "__w": tokenizer.windows(F.col("__piece"), size, overlap)})

@@ -97,16 +97,36 @@ def valid_question(q: Column) -> Column:
     return good
 
 
-_FENCE = r"(?s)```([A-Za-z0-9_+-]*)\n(.*?)```"
+#: Fixed marks of a block's file name and section, on the line before it.
+_FILE_NAME, _SECTION = r"^(?:<file_name>(.*)</file_name>|## filename:(.*))$", r"^<section>(.*)</section>$"
 
 
 def code_blocks(text: Column) -> Column:
-    """Fenced code blocks of a text as ``blocks (language, body)``, and the ``rest`` of the text."""
-    languages, bodies = (F.regexp_extract_all(text, F.lit(_FENCE), F.lit(k)) for k in (1, 2))
-    blocks = F.zip_with(languages, bodies, lambda x, y: F.struct(x.alias("language"), y.alias("body")))
-    return F.struct(blocks.alias("blocks"), strip(F.regexp_replace(text, _FENCE, "")).alias("rest"))
+    """Fenced code blocks of a text as ``blocks``, and the ``rest`` of the text, its stripped parts joined by line feeds.
+
+    A block has its ``index``, the ``file_name`` or ``section`` that the line before it names, the
+    ``type`` (the word after the fence; ``language-specific`` if there is none, empty if it holds a
+    brace), the stripped ``content``, and ``is_complete``, false for a last one that nothing closes.
+    """
+    parts = F.split(text, "```", -1)
+    outside, inside = F.filter(parts, lambda x, i: i % 2 == 0), F.filter(parts, lambda x, i: i % 2 == 1)
+    after = F.slice(outside, F.lit(2), F.size(outside))
+    each = F.filter(F.arrays_zip(inside.alias("body"), outside.alias("before"), after.alias("after")), lambda z: z["body"].isNotNull() & ((z["body"] != "") | z["after"].isNotNull()))
+
+    def block(z: Column, i: Column) -> Column:
+        line = F.regexp_extract(strip(z["before"]), r"[^\n\r]*$", 0)
+        name = F.concat(F.regexp_extract(line, _FILE_NAME, 1), F.regexp_extract(line, _FILE_NAME, 2))
+        word = F.regexp_extract(z["body"], r"^[^ \n]*", 0)
+        held = F.when(F.contains(word, F.lit("{")), "").otherwise(word)
+        content = F.substr(z["body"], F.length(held) + 1)
+        kind = F.when(z["body"].rlike(r"^[\n \t]"), "language-specific").otherwise(held)
+        return F.struct(i.alias("index"), strip(name).alias("file_name"), strip(F.regexp_extract(line, _SECTION, 1)).alias("section"), kind.alias("type"), strip(content).alias("content"), z["after"].isNotNull().alias("is_complete"))
+
+    rest = F.array_join(F.filter(F.transform(outside, strip), lambda x: x != ""), "\n")
+    return F.struct(F.transform(each, block).alias("blocks"), rest.alias("rest"))
 
 
+#: Fixed form of a paragraph in a rerank request: its number in quotes, then its text up to a blank line or the next number.
 _PARAGRAPH = r'(?s)"(\d+)"\s*(.*?)(?=\n\n|\n"\d+"|$)'
 
 

@@ -12,12 +12,14 @@ from tessella.operators import graph
 
 
 def token_budget(rows: DataFrame, text: str, budget: int, order: list[Column], by: list[str] | None = None, counter: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Longest prefix whose tokens add up to ``budget`` at most (R7); rows without tokens cost nothing.
+    """Longest prefix whose tokens add up to ``budget`` at most (R7); rows without tokens cost nothing, but a budget of 0 buys none.
 
     Of the rows with tokens no more than the first ``budget`` and one can matter: a distributed
     top-k finds these before the running sum. With ``by`` each of its keys has a budget. Tokens are
     those of ``counter``, white-space tokens by default.
     """
+    if budget <= 0:
+        return rows.where(F.lit(False))
     counted = rows.withColumn("__tokens", (counter or token_count)(F.col(text)))
     some, none = counted.where("__tokens > 0"), counted.where("__tokens <= 0")
     if by:
@@ -25,7 +27,7 @@ def token_budget(rows: DataFrame, text: str, budget: int, order: list[Column], b
         some = some.withColumn("__rn", F.row_number().over(window)).where(F.col("__rn") <= budget + 1).drop("__rn")
     else:
         window = Window.partitionBy(F.lit(1)).orderBy(*order)
-        some = some.orderBy(*order).limit(max(budget, 0) + 1)
+        some = some.orderBy(*order).limit(budget + 1)
     counted = some.unionByName(none)
     running = F.sum("__tokens").over(window.rowsBetween(Window.unboundedPreceding, 0))
     return counted.withColumn("__running", running).where(F.col("__running") <= budget).drop("__running", "__tokens")

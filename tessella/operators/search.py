@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.vectors import cosine
 
-#: Query vectors in one block.
-BLOCK = 1024
+#: Query vectors that go to every task, or that are in one group; vectors in one group where there are more queries.
+BLOCK, GROUP = 1024, 100_000
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None, key: str = "id") -> DataFrame:
@@ -26,39 +27,93 @@ def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float | Non
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id") -> DataFrame:
     """The ``k`` rows of ``vectors(key, vector)`` most similar to each of ``queries(query_id, vector)`` (VS9).
 
-    Queries go to the tasks in blocks of ``BLOCK``. A task keeps the best ``k`` of its own rows for
-    each query, so only these are shuffled, and a window picks the best overall. Ties go by key.
+    Up to ``BLOCK`` queries go to every task. More of them meet the vectors in groups instead: both
+    sides are dealt out by hashes of their keys, and each pair of a query and a vector group is one
+    task's work, so neither the driver nor a task holds all queries. A task passes on the best ``k``
+    of all its rows for each query, and a window picks the best overall. Ties go by key.
     """
-    numbered = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    out = None
-    for b in range(blocks):
-        part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        found = vectors.select(key, "vector").mapInArrow(_best(part.collect(), k), f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(vectors.dtypes)[key]}, similarity double")
-        out = found if out is None else out.unionByName(found)
+    wanted = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    rows = vectors.where("vector is not null").select(key, "vector")
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(vectors.dtypes)[key]}, similarity double"
+    n = queries.count()
+    if n <= BLOCK:
+        found = rows.mapInArrow(_best_of(wanted.toArrow(), k, key), schema)
+    else:
+        q_groups, groups = -(-n // BLOCK), max(1, -(-rows.count() // GROUP))
+        each = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
+        left = rows.withColumn("g", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).select("*", each(q_groups, "h"))
+        right = wanted.withColumn("h", F.pmod(F.xxhash64("query_id"), F.lit(q_groups)).cast("int")).select("*", each(groups, "g"))
+        found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(_best_of_groups(k, key), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return out.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as unit rows of a matrix; zero vectors stay zero."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+class Best:
+    """The best ``k`` keys of each query so far, ties by key; holds some multiple of ``k`` for each."""
+
+    def __init__(self, queries: int, k: int, key: pa.Field):
+        self.queries, self.k, self.schema = queries, k, pa.schema([("q", pa.int64()), key, ("similarity", pa.float64())])
+        self.held: list[pa.Table] = []
+
+    def add(self, scores: np.ndarray, keys: pa.Array, which: np.ndarray | None = None) -> None:
+        """``scores`` of the queries ``which`` (all by default) for every key."""
+        if not len(keys) or not len(scores):
+            return
+        order = pc.sort_indices(keys).to_numpy()
+        n = min(self.k, len(order))
+        at = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :n]
+        which = np.arange(len(scores)) if which is None else which
+        self.held.append(pa.Table.from_arrays([pa.array(np.repeat(which, n)), keys.take(pa.array(order[at].ravel())), pa.array(np.take_along_axis(scores[:, order], at, axis=1).ravel())], schema=self.schema))
+        if sum(t.num_rows for t in self.held) > max(4 * self.queries * self.k, 100_000):
+            self.held = [self.result()]
+
+    def result(self) -> pa.Table:
+        """``q``, key and similarity, best first for each query."""
+        if not self.held:
+            return self.schema.empty_table()
+        every = pa.concat_tables(self.held)
+        every = every.take(pc.sort_indices(every, [("q", "ascending"), ("similarity", "descending"), (self.schema.names[1], "ascending")]))
+        q = every.column("q").to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        return every.filter(pa.array(place < self.k))
+
+    def batches(self, names: pa.Array | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+        found = self.result()
+        if found.num_rows:
+            yield from pa.Table.from_arrays([names.take(found.column("q")), found.column(1), found.column(2)], names=["query_id", self.schema.names[1], "similarity"]).combine_chunks().to_batches()
+
+
+def _best_of(queries: pa.Table, k: int, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not queries.num_rows:
+            return
+        asked, best = matrix(queries.column("vector")), None
+        for batch in batches:
+            if batch.num_rows:
+                best = best or Best(len(asked), k, batch.schema.field(0))
+                best.add(asked @ matrix(batch.column(1)).T, batch.column(0))
+        if best:
+            yield from best.batches(queries.column("query_id"))
 
+    return run
 
-def _best(queries: list, k: int):
-    names = [q.query_id for q in queries]
-    matrix = np.array([q.vector for q in queries], dtype=np.float64)
-    if len(names):
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1).drop_null()
-            if not batch.num_rows or not names or not len(column):
-                continue
-            rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-            rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-            keys = batch.column(0).filter(batch.column(1).is_valid()).to_numpy(zero_copy_only=False)
-            order = np.argsort(keys, kind="stable")
-            scores = matrix @ rows[order].T
-            n = min(k, scores.shape[1])
-            at = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(keys[order][at.ravel()]), pa.array(np.take_along_axis(scores, at, axis=1).ravel())], names=["query_id", batch.schema.names[0], "similarity"])
+def _best_of_groups(k: int, key: str):
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        best = Best(queries.num_rows, k, rows.schema.field(key))
+        if rows.num_rows and queries.num_rows:
+            asked = matrix(queries.column("vector"))
+            for batch in rows.to_batches(max_chunksize=8192):
+                best.add(asked @ matrix(batch.column("vector")).T, batch.column(key))
+        found = best.result()
+        return pa.Table.from_arrays([queries.column("query_id").take(found.column("q")), found.column(1), found.column(2)], names=["query_id", key, "similarity"])
 
     return run
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.functions import vectors as vx
 from tessella.operators import cache, search
+from tessella.operators.graph import shared_folder
+from tessella.operators.vector_index import VectorIndex
 from tessella.plans.bindings import PRELUDE
 from tessella.plans.catalog import query
 
@@ -82,3 +86,10 @@ def cache_similar(g):
 @query()
 def lsh_near(g):
     return search.lsh_pairs(g.vectors(), 1.1)
+
+
+@query()
+def vector_index_topk(g):
+    """The ten nearest rows of every twentieth by the index; recall against all pairs is tested."""
+    index = VectorIndex.build(g.vectors(), f"{shared_folder(g.spark)}/vector-index-{uuid.uuid4().hex}")
+    return index.search(g.vectors().where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), 10)

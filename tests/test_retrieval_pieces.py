@@ -60,7 +60,7 @@ def test_all_html_entities(spark):
 def test_code_blocks_and_rerank_requests(spark):
     text = "Say:\n```python\nx = 1\n```\nand\n```\nplain\n```\nend"
     blocks = spark.createDataFrame([(text,)], "t string").select(extraction.code_blocks(F.col("t")).alias("c")).first().c
-    assert [tuple(b) for b in blocks.blocks] == [("python", "x = 1\n"), ("", "plain\n")] and blocks.rest == "Say:\n\nand\n\nend"
+    assert [(b.type, b.content) for b in blocks.blocks] == [("python", "x = 1"), ("language-specific", "plain")] and blocks.rest == "Say:\nand\nend"
     asked = 'Query: who?\n"1" first one\n\n"12" second\n"3" third'
     found = spark.createDataFrame([(asked,)], "t string").select(extraction.paragraphs(F.col("t")).alias("p")).first().p
     assert found.query == "who?" and [tuple(x) for x in found.paragraphs] == [(1, "first one"), (12, "second"), (3, "third")]

@@ -1,5 +1,7 @@
 """Small cases of the rules that are easy to get wrong."""
 
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -67,12 +69,44 @@ def test_components_and_reachability(spark):
 def test_text_helpers(spark):
     row = spark.createDataFrame([('x\n```python\nprint(1)\n```\ny "1" one\n\n"2" two',)], "t string")
     got = row.select(extraction.code_blocks(F.col("t")).alias("c"), extraction.paragraphs(F.col("t")).alias("p")).first()
-    assert got.c == ["print(1)\n"] and got.p == ["one", "two"]
+    assert [tuple(b) for b in got.c.blocks] == [(0, "", "", "python", "print(1)", True)] and got.c.rest.startswith("x\ny ")
+    assert [(p.number, p.text) for p in got.p.paragraphs] == [(1, "one"), (2, "two")] and got.p.query is None
     words = spark.createDataFrame([([str(i) for i in range(1200)],)], "w array<string>").select(chunking.half_and_half(F.col("w"), 100, 1000).alias("h")).first().h
     tokens = [str(i) for i in range(1200)]
     assert words == tokens[1000:1050] + tokens[-1050:1000]
 
 
+def test_code_blocks_with_names_and_an_open_end(spark):
+    text = "a\n<file_name> x.py </file_name>\n```py\n1\n```\nb\n<section>s</section>\n```\nplain\n``````{k} v```\n## filename: last.c\n```c int x;\nopen"
+    got = spark.createDataFrame([(text,), ("none",), (None,), ("end ```",)], "t string").select(extraction.code_blocks(F.col("t")).alias("c")).collect()
+    blocks = [tuple(b) for b in got[0].c.blocks]
+    assert blocks == [
+        (0, "x.py", "", "py", "1", True), (1, "", "s", "language-specific", "plain", True), (2, "", "", "", "{k} v", True), (3, "last.c", "", "c", "int x;\nopen", False),
+    ]
+    assert got[0].c.rest == "a\n<file_name> x.py </file_name>\nb\n<section>s</section>\n## filename: last.c"
+    assert got[1].c.blocks == [] and got[1].c.rest == "none" and got[3].c.blocks == [] and got[3].c.rest == "end"
+
+
+def test_a_budget_of_nothing_buys_nothing(spark):
+    rows = spark.createDataFrame([(1, ""), (2, "a b")], "id int, t string")
+    assert ranking.token_budget(rows, "t", 0, [F.col("id")]).count() == 0 and ranking.token_budget(rows, "t", 1, [F.col("id")]).count() == 1
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    def seconds(words):
+        rows = spark.createDataFrame([(1, "ab " * words + "\n" + "cd " * words)], "doc_id int, text string").cache()
+        rows.count()
+        began = time.time()
+        n = chunking.by_tokens(rows, 120, 20).count(), chunking.by_separator_then_tokens(rows, "\n", 40, 10).count()
+        assert n == (-(-2 * words // 100), 2 * -(-words // 30))
+        return time.time() - began
+
+    seconds(100)
+    assert min(seconds(160_000) for _ in range(2)) < 3 * min(seconds(80_000) for _ in range(2)) + 1
+    plan = chunking.by_tokens(spark.createDataFrame([(1, "a")], "doc_id int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def test_batch_top_k_handles_empty_and_null(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "id long, vector array<double>")
     q = spark.createDataFrame([(7, [1.0, 0.1])], "query_id long, vector array<double>")
