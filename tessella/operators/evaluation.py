@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.limits import Limits, in_order
+
 METRICS = ("coverage", "depth", "hierarchy", "semantic_connectivity", "global_understanding")
 
 
@@ -35,23 +39,33 @@ def resume(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done.select(key), key, "left_anti")
 
 
-def judged(rows: DataFrame, judge, columns: list[str], key: str = "id", batch: int = 64) -> DataFrame:
+def judged(rows: DataFrame, judge, columns: list[str], key: str = "id", batch: int = 64, limits: Limits = Limits()) -> DataFrame:
     """``key, score, error`` by an injected ``judge(list of dicts) -> list of float or None``.
 
-    Runs in Arrow batches; a call that fails gives null scores and its message, not a lost task.
+    ``batch`` rows a call, several calls at a time; a call that still fails after its retries gives
+    null scores and its message, not a lost task.
     """
     kind = dict(rows.dtypes)[key]
 
+    def ask(part):
+        scores = judge(part[columns].to_dict("records"))
+        if len(scores) != len(part):
+            raise ValueError(f"{len(scores)} scores for {len(part)} rows")
+        return scores
+
     def run(frames):
         import pandas as pd
 
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                try:
-                    scores, error = judge(part[columns].to_dict("records")), None
-                except Exception as failure:  # noqa: BLE001  the judge is foreign code
-                    scores, error = [None] * len(part), str(failure)
-                yield pd.DataFrame({key: part[key].to_numpy(), "score": pd.array(scores, dtype="Float64"), "error": error})
+        held = deque()
+
+        def parts():
+            for frame in frames:
+                for at in range(0, len(frame), batch):
+                    held.append(frame.iloc[at : at + batch])
+                    yield held[-1]
+
+        for scores, error in in_order(ask, parts(), limits):
+            part = held.popleft()
+            yield pd.DataFrame({key: part[key].to_numpy(), "score": pd.array(scores if error is None else [None] * len(part), dtype="Float64"), "error": None if error is None else str(error)})
 
     return rows.select(key, *columns).mapInPandas(run, f"{key} {kind}, score double, error string")
