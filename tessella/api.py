@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -9,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import hooks, schemas
+from tessella.functions.limits import Limits
 from tessella.functions.text import hash_id
 from tessella.functions.tokenizers import WHITE, Tokenizer
 from tessella.functions.vectors import quantised
 from tessella.operators import cache, chunking, context, custom, extraction, graph, kv, ranking, search, sections
-from tessella.sources.sinks import TableStore
+from tessella.sources.sinks import Keyed, TableStore
 
 FAIL = "Sorry, I cannot answer that from what I know."
 
@@ -39,16 +41,18 @@ class QueryParam:
     recheck: bool = False
 
 
-_MENTIONS = "name string, entity_type string, description string, chunk_id string, pos long"
-_EDGE_MENTIONS = "src string, tgt string, weight double, description string, keywords string, chunk_id string, pos long"
-_CACHE = "mode string, args_hash string, question string, answer string, q array<int>, low double, high double"
+_VECTOR = "hash string, vector array<float>"
 
 
-def _schemas() -> dict[str, str]:
+def _tables() -> dict[str, Keyed]:
+    """The engine's tables; those that are looked up by a part of their key are dealt out by it."""
     return {
-        "full_docs": schemas.FULL_DOCS, "doc_status": "id string, status string, error string", "doc_chunks": "doc_id string, id string", "text_chunks": schemas.TEXT_CHUNKS,
-        "node_mentions": _MENTIONS, "edge_mentions": _EDGE_MENTIONS, "nodes": schemas.NODES, "edges": schemas.EDGES, "chunk_vectors": "id string, hash string, vector array<float>",
-        "node_vectors": "id string, hash string, vector array<float>", "edge_vectors": "id string, hash string, lo string, hi string, vector array<float>", "cache": _CACHE,
+        "full_docs": Keyed(schemas.FULL_DOCS), "doc_status": Keyed("id string, status string, error string, attempts int, due double"), "doc_chunks": Keyed("doc_id string, id string", ("doc_id", "id"), ("doc_id",)),
+        "text_chunks": Keyed(schemas.TEXT_CHUNKS), "answers": Keyed("args_hash string, answer string", ("args_hash",)), "nodes": Keyed(schemas.NODES), "edges": Keyed(schemas.EDGES, ("lo", "hi")),
+        "node_mentions": Keyed("name string, entity_type string, description string, chunk_id string, pos long", ("name", "chunk_id"), ("name",)),
+        "edge_mentions": Keyed("lo string, hi string, src string, tgt string, weight double, description string, keywords string, chunk_id string, pos long", ("lo", "hi", "chunk_id"), ("lo", "hi")),
+        "adjacency": Keyed("id string, lo string, hi string", ("id", "lo", "hi"), ("id",)), "degrees": Keyed("id string, degree long"), "chunk_vectors": Keyed(f"id string, {_VECTOR}"), "node_vectors": Keyed(f"id string, {_VECTOR}"),
+        "edge_vectors": Keyed(f"id string, lo string, hi string, {_VECTOR}", ("lo", "hi")), "cache": Keyed("mode string, args_hash string, question string, answer string, q array<int>, low double, high double", ("mode", "args_hash"), ("mode",)),
     }
 
 
@@ -57,17 +61,20 @@ class GraphRetrieval:
 
     ``score`` is a reranker, ``chunk`` cuts ``docs(doc_id, text)`` into the columns that
     :func:`tessella.operators.chunking.by_tokens` gives, ``tokenizer`` counts for chunks and budgets,
-    and descriptions of over ``summary_tokens`` are summarised by the model.
+    and descriptions of over ``summary_tokens`` are summarised by the model. ``limits`` bound the
+    calls of models. A failed document waits ``pause`` seconds, each time twice as long, until
+    :meth:`retry` takes it in turn, and after ``attempts`` failures until it is asked for by name.
     """
 
     def __init__(
         self, spark: SparkSession, folder: str, embed: hooks.Embed, complete: hooks.Complete, size: int = 1200, overlap: int = 100, score: hooks.Score | None = None,
-        chunk: Callable[[DataFrame], DataFrame] | None = None, tokenizer: Tokenizer = WHITE, summary_tokens: int = 500,
+        chunk: Callable[[DataFrame], DataFrame] | None = None, tokenizer: Tokenizer = WHITE, summary_tokens: int = 500, limits: Limits = Limits(), pause: float = 60.0, attempts: int = 8, buckets: int = 64,
     ):
         self.spark, self.embed, self.complete, self.score, self.tokenizer, self.summary_tokens = spark, embed, complete, score, tokenizer, summary_tokens
+        self.limits, self.pause, self.attempts = limits, pause, attempts
         self.chunk = chunk or (lambda docs: chunking.by_tokens(docs, size, overlap, tokenizer=tokenizer))
-        self.store = TableStore(spark, folder)
-        self.store.create(_schemas())
+        self.store = TableStore(spark, folder, _tables(), buckets)
+        self.counts: dict[str, int] = {}
 
     # indexing
 
@@ -76,34 +83,44 @@ class GraphRetrieval:
 
         A document with a chunk for which the model fails is marked ``failed`` with the message, and
         nothing of it but its text is kept; the next insert of it, or :meth:`retry`, tries again.
+        Answers of the model are kept by their prompts, also those of failed documents, so equal
+        chunks are asked for once. ``counts`` says what the last insert did.
         """
-        ingested = chunking.ingest(docs).select("id", "content")
-        wanted = kv.missing_or(ingested, self.store.read("doc_status"), F.col("status") == "failed")
-        new = graph.checkpoint(ingested.join(wanted, "id", "left_semi"))
+        ingested = graph.checkpoint(chunking.ingest(docs).select("id", "content"))
+        new = self._wanted(ingested)
         cut = self.chunk(new.select(F.col("id").alias("doc_id"), F.col("content").alias("text")))
         self._index(new, cut.select("doc_id", "chunk_order_index", "tokens", "content", "id"))
 
     def insert_chunks(self, docs: DataFrame) -> None:
         """Index ``docs(text, chunks)`` whose chunks are given."""
-        ingested = docs.where("text is not null").select(F.trim("text").alias("content"), "chunks").withColumn("id", hash_id("doc-", F.col("content"))).dropDuplicates(["id"])
-        wanted = kv.missing_or(ingested, self.store.read("doc_status"), F.col("status") == "failed")
-        new = graph.checkpoint(ingested.join(wanted, "id", "left_semi"))
+        ingested = graph.checkpoint(docs.where("text is not null").select(F.trim("text").alias("content"), "chunks").withColumn("id", hash_id("doc-", F.col("content"))).dropDuplicates(["id"]))
+        new = self._wanted(ingested)
         each = new.select(F.col("id").alias("doc_id"), F.posexplode("chunks").alias("chunk_order_index", "content")).withColumn("content", F.trim("content"))
         self._index(new.select("id", "content"), each.select("doc_id", "chunk_order_index", self.tokenizer.count(F.col("content")).alias("tokens"), "content", hash_id("chunk-", F.col("content")).alias("id")))
 
-    def retry(self) -> None:
-        """Index the failed documents again."""
-        failed = self.store.read("doc_status").where("status = 'failed'").select("id")
-        self.insert(self.store.read("full_docs").join(failed, "id", "left_semi").select(F.col("content").alias("text")))
+    def _wanted(self, ingested: DataFrame) -> DataFrame:
+        """Those that are new or failed before."""
+        wanted = kv.missing_or(ingested, self.store.lookup("doc_status", ingested.select("id")), F.col("status") == "failed")
+        return graph.checkpoint(ingested.join(wanted, "id", "left_semi"))
+
+    def retry(self, due_only: bool = False) -> None:
+        """Index the failed documents again; with ``due_only`` those whose pause is over and that have attempts left."""
+        failed = self.store.read("doc_status").where("status = 'failed'")
+        if due_only:
+            failed = failed.where((F.col("due") <= time.time()) & (F.col("attempts") < self.attempts))
+        failed = graph.checkpoint(failed.select("id"))
+        if not failed.isEmpty():
+            self.insert(self.store.lookup("full_docs", failed).select(F.col("content").alias("text")))
 
     def _index(self, new: DataFrame, cut: DataFrame) -> None:
-        read = self.store.read
+        since, lookup = self.store.snapshot(), self.store.lookup
         cut = graph.checkpoint(cut)
         pairs = cut.select("doc_id", "id").distinct()
         # equal chunks are one, the last place wins
         single = cut.groupBy("id").agg(F.max_by(F.struct("tokens", "content", F.col("doc_id").alias("full_doc_id"), "chunk_order_index"), F.struct("doc_id", "chunk_order_index")).alias("c")).select("id", "c.*")
-        chunks = single.select(*schemas.names(schemas.TEXT_CHUNKS)).join(read("text_chunks").select("id"), "id", "left_anti")
-        answers = graph.checkpoint(hooks.extracted(chunks, self.complete))
+        single = graph.checkpoint(single.select(*schemas.names(schemas.TEXT_CHUNKS)))
+        chunks = graph.checkpoint(single.join(lookup("text_chunks", single.select("id")).select("id"), "id", "left_anti"))
+        answers, fresh = self._answers(chunks)
         errors = answers.where("error is not null").select(F.col("chunk_id").alias("id"), "error")
         failed = graph.checkpoint(pairs.join(errors, "id").groupBy("doc_id").agg(F.min("error").alias("error")))
         good = graph.checkpoint(pairs.join(failed, "doc_id", "left_anti"))
@@ -111,82 +128,135 @@ class GraphRetrieval:
         told = answers.where("error is null").join(kept, "chunk_id", "left_semi")
         nodes = extraction.entities(told).select(F.col("entity_name").alias("name"), "entity_type", "description", "chunk_id", F.col("pos").cast("long").alias("pos"))
         edges = extraction.relationships(told).select(F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"), "weight", "description", "keywords", "chunk_id", F.col("pos").cast("long").alias("pos"))
-        status = new.select("id").join(failed.withColumnRenamed("doc_id", "id"), "id", "left").select("id", F.when(F.col("error").isNull(), "processed").otherwise("failed").alias("status"), "error")
+        before = lookup("doc_status", new.select("id")).select("id", F.coalesce("attempts", F.lit(0)).alias("was"))
+        status = new.select("id").join(failed.withColumnRenamed("doc_id", "id"), "id", "left").join(before, "id", "left").withColumn("attempts", F.when(F.col("error").isNull(), 0).otherwise(F.coalesce("was", F.lit(0)) + 1))
+        due = F.when(F.col("error").isNotNull(), F.lit(time.time()) + F.lit(self.pause) * F.pow(F.lit(2.0), F.col("attempts") - 1))
+        status, seen = context.observed(
+            status.select("id", F.when(F.col("error").isNull(), "processed").otherwise("failed").alias("status"), "error", "attempts", due.alias("due")),
+            documents=F.count(F.lit(1)), failed=F.count("error"),
+        )
         self._grow(
-            nodes, edges, chunks.join(kept.withColumnRenamed("chunk_id", "id"), "id", "left_semi"), replaced={"doc_status": kv.overwrite(read("doc_status"), status)},
-            appended={"full_docs": new.join(read("full_docs").select("id"), "id", "left_anti"), "doc_chunks": good},
+            nodes, edges, chunks.join(kept.withColumnRenamed("chunk_id", "id"), "id", "left_semi"), since,
+            {"doc_status": status, "full_docs": new.select("id", "content"), "doc_chunks": good, "answers": fresh},
         )
+        self.counts |= {k: int(v or 0) for k, v in seen.get.items()}
+
+    def _answers(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``chunk_id, text, error`` for every chunk, and the new answers to keep: prompts are hashed and looked up before any call."""
+        asked = graph.checkpoint(chunks.select("id", "content", F.md5(F.encode(F.concat(F.lit(hooks.EXTRACT), "content"), "UTF-8")).alias("args_hash")))
+        known = self.store.lookup("answers", asked.select("args_hash"))
+        known = graph.checkpoint(asked.select(F.col("id").alias("chunk_id"), "args_hash").join(known, "args_hash"))
+        missing = asked.join(known.select(F.col("chunk_id").alias("id")), "id", "left_anti")
+        told, seen = context.observed(hooks.extracted(missing, self.complete, limits=self.limits), asked=F.count(F.lit(1)), errors=F.count("error"))
+        told = graph.checkpoint(told)
+        fresh = told.where("error is null").join(asked.select(F.col("id").alias("chunk_id"), "args_hash"), "chunk_id").select("args_hash", F.col("text").alias("answer"))
+        self.counts = {"cached": known.count(), **{k: int(v or 0) for k, v in seen.get.items()}}
+        return told.unionByName(known.select("chunk_id", F.col("answer").alias("text"), F.lit(None).cast("string").alias("error"))), fresh.dropDuplicates(["args_hash"])
 
     def insert_custom_graph(self, entities: DataFrame, relationships: DataFrame, chunks: DataFrame) -> None:
         """Index a prebuilt graph whose parts name their chunks by label; rows have ``pos``, their order. What is there already adds nothing."""
-        read, labels = self.store.read, custom.chunk_map(chunks)
+        since, labels = self.store.snapshot(), custom.chunk_map(chunks)
         ids = chunks.select(hash_id("chunk-", F.trim("content")).alias("id"), self.tokenizer.count(F.col("content")).alias("tokens"), F.trim("content").alias("content"))
         fresh = ids.dropDuplicates(["id"]).select("id", "tokens", "content", F.lit(None).cast("string").alias("full_doc_id"), F.lit(0).alias("chunk_order_index"))
         nodes = custom.nodes(entities, relationships, labels).select(F.col("id").alias("name"), "entity_type", "description", F.col("source_id").alias("chunk_id"), F.lit(0).cast("long").alias("pos"))
         edges = custom.edges(relationships, labels).select("src", "tgt", "weight", "description", "keywords", F.col("source_id").alias("chunk_id"), F.lit(0).cast("long").alias("pos"))
-        self._grow(_new_rows(nodes, read("node_mentions")), _new_rows(edges, read("edge_mentions")), fresh.join(read("text_chunks").select("id"), "id", "left_anti"))
-
-    def _grow(self, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, replaced: dict | None = None, appended: dict | None = None) -> None:
-        """Add mentions and chunks; only names and pairs that they touch are merged anew, and only changed texts embedded."""
-        read = self.store.read
-        nodes, edges, chunks = graph.checkpoint(nodes), graph.checkpoint(edges), graph.checkpoint(chunks)
-        tables = self._merged(read("node_mentions").unionByName(nodes), read("edge_mentions").unionByName(edges), nodes.select(F.col("name").alias("id")), _pairs(edges))
-        vectors = hooks.embedded(chunks, self.embed).join(chunks.select("id", _digest().alias("hash")), "id").select("id", "hash", "vector")
-        self.store.commit({**(replaced or {}), **tables}, {**(appended or {}), "text_chunks": chunks, "node_mentions": nodes, "edge_mentions": edges, "chunk_vectors": vectors})
-
-    def _merged(self, node_mentions: DataFrame, edge_mentions: DataFrame, names: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
-        """Nodes, edges and their vectors after the mentions of some names and pairs changed."""
-        read = self.store.read
-        pairs = graph.checkpoint(pairs.distinct())
-        names = graph.checkpoint(names.unionByName(pairs.select(F.explode(F.array("lo", "hi")).alias("id"))).distinct())
-        own = edge_mentions.withColumns({"lo": F.least("src", "tgt"), "hi": F.greatest("src", "tgt")}).join(pairs, ["lo", "hi"], "left_semi").drop("lo", "hi")
-        keyed = graph.relation_ids(graph.merge_edges(own)).select("id", *schemas.names(schemas.EDGES))
-        new_edges = hooks.summarised(keyed, self.complete, self.summary_tokens, counter=self.tokenizer.count).drop("id")
-        edges = graph.checkpoint(read("edges").join(pairs, ["lo", "hi"], "left_anti").select(*schemas.names(schemas.EDGES)).unionByName(new_edges))
-        merged = graph.merge_nodes(node_mentions.join(names.withColumnRenamed("id", "name"), "name", "left_semi")).select(*schemas.names(schemas.NODES))
-        merged = graph.checkpoint(hooks.summarised(merged, self.complete, self.summary_tokens, counter=self.tokenizer.count))
-        lacking = graph.placeholders(graph.touching(edges, names), merged).join(names, "id", "left_semi").select(*schemas.names(schemas.NODES))
-        nodes = graph.checkpoint(read("nodes").join(names, "id", "left_anti").unionByName(merged).unionByName(lacking))
-        node_text = nodes.select("id", F.concat("id", "description").alias("content"))
-        edge_text = graph.relation_ids(edges).select("id", "lo", "hi", F.concat("keywords", "lo", "hi", "description").alias("content"))
-        return {
-            "nodes": nodes, "edges": edges, "node_vectors": self._embedded(node_text, "node_vectors").select("id", "hash", "vector"),
-            "edge_vectors": self._embedded(edge_text, "edge_vectors").join(edge_text.select("id", "lo", "hi"), "id").select("id", "hash", "lo", "hi", "vector"),
+        fresh = graph.checkpoint(fresh)
+        new = fresh.join(self.store.lookup("text_chunks", fresh.select("id")).select("id"), "id", "left_anti")
+        self._grow(self._beside("node_mentions", nodes), self._beside("edge_mentions", _with_ends(edges)), new, since, {})
+
+    def _beside(self, table: str, rows: DataFrame) -> DataFrame:
+        """New rows of mentions, each once, with the stored ones of the same keys, which they join."""
+        spec, rows = self.store.keyed[table], graph.checkpoint(rows.distinct())
+        known = graph.checkpoint(self.store.lookup(table, rows.select(*spec.key)))
+        fresh = graph.checkpoint(_new_rows(rows.select(*spec.columns), known))
+        return fresh.unionByName(known.join(fresh.select(*spec.key).distinct(), list(spec.key), "left_semi").select(*spec.columns))
+
+    def _grow(self, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, since: dict, put: dict[str, DataFrame]) -> None:
+        """Add mentions and chunks; only names and pairs that they touch are read and merged, and only changed texts embedded."""
+        nodes, edges, chunks = graph.checkpoint(nodes), graph.checkpoint(_with_ends(edges)), graph.checkpoint(chunks)
+        vectors = hooks.embedded(chunks, self.embed, limits=self.limits).join(chunks.select("id", _digest().alias("hash")), "id").select("id", "hash", "vector")
+        changed, gone = self._changed(nodes, edges, None, None)
+        self.store.commit(put={**put, **changed, "text_chunks": chunks, "node_mentions": nodes, "edge_mentions": edges, "chunk_vectors": vectors}, remove=gone, since=since)
+
+    def _shrink(self, nodes: DataFrame, edges: DataFrame, since: dict, remove: dict[str, DataFrame]) -> None:
+        """Take the mentions of the given keys away."""
+        nodes, edges = graph.checkpoint(nodes.select("name", "chunk_id").distinct()), graph.checkpoint(edges.select("lo", "hi", "chunk_id").distinct())
+        changed, gone = self._changed(None, None, nodes, edges)
+        self.store.commit(put=changed, remove={**gone, **remove, "node_mentions": nodes, "edge_mentions": edges}, since=since)
+
+    def _after(self, table: str, at: DataFrame, new: DataFrame | None, gone: DataFrame | None) -> DataFrame:
+        """Stored mentions of some names or pairs as they are once ``new`` rows are put or those of keys ``gone`` removed."""
+        key = list(self.store.keyed[table].key)
+        left = self.store.lookup(table, at).join((new if gone is None else gone).select(*key).distinct(), key, "left_anti").select(*self.store.keyed[table].columns)
+        return left if new is None else left.unionByName(new.select(*left.columns))
+
+    def _changed(self, nodes: DataFrame | None, edges: DataFrame | None, gone_nodes: DataFrame | None, gone_edges: DataFrame | None) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        """What to put and what to remove in the graph's tables after mentions changed.
+
+        All reads are lookups by the touched names and pairs: their mentions, edges, degrees and
+        vectors. Degrees are kept by what they gain and lose, so a hub's edges are not counted again.
+        """
+        lookup = self.store.lookup
+        pairs = graph.checkpoint((edges if gone_edges is None else gone_edges).select("lo", "hi").distinct())
+        named = (nodes if gone_nodes is None else gone_nodes).select(F.col("name").alias("id"))
+        names = graph.checkpoint(named.unionByName(pairs.select(F.explode(F.array("lo", "hi")).alias("id"))).distinct())
+
+        merged = graph.relation_ids(graph.merge_edges(self._after("edge_mentions", pairs, edges, gone_edges))).select("id", *schemas.names(schemas.EDGES))
+        new_edges = graph.checkpoint(hooks.summarised(merged, self.complete, self.summary_tokens, counter=self.tokenizer.count, limits=self.limits).drop("id"))
+        were = graph.checkpoint(lookup("edges", pairs).select("lo", "hi"))
+        lost = graph.checkpoint(were.join(new_edges, ["lo", "hi"], "left_anti"))
+        added = graph.checkpoint(new_edges.select("lo", "hi").join(were, ["lo", "hi"], "left_anti"))
+        ends = F.explode(F.array_distinct(F.array("lo", "hi"))).alias("id")
+
+        merged = graph.merge_nodes(self._after("node_mentions", names.withColumnRenamed("id", "name"), nodes, gone_nodes)).select(*schemas.names(schemas.NODES))
+        merged = graph.checkpoint(hooks.summarised(merged, self.complete, self.summary_tokens, counter=self.tokenizer.count, limits=self.limits))
+        bare = graph.checkpoint(names.join(merged.select("id"), "id", "left_anti"))
+        old = self.stored_edges(bare).join(pairs, ["lo", "hi"], "left_anti").select(*schemas.names(schemas.EDGES))
+        lacking = graph.placeholders(old.unionByName(graph.touching(new_edges, bare)), merged).join(bare, "id", "left_semi").select(*schemas.names(schemas.NODES))
+        new_nodes = graph.checkpoint(merged.unionByName(lacking))
+        dead = graph.checkpoint(names.join(new_nodes.select("id"), "id", "left_anti"))
+
+        each = lambda df, by: df.select(F.explode(F.array("lo", "hi")).alias("id"), F.lit(by).alias("by"))
+        moved = each(added, 1).unionByName(each(lost, -1)).groupBy("id").agg(F.sum("by").alias("by"))
+        degrees = graph.checkpoint(moved.join(lookup("degrees", moved.select("id")), "id", "left").select("id", (F.coalesce("degree", F.lit(0)) + F.col("by")).alias("degree")))
+        node_text = new_nodes.select("id", F.concat("id", "description").alias("content"))
+        edge_text = graph.relation_ids(new_edges).select("id", "lo", "hi", F.concat("keywords", "lo", "hi", "description").alias("content"))
+        put = {
+            "nodes": new_nodes, "edges": new_edges, "adjacency": added.select(ends, "lo", "hi"), "degrees": degrees.where("degree > 0"),
+            "node_vectors": self._embedded(node_text, "node_vectors", ["id"]), "edge_vectors": self._embedded(edge_text, "edge_vectors", ["lo", "hi"]),
         }
+        gone = {"nodes": dead, "node_vectors": dead, "edges": lost, "edge_vectors": lost, "adjacency": lost.select(ends, "lo", "hi"), "degrees": degrees.where("degree <= 0")}
+        return put, gone
 
-    def _embedded(self, texts: DataFrame, table: str) -> DataFrame:
-        """Vectors of ``texts(id, content)``: those at hand where the text is as before, others embedded now."""
-        hashed = texts.select("id", "content", _digest().alias("hash"))
-        known = self.store.read(table).select("id", "hash", "vector")
-        kept = known.join(hashed.select("id", "hash"), ["id", "hash"], "left_semi")
-        fresh = graph.checkpoint(hashed.join(known.select("id", "hash"), ["id", "hash"], "left_anti"))
-        return graph.checkpoint(kept.unionByName(hooks.embedded(fresh, self.embed).join(fresh.select("id", "hash"), "id").select("id", "hash", "vector")))
-
-    def _shrink(self, gone_nodes: DataFrame, gone_edges: DataFrame, **replaced: DataFrame) -> None:
-        """Take mentions away; ``gone_*`` are among those stored."""
-        read = self.store.read
-        gone_nodes, gone_edges = graph.checkpoint(gone_nodes), graph.checkpoint(gone_edges)
-        nodes = graph.checkpoint(_new_rows(read("node_mentions"), gone_nodes, distinct=False))
-        edges = graph.checkpoint(_new_rows(read("edge_mentions"), gone_edges, distinct=False))
-        tables = self._merged(nodes, edges, gone_nodes.select(F.col("name").alias("id")), _pairs(gone_edges))
-        self.store.commit({**tables, **replaced, "node_mentions": nodes, "edge_mentions": edges})
+    def stored_edges(self, ids: DataFrame) -> DataFrame:
+        """Stored edges with an end among ``ids(id)``, by the adjacency of these ends."""
+        near = graph.checkpoint(self.store.lookup("adjacency", ids.select("id")).select("lo", "hi").distinct())
+        return self.store.lookup("edges", near)
+
+    def _embedded(self, texts: DataFrame, table: str, key: list[str]) -> DataFrame:
+        """New vectors of ``texts(id, content)`` whose text is not as it was when its vector was made."""
+        texts = texts.withColumn("hash", _digest())
+        known = self.store.lookup(table, texts.select(*key)).select(*key, "hash")
+        fresh = graph.checkpoint(texts.join(known, [*key, "hash"], "left_anti"))
+        return graph.checkpoint(hooks.embedded(fresh, self.embed, limits=self.limits).join(fresh.drop("content"), "id").select(*self.store.keyed[table].columns))
 
     def delete_document(self, doc_id: str) -> None:
         """Remove a document with the chunks that no other has, and what only these support."""
-        read = self.store.read
-        theirs = read("doc_chunks")
-        left = theirs.where(F.col("doc_id") != doc_id)
-        gone = graph.checkpoint(theirs.where(F.col("doc_id") == doc_id).select("id").distinct().join(left.select("id"), "id", "left_anti"))
-        mine = lambda name: read(name).join(gone.withColumnRenamed("id", "chunk_id"), "chunk_id", "left_semi").select(*read(name).columns)
-        self._shrink(
-            mine("node_mentions"), mine("edge_mentions"), text_chunks=kv.delete(read("text_chunks"), gone), chunk_vectors=kv.delete(read("chunk_vectors"), gone), doc_chunks=left,
-            full_docs=read("full_docs").where(F.col("id") != doc_id), doc_status=read("doc_status").where(F.col("id") != doc_id),
-        )
+        since, read = self.store.snapshot(), self.store.read
+        this = self.spark.createDataFrame([(doc_id,)], "doc_id string")
+        theirs = graph.checkpoint(self.store.lookup("doc_chunks", this))
+        shared = read("doc_chunks").where(F.col("doc_id") != doc_id).join(theirs.select("id"), "id", "left_semi")
+        gone = graph.checkpoint(theirs.select("id").distinct().join(shared.select("id"), "id", "left_anti"))
+        of_chunk = gone.withColumnRenamed("id", "chunk_id")
+        mine = lambda name: read(name).join(of_chunk, "chunk_id", "left_semi")
+        doc = this.withColumnRenamed("doc_id", "id")
+        self._shrink(mine("node_mentions"), mine("edge_mentions"), since, {"text_chunks": gone, "chunk_vectors": gone, "doc_chunks": theirs, "full_docs": doc, "doc_status": doc})
 
     def delete_entity(self, name: str) -> None:
         """Remove an entity and its relations."""
-        read = self.store.read
-        self._shrink(read("node_mentions").where(F.col("name") == name), read("edge_mentions").where((F.col("src") == name) | (F.col("tgt") == name)))
+        since, this = self.store.snapshot(), self.spark.createDataFrame([(name,)], "id string")
+        pairs = graph.checkpoint(self.store.lookup("adjacency", this).select("lo", "hi").distinct())
+        self._shrink(self.store.lookup("node_mentions", this.withColumnRenamed("id", "name")), self.store.lookup("edge_mentions", pairs), since, {})
 
     def clear(self) -> None:
         self.store.drop()
@@ -205,13 +275,15 @@ class GraphRetrieval:
 
     def entity_info(self, name: str, with_vector: bool = False) -> DataFrame:
         """Node of a name, with its vector if asked."""
-        found = self.store.read("nodes").where(F.col("id") == name)
-        return graph.with_vectors(found, self.store.read("node_vectors"), ["id"]) if with_vector else found
+        this = self.spark.createDataFrame([(name,)], "id string")
+        found = self.store.lookup("nodes", this)
+        return graph.with_vectors(found, self.store.lookup("node_vectors", this), ["id"]) if with_vector else found
 
     def relation_info(self, one: str, other: str, with_vector: bool = False) -> DataFrame:
         """Edge between two names, with its vector if asked."""
-        found = self.store.read("edges").where((F.col("lo") == min(one, other)) & (F.col("hi") == max(one, other)))
-        return graph.with_vectors(found, self.store.read("edge_vectors"), ["lo", "hi"]) if with_vector else found
+        this = self.spark.createDataFrame([(min(one, other), max(one, other))], "lo string, hi string")
+        found = self.store.lookup("edges", this)
+        return graph.with_vectors(found, self.store.lookup("edge_vectors", this), ["lo", "hi"]) if with_vector else found
 
     # queries
 
@@ -253,7 +325,8 @@ class GraphRetrieval:
                 rows = self._ranked(rows, lambda r, names=names: r.withColumn("__text", F.concat_ws(" ", *[F.col(c).cast("string") for c in names])), text, param)
             parts.append(f"-----{title}-----\n" + context.csv_section(rows, ["id", *names]).first().csv)
         if param.mode == "mix":
-            hits = g.chunk_hits().where(F.col("pos") < min(10, param.top_k)).join(g.chunks(), "id").select(F.col("pos").alias("id"), "content")
+            hits = g.chunk_hits().where(F.col("pos") < min(10, param.top_k))
+            hits = hits.join(g.chunks_at(hits), "id").select(F.col("pos").alias("id"), "content")
             hits = self._ranked(hits, lambda r: r.withColumn("__text", F.col("content")), text, param)
             parts.append("-----Chunks-----\n" + (context.joined_chunks(hits, "id").first().context or ""))
         return "\n".join(parts)
@@ -290,7 +363,7 @@ class GraphRetrieval:
         if param.cached:
             vector = self.spark.createDataFrame([(self._key(text, param), param.mode, text, answer, [float(x) for x in self.embed([text])[0]])], "args_hash string, mode string, question string, answer string, v array<double>")
             saved = vector.select("mode", "args_hash", "question", "answer", quantised(F.col("v")).alias("q"), F.array_min("v").alias("low"), F.array_max("v").alias("high"))
-            self.store.commit(append={"cache": saved})
+            self.store.commit(put={"cache": saved})
         return answer
 
     def _key(self, text: str, param: QueryParam) -> str:
@@ -299,7 +372,7 @@ class GraphRetrieval:
 
     def _cached(self, text: str, param: QueryParam) -> str | None:
         """Answer to an equal query, or to the most similar one of the mode that the model, if asked, takes for the same."""
-        stored = self.store.read("cache").where(F.col("mode") == param.mode)
+        stored = self.store.lookup("cache", self.spark.createDataFrame([(param.mode,)], "mode string"))
         asked = self.spark.createDataFrame([(param.mode, self._key(text, param))], "mode string, args_hash string")
         answer = cache.exact(asked, stored).select("answer").first()
         if answer and answer.answer is not None:
@@ -320,8 +393,9 @@ def _digest():
     return F.md5(F.encode("content", "UTF-8"))
 
 
-def _pairs(mentions: DataFrame) -> DataFrame:
-    return mentions.select(F.least("src", "tgt").alias("lo"), F.greatest("src", "tgt").alias("hi"))
+def _with_ends(mentions: DataFrame) -> DataFrame:
+    """Edge mentions with both ends in order, in the table's columns."""
+    return mentions.withColumns({"lo": F.least("src", "tgt"), "hi": F.greatest("src", "tgt")}).select(*_tables()["edge_mentions"].columns)
 
 
 def _new_rows(rows: DataFrame, known: DataFrame, distinct: bool = True) -> DataFrame:
@@ -335,34 +409,40 @@ def _new_rows(rows: DataFrame, known: DataFrame, distinct: bool = True) -> DataF
 
 
 class _Stored:
-    """The stored tables as a graph for :mod:`tessella.operators.sections`."""
+    """The stored tables as a graph for :mod:`tessella.operators.sections`; what hits touch is looked up."""
 
     def __init__(self, engine: GraphRetrieval, param: QueryParam, low: str, high: str, text: str):
         self.engine, self.param, self.low, self.high, self.text, self.budget = engine, param, low, high, text, param.budget
         self.counter = engine.tokenizer.count
+        self.found: dict[str, DataFrame] = {}
+
+    def nodes_at(self, ids: DataFrame) -> DataFrame:
+        return self.engine.store.lookup("nodes", ids.select("id"))
 
-    def _read(self, name: str) -> DataFrame:
-        return self.engine.store.read(name)
+    def edges_at(self, pairs: DataFrame) -> DataFrame:
+        return self.engine.store.lookup("edges", pairs.select("lo", "hi"))
 
-    def nodes(self) -> DataFrame:
-        return self._read("nodes")
+    def edges_touching(self, ids: DataFrame) -> DataFrame:
+        return self.engine.stored_edges(ids)
 
-    def edges(self) -> DataFrame:
-        return self._read("edges")
+    def degrees_at(self, ids: DataFrame) -> DataFrame:
+        return self.engine.store.lookup("degrees", ids.select("id"))
 
-    def chunks(self) -> DataFrame:
-        return self._read("text_chunks").select("id", "content")
+    def chunks_at(self, ids: DataFrame) -> DataFrame:
+        return self.engine.store.lookup("text_chunks", ids.select("id")).select("id", "content")
 
-    def _hits(self, table: str, text: str) -> DataFrame:
-        found = search.top_k(self._read(table), self.engine.embed([text])[0], self.param.top_k, self.param.threshold)
-        return ranking.numbered(found, [F.desc("similarity"), F.col("id")], name="pos").drop("vector")
+    def _hits(self, table: str, text: str, columns: list[str]) -> DataFrame:
+        """Hits of a table's vectors, made once; a top-k bounds them."""
+        if table not in self.found:
+            found = search.top_k(self.engine.store.read(table), self.engine.embed([text])[0], self.param.top_k, self.param.threshold)
+            self.found[table] = graph.checkpoint(ranking.numbered(found, [F.desc("similarity"), F.col("id")], name="pos").select("pos", *columns))
+        return self.found[table]
 
     def entity_hits(self) -> DataFrame:
-        keyed = self._read("nodes").select("id")
-        return self._hits("node_vectors", self.low).select("pos", "id").join(keyed, "id", "left_semi")
+        return self._hits("node_vectors", self.low, ["id"])
 
     def edge_hits(self) -> DataFrame:
-        return self._hits("edge_vectors", self.high).select("pos", "lo", "hi")
+        return self._hits("edge_vectors", self.high, ["lo", "hi"])
 
     def chunk_hits(self) -> DataFrame:
-        return self._hits("chunk_vectors", self.text).select("pos", "id")
+        return self._hits("chunk_vectors", self.text, ["id"])

@@ -70,20 +70,20 @@ def positions(rows: DataFrame, key: str, name: str = "at") -> DataFrame:
     return dealt.withColumn(name, own + F.get(F.array(*starts), F.col("__range"))).drop("__range")
 
 
-def related_edges(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges at ``seeds(id)``, each once, with the sum of their ends' degrees as ``rank``."""
-    near = graph.touching(edges, seeds)
-    return graph.edge_degrees(near, graph.degrees_of(edges, near.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()))
+def related_edges(near: DataFrame, degrees_at: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges ``near`` hits, each once, with the sum of their ends' degrees as ``rank``, which ``degrees_at(ids)`` looks up."""
+    near = graph.checkpoint(near)
+    return graph.edge_degrees(near, degrees_at(near.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()))
 
 
-def chunks_of_entities(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def chunks_of_entities(hits: DataFrame, nodes_at: Callable[[DataFrame], DataFrame], near: DataFrame) -> DataFrame:
     """Chunks that hit entities cite: ``chunk_id, at (place of the last entity citing it), relations`` (R2).
 
-    ``relations`` counts that entity's neighbours that cite the chunk too.
+    ``relations`` counts that entity's neighbours, by the edges ``near`` the hits, that cite the chunk too.
     """
-    adjacent = graph.adjacency(graph.touching(edges, hits.select("id")))
+    adjacent = graph.checkpoint(graph.adjacency(near))
     known = hits.select("id").unionByName(adjacent.select(F.col("dst").alias("id"))).distinct()
-    cited = nodes.join(known, "id", "left_semi").select("id", F.explode("source_ids").alias("chunk_id"))
+    cited = nodes_at(known).select("id", F.explode("source_ids").alias("chunk_id"))
     own = hits.select("pos", "id").join(cited, "id")
     last = own.groupBy("chunk_id").agg(F.max(F.struct("pos", "id")).alias("x")).select("chunk_id", F.col("x.pos").alias("at"), F.col("x.id").alias("id"))
     neighbours = last.join(adjacent.select(F.col("src").alias("id"), F.col("dst").alias("near")), "id")

@@ -1,7 +1,7 @@
-"""Sections of query contexts, over any graph that has ``nodes``, ``edges``, ``chunks``, the three kinds of hits, a ``budget`` and a token ``counter``.
+"""Sections of query contexts, over any graph with lookups, the three kinds of hits, a ``budget`` and a token ``counter``.
 
-A graph is an object with the methods of :class:`tessella.plans.bindings.Graph`: hits are few (a
-top-k), so every join begins with them: nodes, edges and degrees are looked up for what hits touch.
+A graph is an object with the methods of :class:`Lookups`: hits are few (a top-k), so every join
+begins with them: nodes, edges, degrees and chunks are looked up for what hits touch.
 """
 
 from __future__ import annotations
@@ -11,19 +11,38 @@ from pyspark.sql import functions as F
 from tessella.operators import graph, ranking
 
 
+class Lookups:
+    """Lookups over whole tables ``nodes()``, ``edges()`` and ``chunks()``, for graphs that have no better way."""
+
+    def nodes_at(self, ids):
+        return self.nodes().join(ids.select("id").distinct(), "id", "left_semi")
+
+    def edges_at(self, pairs):
+        return self.edges().join(pairs.select("lo", "hi").distinct(), ["lo", "hi"], "left_semi")
+
+    def edges_touching(self, ids):
+        return graph.touching(self.edges(), ids)
+
+    def degrees_at(self, ids):
+        return graph.degrees_of(self.edges(), ids)
+
+    def chunks_at(self, ids):
+        return self.chunks().join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def entities_at_hits(g):
     """Hit entities with their nodes and degrees, missing ones left out."""
     hits = g.entity_hits()
-    nodes = g.nodes().join(hits.select("id"), "id", "left_semi").drop("source_ids")
-    return hits.join(nodes, "id").join(graph.degrees_of(g.edges(), hits), "id", "left").withColumn("rank", F.coalesce("degree", F.lit(0))).drop("degree")
+    nodes = g.nodes_at(hits).drop("source_ids")
+    return hits.join(nodes, "id").join(g.degrees_at(hits), "id", "left").withColumn("rank", F.coalesce("degree", F.lit(0))).drop("degree")
 
 
 def edges_at_hits(g):
     """Hit edges with rank."""
-    hits, edges = g.edge_hits(), g.edges()
-    near = edges.join(hits.select("lo", "hi"), ["lo", "hi"], "left_semi").drop("source_ids")
+    hits = g.edge_hits()
+    near = g.edges_at(hits).drop("source_ids")
     ends = hits.select(F.explode(F.array("lo", "hi")).alias("id"))
-    return hits.join(graph.edge_degrees(near, graph.degrees_of(edges, ends)), ["lo", "hi"])
+    return hits.join(graph.edge_degrees(near, g.degrees_at(ends)), ["lo", "hi"])
 
 
 def local_entity_rows(g):
@@ -45,13 +64,19 @@ def edge_section(g, rows):
 
 def local_relation_rows(g):
     """Relations of local mode."""
-    return edge_section(g, ranking.related_edges(g.entity_hits(), g.edges()))
+    return edge_section(g, ranking.related_edges(g.edges_touching(g.entity_hits()), g.degrees_at))
+
+
+def _with_content(g, found):
+    """Chunks ``found(chunk_id)`` with their text."""
+    ids = found.select(F.col("chunk_id").alias("id"))
+    return found.join(g.chunks_at(ids).withColumnRenamed("id", "chunk_id"), "chunk_id")
 
 
 def entity_chunk_rows(g):
     """Chunks that hit entities cite, with text (R2)."""
-    found = ranking.chunks_of_entities(g.entity_hits(), g.nodes(), g.edges())
-    return found.join(g.chunks().withColumnRenamed("id", "chunk_id"), "chunk_id")
+    hits = g.entity_hits()
+    return _with_content(g, ranking.chunks_of_entities(hits, g.nodes_at, g.edges_touching(hits)))
 
 
 def local_source_rows(g):
@@ -62,7 +87,8 @@ def local_source_rows(g):
 
 def edge_chunk_rows(g):
     """Chunks that hit edges cite, with text."""
-    return ranking.chunks_of_edges(g.edge_hits(), g.edges()).join(g.chunks().withColumnRenamed("id", "chunk_id"), "chunk_id")
+    hits = g.edge_hits()
+    return _with_content(g, ranking.chunks_of_edges(hits, g.edges_at(hits)))
 
 
 def global_relation_rows(g):
@@ -73,8 +99,8 @@ def global_relation_rows(g):
 def global_entity_rows(g):
     """Entities of global mode, in the order edges name them."""
     ends = ranking.endpoints(g.edge_hits())
-    nodes = g.nodes().join(ends.select("id"), "id", "left_semi").drop("source_ids")
-    ends = ends.join(nodes, "id").join(graph.degrees_of(g.edges(), ends).withColumnRenamed("degree", "rank"), "id")
+    nodes = g.nodes_at(ends).drop("source_ids")
+    ends = ends.join(nodes, "id").join(g.degrees_at(ends).withColumnRenamed("degree", "rank"), "id")
     kept = ranking.token_budget(ends, "description", g.budget, [F.col("at")], counter=g.counter).withColumnRenamed("id", "entity")
     return ranking.numbered(kept, [F.col("at")]).select("id", "entity", F.col("entity_type").alias("type"), "description", "rank")
 
@@ -87,4 +113,5 @@ def global_source_rows(g):
 
 def naive_rows(g):
     """Hit chunks within the budget (Q1)."""
-    return ranking.token_budget(g.chunk_hits().join(g.chunks(), "id").where("content is not null"), "content", g.budget, [F.col("pos")], counter=g.counter)
+    hits = g.chunk_hits()
+    return ranking.token_budget(hits.join(g.chunks_at(hits), "id").where("content is not null"), "content", g.budget, [F.col("pos")], counter=g.counter)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import strip
-from tessella.operators import graph, ranking, search
+from tessella.operators import graph, ranking, search, sections
 
 TOP_K, THRESHOLD, BUDGET = 20, 0.1, 60
 
@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Graph:
+class Graph(sections.Lookups):
     """The stand-in tables over one folder; each is built when asked for."""
 
     budget = BUDGET

@@ -77,7 +77,7 @@ _RELATED = "(SELECT * FROM ranked WHERE lo IN (SELECT id FROM eh) OR hi IN (SELE
 
 @query(PRELUDE + f"SELECT lo, hi, rank, weight FROM {_RELATED} x")
 def related_edges(g):
-    return ranking.related_edges(g.entity_hits(), g.edges()).select("lo", "hi", "rank", "weight")
+    return ranking.related_edges(g.edges_touching(g.entity_hits()), g.degrees_at).select("lo", "hi", "rank", "weight")
 
 
 _EDGE_COLUMNS = "lo AS source, hi AS target, description, keywords, weight, rank"

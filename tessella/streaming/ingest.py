@@ -56,7 +56,7 @@ def index(stream: DataFrame, engine: GraphRetrieval, checkpoint: str, once: bool
     def write(batch: DataFrame, epoch: int) -> None:
         engine.insert(batch)
         if epoch:
-            engine.retry()
+            engine.retry(due_only=True)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

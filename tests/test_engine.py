@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella import hooks
 from tessella.api import GraphRetrieval, QueryParam
+from tessella.functions.limits import Limits
 from tessella.operators import chunking
 from tessella.sources import files, sinks
 from tessella.streaming import ingest
@@ -80,7 +81,7 @@ def model():
 
 
 def test_engine(spark, tmp_path):
-    engine = GraphRetrieval(spark, str(tmp_path), hooks.hashed_embedding, model(), 8, 2)
+    engine = GraphRetrieval(spark, str(tmp_path), hooks.hashed_embedding, model(), 8, 2, buckets=4)
     docs = spark.createDataFrame([("Anna lives in Rome",), ("Anna likes tea",), ("Anna lives in Rome",)], "text string")
     engine.insert(docs)
     engine.insert(docs)
@@ -141,7 +142,7 @@ def counted(folder):
 def test_failed_documents_are_kept_apart_and_retried(spark, tmp_path):
     (tmp_path / "bad.txt").write_text("tea")
     complete, embed, calls = counted(str(tmp_path))
-    engine = GraphRetrieval(spark, str(tmp_path / "store"), embed, complete, 8, 2)
+    engine = GraphRetrieval(spark, str(tmp_path / "store"), embed, complete, 8, 2, limits=Limits(retries=0), buckets=4)
     engine.insert(spark.createDataFrame([("Anna lives in Rome",), ("Anna likes tea",)], "text string"))
     states = {r.status: r.error for r in engine.store.read("doc_status").collect()}
     assert states == {"processed": None, "failed": "no answer"}
@@ -159,6 +160,76 @@ def test_failed_documents_are_kept_apart_and_retried(spark, tmp_path):
     assert calls("embed") == [] == calls("complete")
 
 
+def test_equal_chunks_are_asked_for_once(spark, tmp_path):
+    (tmp_path / "bad.txt").write_text("none-such")
+    complete, embed, calls = counted(str(tmp_path))
+    engine = GraphRetrieval(spark, str(tmp_path / "store"), embed, complete, 8, 2, buckets=4)
+    docs = spark.createDataFrame([("Anna lives in Rome",), ("Anna likes tea",)], "text string")
+    engine.insert(docs)
+    first = [p for p in calls("complete") if "Text: " in p]
+    assert len(first) == 2 and engine.counts == {"documents": 2, "failed": 0, "asked": 2, "errors": 0, "cached": 0}
+    for doc in engine.store.read("full_docs").collect():
+        engine.delete_document(doc.id)
+    assert all(engine.store.read(t).count() == 0 for t in ("nodes", "edges", "adjacency", "degrees", "node_vectors", "edge_vectors", "node_mentions", "edge_mentions", "text_chunks", "doc_status"))
+    engine.insert(docs)
+    assert calls("complete") == [] and engine.counts == {"documents": 2, "failed": 0, "asked": 0, "errors": 0, "cached": 2}
+    assert engine.store.read("edges").first().weight == 4.0
+
+
+def test_an_insert_writes_the_buckets_that_it_touches(spark, tmp_path):
+    import os
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet") and f"{os.sep}_" not in d.removeprefix(str(tmp_path))}
+
+    def complete(prompt, history=None):
+        names = prompt.rpartition("Text: ")[2].split() if "Text: " in prompt else []
+        return "##".join(f'("relationship"<|>{a}<|>{b}<|>d<|>k<|>1)' for a, b in zip(names, names[1:], strict=False))
+
+    engine = GraphRetrieval(spark, str(tmp_path), hooks.hashed_embedding, complete, 40, 0, buckets=16)
+    engine.insert(spark.createDataFrame([(" ".join(f"n{k * 7 + i}" for i in range(8)),) for k in range(40)], "text string"))
+    for name in engine.store.keyed:
+        engine.store.compact(name)
+    edges, degrees = engine.store.read("edges"), {r.id: r.degree for r in engine.store.read("degrees").collect()}
+    assert edges.count() == 280 and len(engine.store.keyed) > 9
+    before = files()
+    engine.insert(spark.createDataFrame([("n3 n4",)], "text string"))
+    new = files() - before
+    count = lambda name: sum(f"/{name}/" in f for f in new)
+    assert count("nodes") <= 2 and count("edges") == 1 and count("edge_mentions") == 1 and count("adjacency") == 0 and count("degrees") == 0 and len(new) <= 12
+    assert engine.store.lookup("edges", spark.createDataFrame([("N3", "N4")], "lo string, hi string")).first().weight == 2.0
+    engine.insert(spark.createDataFrame([("n3 n200",)], "text string"))
+    now = {r.id: r.degree for r in engine.store.read("degrees").collect()}
+    assert now["N3"] == degrees["N3"] + 1 and now["N200"] == degrees["N200"] + 1 and {k: v for k, v in now.items() if k not in ("N3", "N200")} == {k: v for k, v in degrees.items() if k not in ("N3", "N200")}
+    from tessella.operators import graph
+
+    assert now == {r.id: r.degree for r in graph.degrees(engine.store.read("edges")).collect()}
+    near = engine.stored_edges(spark.createDataFrame([("N3",)], "id string"))
+    assert {(r.lo, r.hi) for r in near.collect()} == {(r.lo, r.hi) for r in engine.store.read("edges").where("lo = 'N3' or hi = 'N3'").collect()}
+    assert {f.split("bucket=")[1].split("/")[0] for f in near.inputFiles()} <= {str(r.b) for r in near.select(engine.store._bucket(engine.store.keyed["edges"]).alias("b")).collect()}
+
+
+def test_failed_documents_wait_longer_each_time(spark, tmp_path):
+    (tmp_path / "bad.txt").write_text("tea")
+    complete, embed, calls = counted(str(tmp_path))
+    engine = GraphRetrieval(spark, str(tmp_path / "store"), embed, complete, 8, 2, limits=Limits(retries=0), pause=1000, attempts=3, buckets=4)
+    engine.insert(spark.createDataFrame([("Anna likes tea",)], "text string"))
+    asked = len(calls("complete"))
+    one = engine.store.read("doc_status").first()
+    engine.retry(due_only=True)
+    assert asked and calls("complete") == [] and one.attempts == 1
+    engine.retry()
+    two = engine.store.read("doc_status").first()
+    assert two.attempts == 2 and two.due - one.due > 900 and calls("complete")
+    engine.pause = -1e6  # as if the pauses were over
+    engine.retry()
+    engine.retry(due_only=True)
+    assert engine.store.read("doc_status").first().attempts == 3  # none are left
+    (tmp_path / "bad.txt").write_text("none-such")
+    engine.insert(spark.createDataFrame([("Anna likes tea",)], "text string"))
+    assert tuple(engine.store.read("doc_status").select("status", "attempts").first()) == ("processed", 0)
+
+
 def test_custom_graphs_are_idempotent(spark, tmp_path):
     engine = GraphRetrieval(spark, str(tmp_path), hooks.hashed_embedding, model())
     entities = spark.createDataFrame([(0, "A", "T", "d", "s")], "pos int, entity_name string, entity_type string, description string, source_id string")
