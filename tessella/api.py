@@ -173,7 +173,7 @@ class GraphRetrieval:
 
     def _grow(self, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, since: dict, put: dict[str, DataFrame]) -> None:
         """Add mentions and chunks; only names and pairs that they touch are read and merged, and only changed texts embedded."""
-        nodes, edges, chunks = graph.checkpoint(nodes), graph.checkpoint(_with_ends(edges)), graph.checkpoint(chunks)
+        nodes, edges, chunks = graph.checkpoints(nodes, _with_ends(edges), chunks)
         vectors = hooks.embedded(chunks, self.embed, limits=self.limits).join(chunks.select("id", _digest().alias("hash")), "id").select("id", "hash", "vector")
         changed, gone = self._changed(nodes, edges, None, None)
         self.store.commit(put={**put, **changed, "text_chunks": chunks, "node_mentions": nodes, "edge_mentions": edges, "chunk_vectors": vectors}, remove=gone, since=since)
@@ -196,34 +196,45 @@ class GraphRetrieval:
         All reads are lookups by the touched names and pairs: their mentions, edges, degrees and
         vectors. Degrees are kept by what they gain and lose, so a hub's edges are not counted again.
         """
-        lookup = self.store.lookup
-        pairs = graph.checkpoint((edges if gone_edges is None else gone_edges).select("lo", "hi").distinct())
+        lookup, names_of = self.store.lookup, schemas.names
+        pairs = (edges if gone_edges is None else gone_edges).select("lo", "hi").distinct()
         named = (nodes if gone_nodes is None else gone_nodes).select(F.col("name").alias("id"))
-        names = graph.checkpoint(named.unionByName(pairs.select(F.explode(F.array("lo", "hi")).alias("id"))).distinct())
+        pairs, names = graph.checkpoints(pairs, named.unionByName(pairs.select(F.explode(F.array("lo", "hi")).alias("id"))).distinct())
+        short = lambda rows: hooks.summarised(rows, self.complete, self.summary_tokens, counter=self.tokenizer.count, limits=self.limits)
 
-        merged = graph.relation_ids(graph.merge_edges(self._after("edge_mentions", pairs, edges, gone_edges))).select("id", *schemas.names(schemas.EDGES))
-        new_edges = graph.checkpoint(hooks.summarised(merged, self.complete, self.summary_tokens, counter=self.tokenizer.count, limits=self.limits).drop("id"))
-        were = graph.checkpoint(lookup("edges", pairs).select("lo", "hi"))
-        lost = graph.checkpoint(were.join(new_edges, ["lo", "hi"], "left_anti"))
-        added = graph.checkpoint(new_edges.select("lo", "hi").join(were, ["lo", "hi"], "left_anti"))
-        ends = F.explode(F.array_distinct(F.array("lo", "hi"))).alias("id")
+        def edges_now() -> DataFrame:
+            merged = graph.relation_ids(graph.merge_edges(self._after("edge_mentions", pairs, edges, gone_edges))).select("id", *names_of(schemas.EDGES))
+            return graph.checkpoint(short(merged).drop("id"))
 
-        merged = graph.merge_nodes(self._after("node_mentions", names.withColumnRenamed("id", "name"), nodes, gone_nodes)).select(*schemas.names(schemas.NODES))
-        merged = graph.checkpoint(hooks.summarised(merged, self.complete, self.summary_tokens, counter=self.tokenizer.count, limits=self.limits))
-        bare = graph.checkpoint(names.join(merged.select("id"), "id", "left_anti"))
-        old = self.stored_edges(bare).join(pairs, ["lo", "hi"], "left_anti").select(*schemas.names(schemas.EDGES))
-        lacking = graph.placeholders(old.unionByName(graph.touching(new_edges, bare)), merged).join(bare, "id", "left_semi").select(*schemas.names(schemas.NODES))
-        new_nodes = graph.checkpoint(merged.unionByName(lacking))
-        dead = graph.checkpoint(names.join(new_nodes.select("id"), "id", "left_anti"))
+        def nodes_now() -> DataFrame:
+            merged = graph.merge_nodes(self._after("node_mentions", names.withColumnRenamed("id", "name"), nodes, gone_nodes))
+            return graph.checkpoint(short(merged.select(*names_of(schemas.NODES))))
 
+        new_edges, merged, were = graph.together(edges_now, nodes_now, lambda: graph.checkpoint(lookup("edges", pairs).select("lo", "hi")))
+        lost, added, bare = graph.checkpoints(
+            were.join(new_edges, ["lo", "hi"], "left_anti"), new_edges.select("lo", "hi").join(were, ["lo", "hi"], "left_anti"), names.join(merged.select("id"), "id", "left_anti")
+        )
+        ends = F.explode(F.array_distinct(F.array("lo", "hi"))).alias("id")
         each = lambda df, by: df.select(F.explode(F.array("lo", "hi")).alias("id"), F.lit(by).alias("by"))
         moved = each(added, 1).unionByName(each(lost, -1)).groupBy("id").agg(F.sum("by").alias("by"))
-        degrees = graph.checkpoint(moved.join(lookup("degrees", moved.select("id")), "id", "left").select("id", (F.coalesce("degree", F.lit(0)) + F.col("by")).alias("degree")))
-        node_text = new_nodes.select("id", F.concat("id", "description").alias("content"))
+
+        def degrees_now() -> DataFrame:
+            return graph.checkpoint(moved.join(lookup("degrees", moved.select("id")), "id", "left").select("id", (F.coalesce("degree", F.lit(0)) + F.col("by")).alias("degree")))
+
+        def all_nodes() -> DataFrame:
+            if bare.isEmpty():
+                return merged
+            old = self.stored_edges(bare).join(pairs, ["lo", "hi"], "left_anti").select(*names_of(schemas.EDGES))
+            lacking = graph.placeholders(old.unionByName(graph.touching(new_edges, bare)), merged).join(bare, "id", "left_semi")
+            return graph.checkpoint(merged.unionByName(lacking.select(*names_of(schemas.NODES))))
+
         edge_text = graph.relation_ids(new_edges).select("id", "lo", "hi", F.concat("keywords", "lo", "hi", "description").alias("content"))
+        degrees, new_nodes, edge_vectors = graph.together(degrees_now, all_nodes, lambda: self._embedded(edge_text, "edge_vectors", ["lo", "hi"]))
+        node_text = new_nodes.select("id", F.concat("id", "description").alias("content"))
+        dead, node_vectors = graph.together(lambda: graph.checkpoint(names.join(new_nodes.select("id"), "id", "left_anti")), lambda: self._embedded(node_text, "node_vectors", ["id"]))
         put = {
             "nodes": new_nodes, "edges": new_edges, "adjacency": added.select(ends, "lo", "hi"), "degrees": degrees.where("degree > 0"),
-            "node_vectors": self._embedded(node_text, "node_vectors", ["id"]), "edge_vectors": self._embedded(edge_text, "edge_vectors", ["lo", "hi"]),
+            "node_vectors": node_vectors, "edge_vectors": edge_vectors,
         }
         gone = {"nodes": dead, "node_vectors": dead, "edges": lost, "edge_vectors": lost, "adjacency": lost.select(ends, "lo", "hi"), "degrees": degrees.where("degree <= 0")}
         return put, gone

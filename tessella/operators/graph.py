@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import SEP, hash_id
 
+T = TypeVar("T")
+
 
 def joined_set(column: str, separator: str = SEP) -> Column:
     """Distinct values in order, joined."""
@@ -125,6 +130,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(*makers: Callable[[], T]) -> list[T]:
+    """Results of functions that each run Spark jobs of their own, side by side: small jobs leave most of a cluster idle."""
+    with ThreadPoolExecutor(len(makers)) as pool:
+        return [f.result() for f in [pool.submit(m) for m in makers]]
+
+
+def checkpoints(*frames: DataFrame) -> list[DataFrame]:
+    """Checkpoints of frames that do not depend on each other."""
+    return together(*[lambda df=df: checkpoint(df) for df in frames])
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False) -> DataFrame:
     """Least number of steps from ``seeds(id)`` to every node within ``depth``.
 

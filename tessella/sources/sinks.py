@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,6 +61,10 @@ def load_external(df: DataFrame, connect: Callable, batch: int = 500) -> None:
     df.foreachPartition(send)
 
 
+#: Tables that a commit writes at a time.
+WRITERS = 8
+
+
 @dataclass(frozen=True)
 class Keyed:
     """A table whose rows are put, removed and looked up by a key.
@@ -139,23 +144,32 @@ class TableStore:
         ``put`` and ``remove`` are rows and keys of keyed tables; a key in both is put.
         """
         seen = self.snapshot() if since is None else since
-        changes: dict[str, Callable] = {}
-        for name, df in (replace or {}).items():
-            changes[name] = self._replacing(name, df)
-        for name, df in (append or {}).items():
-            version = uuid.uuid4().hex
-            df.write.parquet(f"{self.folder}/{name}/{version}")
-            changes[name] = lambda was, version=version: [*(was or []), version]
-        for name in {**(put or {}), **(remove or {})}:
-            version, touched = self._write(name, (put or {}).get(name), (remove or {}).get(name))
-            if touched:
-                changes[name] = lambda was, change=[version, touched]: {"base": (was or {}).get("base", {}), "changes": [*(was or {}).get("changes", []), change]}
-        self._publish(changes, seen)
+        keyed = list({**(put or {}), **(remove or {})})
+        replacing = [lambda n=n, df=df: self._replacing(n, df) for n, df in (replace or {}).items()]
+        appending = [lambda n=n, df=df: self._appending(n, df) for n, df in (append or {}).items()]
+        changing = [lambda n=n: self._changing(n, (put or {}).get(n), (remove or {}).get(n)) for n in keyed]
+        names, makers = [*(replace or {}), *(append or {}), *keyed], [*replacing, *appending, *changing]
+        with ThreadPoolExecutor(max(1, min(WRITERS, len(makers)))) as pool:
+            made = [f.result() for f in [pool.submit(m) for m in makers]]
+        changes = {n: change for n, change in zip(names, made, strict=True) if change}
+        if changes:
+            self._publish(changes, seen)
         _, state = self._state()
         for name in changes:
             if name in self.keyed and len(state[name]["changes"]) > self.most:
                 self.compact(name)
 
+    def _appending(self, name: str, df: DataFrame) -> Callable:
+        version = uuid.uuid4().hex
+        df.write.parquet(f"{self.folder}/{name}/{version}")
+        return lambda was: [*(was or []), version]
+
+    def _changing(self, name: str, rows: DataFrame | None, gone: DataFrame | None) -> Callable | None:
+        version, touched = self._write(name, rows, gone)
+        if not touched:
+            return None
+        return lambda was: {"base": (was or {}).get("base", {}), "changes": [*(was or {}).get("changes", []), [version, touched]]}
+
     def _replacing(self, name: str, df: DataFrame) -> Callable:
         if name in self.keyed:
             version, touched = self._write(name, df, None)
