@@ -112,17 +112,22 @@ def find_spans(docs: DataFrame) -> DataFrame:
     none = F.lit(None).cast("array<string>")
     df = df.withColumns({f"__m_{k}": F.when(PROBES[k](F.col("__t")), F.regexp_extract_all("__t", F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS})
     found = {k: F.size(f"__m_{k}") > 0 for k in KINDS}
-    df = df.withColumns({f"__g_{k}": F.when(found[k], F.split("__t", PATTERNS[k], -1)).otherwise(none) for k in KINDS})
     df = df.withColumns({f"__a_{k}": F.when(found[k], _ahead(k)) for k in KINDS})
     df = df.withColumns({f"__s_{k}": F.when(found[k], F.zip_with(running_starts(F.col(f"__a_{k}")), F.col(f"__a_{k}"), lambda s, a: s + a)) for k in KINDS})
+    some = F.coalesce(*[F.when(found[k], True) for k in KINDS])
+    df = df.withColumn("__b", F.when(some, F.regexp_extract_all("__t", F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0))))
     made = [F.when(found[k], _good(k, rank)).otherwise(F.array().cast(_TYPE)) for rank, k in enumerate(KINDS)]
     return df.withColumn("spans", F.array_sort(F.flatten(F.array(*made)))).select(*[F.col(f"`{c}`") for c in kept], "spans")
 
 
 def _ahead(kind: str) -> Column:
-    """What each match's start adds to that of the match before: the gap between and the match before."""
-    gaps, matches = F.col(f"__g_{kind}"), F.col(f"__m_{kind}")
-    return F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(matches, i - 1))).otherwise(0))
+    """What each match's start adds to that of the match before: the gap between and the match before.
+
+    The gaps are an argument of ``zip_with``, so the text is split once and not for each match.
+    """
+    gaps, matches = F.split("__t", PATTERNS[kind], -1), F.col(f"__m_{kind}")
+    before = F.concat(F.array(F.lit(0)), F.transform(matches, lambda m: F.length(m)))
+    return F.slice(F.zip_with(gaps, before, lambda gap, n: F.length(gap) + n), F.lit(1), F.size(matches))
 
 
 def _good(kind: str, rank: int) -> Column:
@@ -132,13 +137,24 @@ def _good(kind: str, rank: int) -> Column:
     return F.filter(good, lambda x: x["score"] >= LEAST) if rank >= 4 else good
 
 
+#: Characters of the blocks that contexts are taken from, so that a span needs no walk through the whole text.
+_BLOCK = 512
+
+
+def _between(start: Column, n: Column) -> Column:
+    """At most ``_BLOCK`` characters of the text from a place on, out of two blocks."""
+    k = F.floor(start / _BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(F.col("__b"), k), F.lit("")), F.coalesce(F.get(F.col("__b"), k + 1), F.lit("")))
+    return F.substring(two, start - k * _BLOCK + 1, n)
+
+
 _TYPE = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
 
 def _span(kind: str, rank: int, start: Column, match: Column) -> Column:
     end = start + F.length(match)
     from_ = F.greatest(start - NEAR, F.lit(0))
-    around = F.concat(F.substring(F.col("__t"), from_ + 1, start - from_), F.lit(" "), F.substring(F.col("__t"), end + 1, F.lit(NEAR)))
+    around = F.concat(_between(from_, start - from_), F.lit(" "), _between(end, F.lit(NEAR)))
     score = F.least(F.lit(SCORES[kind]) + F.when(F.lower(around).rlike(rf"(?<!\p{{L}})(?:{CONTEXT[kind]})(?!\p{{L}})"), CONTEXT_ADDS).otherwise(0.0), F.lit(1.0))
     return F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), score.cast("double").alias("score"))
 
