@@ -12,7 +12,15 @@ from tessella.operators import ranking
 
 def ingest(docs: DataFrame) -> DataFrame:
     """Distinct stripped documents with content id, summary and length (O1)."""
-    bare = docs.where("text is not null").select(strip(F.col("text")).alias("content")).distinct()
+    return _described(docs.where("text is not null").select(strip(F.col("text")).alias("content")).distinct())
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """The same of every row, repeated ones too, also of a stream."""
+    return _described(docs.where("text is not null").select(strip(F.col("text")).alias("content")))
+
+
+def _described(bare: DataFrame) -> DataFrame:
     return bare.select(hash_id("doc-", F.col("content")).alias("id"), "content", summary(F.col("content")).alias("content_summary"), F.length("content").alias("content_length"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions.text import SEP, token_count
-from tessella.operators import graph
+from tessella.operators import communities, graph
 from tessella.plans.bindings import PRELUDE, sql_tokens
 from tessella.plans.catalog import query
 
@@ -215,3 +215,9 @@ def custom_kg_edges(g):
 
     _, relations, chunks = _custom(g)
     return edges(relations, chunks)
+
+
+@query()
+def louvain_communities(g):
+    """Communities of the whole graph by modularity; a brute-force Louvain is the test."""
+    return communities.louvain(g.edges())

@@ -63,6 +63,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.status: r.n for r in ingest.progress(spark, str(tmp_path / "out")).collect()}["processed"] == 3
 
 
+def test_a_restarted_stream_reads_no_old_ids(spark, tmp_path):
+    def more(k, texts):
+        spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = ingest.document_stream(spark, str(tmp_path / "in"), "text string", 1)
+        ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "check"), 2, 1, once=True).awaitTermination()
+
+    more(0, ["one two", " three ", "one two", None])
+    run()
+    before = spark.conf.get(ingest.STATE[0], None)
+    first = {r.id for r in spark.read.parquet(str(tmp_path / "out/documents")).collect()}
+    (tmp_path / "out/documents").rename(tmp_path / "moved")  # what was written is not there to be read again
+    more(1, ["three", "four five six", "one two"])
+    run()
+    second = [r.id for r in spark.read.parquet(str(tmp_path / "out/documents")).collect()]
+    assert len(first) == 2 and len(second) == 1
+    assert first | set(second) == {r.id for r in chunking.ingest(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    assert spark.conf.get(ingest.STATE[0], None) == before
+    assert any(p.suffix == ".zip" or p.suffix == ".changelog" for p in (tmp_path / "check/state").rglob("*"))  # of the state store on disk
+
+
 def model():
     """A model that knows two names; a closure, as workers cannot import test modules."""
     more, ask = hooks.MORE, hooks.ASK
