@@ -63,6 +63,60 @@ def by_characters(docs: DataFrame, size: int = 300, overlap: int = 50, key: str
     return docs.where("text <> ''").select(key, F.posexplode(starts).alias("chunk_order_index", "at"), "text").select(key, "chunk_order_index", F.expr(f"substring(text, at + 1, {size})").alias("content"))
 
 
+def by_separated_characters(docs: DataFrame, size: int = 300, overlap: int = 50, separator: str = "\n\n", key: str = "doc_id") -> DataFrame:
+    """Pieces between separators put together to chunks of at most ``size`` characters, with as many of the last pieces again as ``overlap`` holds.
+
+    A piece longer than ``size`` is a chunk of its own, blank chunks are left out, and chunks are
+    stripped. The fold goes over blocks of pieces, each of which adds its own list of chunks, so time
+    follows the text. Null and empty texts have none.
+    """
+    n_sep = len(separator)
+
+    def spans(lengths: Column) -> Column:
+        """First piece and the one after the last of each chunk."""
+        n = F.size(lengths)
+
+        def kept(from_: Column, to: Column, room: Column) -> Column:
+            """How many of the last pieces before ``to`` fit into ``room`` characters."""
+            grow = lambda acc, x: F.when(acc["on"] & (acc["total"] + x + n_sep <= room + n_sep), F.struct((acc["total"] + x + n_sep).alias("total"), (acc["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(acc["total"].alias("total"), acc["n"].alias("n"), F.lit(False).alias("on")))
+            start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+            return F.aggregate(F.reverse(F.slice(lengths, from_ + 1, to - from_)), start, grow, lambda acc: F.struct(F.greatest(acc["total"] - n_sep, F.lit(0)).alias("total"), acc["n"].alias("n")))
+
+        def step(acc: Column, i: Column) -> Column:
+            length = F.get(lengths, i)
+            full = (acc["from"] < i) & (acc["total"] + length + n_sep > size)
+
+            def moved(k: Column) -> Column:
+                total = F.when(k["n"] > 0, k["total"] + n_sep).otherwise(0) + length
+                return F.struct((i - k["n"]).alias("from"), total.alias("total"), F.concat(acc["out"], F.array(F.struct(acc["from"].alias("from"), i.alias("to")))).alias("out"))
+
+            cut = F.get(F.transform(F.array(kept(acc["from"], i, F.least(F.lit(overlap), F.lit(size) - length - n_sep))), moved), F.lit(0))
+            grown = F.struct(acc["from"].alias("from"), (acc["total"] + F.when(acc["from"] < i, n_sep).otherwise(0) + length).alias("total"), acc["out"].alias("out"))
+            return F.when(full, cut).otherwise(grown)
+
+        none = F.array().cast("array<struct<from:int,to:int>>")
+
+        def block(acc: Column, b: Column) -> Column:
+            own = F.aggregate(F.sequence(b * _BLOCK, F.least((b + 1) * _BLOCK, n) - 1), F.struct(acc["from"].alias("from"), acc["total"].alias("total"), none.alias("out")), step)
+            return F.get(F.transform(F.array(own), lambda x: F.struct(x["from"].alias("from"), x["total"].alias("total"), F.concat(acc["out"], F.array(x["out"])).alias("out"))), F.lit(0))
+
+        blocks = F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int"))
+        start = F.struct(F.lit(0).alias("from"), F.lit(0).alias("total"), F.array().cast("array<array<struct<from:int,to:int>>>").alias("out"))
+        return F.when(n > 0, F.aggregate(blocks, start, block, lambda acc: F.concat(F.flatten(acc["out"]), F.array(F.struct(acc["from"].alias("from"), n.alias("to")))))).otherwise(none)
+
+    def chunks(parts: Column) -> Column:
+        made = F.flatten(F.transform(F.array(F.transform(parts, lambda x: F.length(x))), spans))
+        return F.filter(F.transform(made, lambda x: strip(F.array_join(F.slice(parts, x["from"] + 1, x["to"] - x["from"]), separator))), lambda c: c != "")
+
+    parts = F.filter(pieces(F.col("text"), separator), lambda x: x != "")
+    out = docs.where("text is not null").select(key, F.posexplode_outer(F.flatten(F.transform(F.array(parts), chunks))).alias("chunk_order_index", "content"))
+    return out.where("content is not null")
+
+
+#: Pieces that the fold goes over before it adds up what it found.
+_BLOCK = 256
+
+
 def half_and_half(words: Column, limit: int = 2000, skip: int = 1000) -> Column:
     """``limit / 2`` tokens after the first ``skip``, and those from ``skip + limit / 2`` before the end up to ``skip``."""
     half, n = limit // 2, F.size(words)

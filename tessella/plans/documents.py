@@ -48,6 +48,12 @@ def chunk_chars(g):
     return chunking.by_characters(g.documents())
 
 
+@query()
+def chunk_separated(g):
+    """Lines of every document put together to chunks of 300 characters; a plain version is the test."""
+    return chunking.by_separated_characters(g.documents(), separator="\n")
+
+
 @query(f"WITH e AS (SELECT DISTINCT doc_id, {sql_strip('unnest(string_split(text, chr(10)))')} AS content, false AS x FROM documents) SELECT doc_id, 'chunk-' || md5(content) AS id, content FROM (SELECT doc_id, {sql_strip('piece')} AS content FROM ({_PIECES})) WHERE md5(content) NOT IN (SELECT md5({sql_strip('piece')}) FROM ({_PIECES}) WHERE doc_id % 5 = 0)")
 def custom_chunks(g):
     given = g.documents().select("doc_id", F.split("text", "\n", -1).alias("chunks"))
@@ -83,11 +89,11 @@ def unique_contexts(g):
     return first_of(whole.unionByName(lines.where("value = '{broken'"))).select("context", F.col("pos").alias("first"))
 
 
-@query("SELECT item_id AS doc, item_id % 3 + 1 AS number, text AS question FROM (SELECT item_id, split_part(text, chr(10), 1) AS text FROM benchmark)")
+@query("SELECT item_id AS doc, item_id % 3 + 1 AS number, text AS question FROM (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark)")
 def extract_questions(g):
     from tessella.sources.files import questions
 
-    text = F.concat(F.lit("intro\n- **Question "), (F.col("item_id") % 3 + 1).cast("string"), F.lit("**: "), F.split("text", "\n", -1)[0], F.lit("\nend"))
+    text = F.concat(F.lit("intro\n- **Question "), (F.col("item_id") % 3 + 1).cast("string"), F.lit("**: "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\nend"))
     return questions(g.table("benchmark").select(F.col("item_id").alias("doc"), text.alias("text")))
 
 

@@ -79,3 +79,43 @@ def _long_enough(rows: list[dict]) -> list[float]:
 @query()
 def judge_scores(g):
     return evaluation.judged(g.table("benchmark").select(F.col("item_id").alias("id"), "text"), _long_enough, ["text"])
+
+
+# deterministic verdicts: orders are responses, their lines claims, contexts follow from parts and suppliers
+
+_BY_CONTEXT = "l_orderkey AS id, l_linenumber AS claim, CAST(l_partkey % 4 AS INTEGER) AS context, l_quantity > 25 AS supported"
+
+
+def _verdicts(g, *columns):
+    return g.table("lineitem").selectExpr(*columns)
+
+
+@query(f"SELECT id, avg(CASE WHEN s THEN 1.0 ELSE 0.0 END) AS score FROM (SELECT id, claim, bool_or(supported) AS s FROM (SELECT {_BY_CONTEXT} FROM lineitem) GROUP BY id, claim) GROUP BY id")
+def faithfulness(g):
+    return evaluation.supported_share(_verdicts(g, *_BY_CONTEXT.split(", ")))
+
+
+@query("""WITH o AS (SELECT l_orderkey AS id, l_linenumber AS context, bool_or(l_discount > 0.04) AS useful FROM lineitem GROUP BY 1, 2), v AS (SELECT id, useful, row_number() OVER (PARTITION BY id ORDER BY context) AS place FROM o),
+    p AS (SELECT id, place, useful, sum(CASE WHEN useful THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY place) AS hits FROM v)
+    SELECT id, round(coalesce(sum(hits / place) FILTER (WHERE useful) / nullif(count(*) FILTER (WHERE useful), 0), 0.0), 6) AS score FROM p GROUP BY id""")
+def context_precision(g):
+    found = _verdicts(g, "l_orderkey AS id", "l_linenumber AS context", "l_discount > 0.04 AS useful")
+    return evaluation.context_precision(found).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH a AS (SELECT {_BY_CONTEXT} FROM lineitem), r AS (SELECT DISTINCT l_orderkey AS id, CAST(l_suppkey % 4 AS INTEGER) AS context FROM lineitem WHERE l_discount > 0.05),
+    m AS (SELECT DISTINCT a.id, a.claim FROM a JOIN r ON a.id = r.id AND a.context = r.context WHERE a.supported)
+    k AS (SELECT l_orderkey AS id, l_linenumber AS claim, bool_or(l_tax > 0.04) AS good FROM lineitem GROUP BY 1, 2)
+    SELECT k.id, round(avg(CASE WHEN m.claim IS NOT NULL AND NOT good THEN 1.0 ELSE 0.0 END), 6) AS score FROM k LEFT JOIN m ON k.id = m.id AND k.claim = m.claim GROUP BY k.id""")
+def noise_sensitivity(g):
+    reference = _verdicts(g, "l_orderkey AS id", "l_linenumber AS claim", "CAST(l_suppkey % 4 AS INTEGER) AS context", "l_discount > 0.05 AS supported")
+    known = _verdicts(g, "l_orderkey AS id", "l_linenumber AS claim", "l_tax > 0.04 AS supported")
+    return evaluation.noise_sensitivity(_verdicts(g, *_BY_CONTEXT.split(", ")), reference, known).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id AS id, list_cosine_similarity(a.e, b.e) AS s, b.vec_id % 3 = 0 AS none FROM v a JOIN v b ON b.vec_id IN (a.vec_id + 1, a.vec_id + 3))
+    SELECT id, round(CASE WHEN bool_and(none) THEN 0.0 ELSE avg(s) END, 6) AS score FROM p GROUP BY id""")
+def response_relevancy(g):
+    each = g.vectors().select("id", "vector", F.explode(F.array(F.lit(1), F.lit(3))).alias("away"))
+    near = each.select((F.col("id") - F.col("away")).alias("id"), "vector", (F.col("id") % 3 == 0).alias("noncommittal"))
+    return evaluation.response_relevancy(g.vectors().select("id", "vector"), near).withColumn("score", F.round("score", 6))
