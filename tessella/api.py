@@ -5,13 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import hooks, schemas
 from tessella.functions.limits import Limits
-from tessella.functions.text import hash_id
+from tessella.functions.text import csv_row, hash_id
 from tessella.functions.tokenizers import WHITE, Tokenizer
 from tessella.functions.vectors import quantised
 from tessella.operators import cache, chunking, context, custom, extraction, graph, kv, ranking, search, sections
@@ -51,7 +52,7 @@ def _tables() -> dict[str, Keyed]:
         "text_chunks": Keyed(schemas.TEXT_CHUNKS), "answers": Keyed("args_hash string, answer string", ("args_hash",)), "nodes": Keyed(schemas.NODES), "edges": Keyed(schemas.EDGES, ("lo", "hi")),
         "node_mentions": Keyed("name string, entity_type string, description string, chunk_id string, pos long", ("name", "chunk_id"), ("name",)),
         "edge_mentions": Keyed("lo string, hi string, src string, tgt string, weight double, description string, keywords string, chunk_id string, pos long", ("lo", "hi", "chunk_id"), ("lo", "hi")),
-        "adjacency": Keyed("id string, lo string, hi string", ("id", "lo", "hi"), ("id",)), "degrees": Keyed("id string, degree long"), "chunk_vectors": Keyed(f"id string, {_VECTOR}"), "node_vectors": Keyed(f"id string, {_VECTOR}"),
+        "adjacency": Keyed("id string, lo string, hi string", ("id", "lo", "hi"), ("id",)), "degrees": Keyed("id string, degree long"), "chunk_vectors": Keyed(f"id string, created double, {_VECTOR}"), "node_vectors": Keyed(f"id string, {_VECTOR}"),
         "edge_vectors": Keyed(f"id string, lo string, hi string, {_VECTOR}", ("lo", "hi")), "cache": Keyed("mode string, args_hash string, question string, answer string, q array<int>, low double, high double", ("mode", "args_hash"), ("mode",)),
     }
 
@@ -174,7 +175,7 @@ class GraphRetrieval:
     def _grow(self, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, since: dict, put: dict[str, DataFrame]) -> None:
         """Add mentions and chunks; only names and pairs that they touch are read and merged, and only changed texts embedded."""
         nodes, edges, chunks = graph.checkpoints(nodes, _with_ends(edges), chunks)
-        vectors = hooks.embedded(chunks, self.embed, limits=self.limits).join(chunks.select("id", _digest().alias("hash")), "id").select("id", "hash", "vector")
+        vectors = hooks.embedded(chunks, self.embed, limits=self.limits).join(chunks.select("id", _digest().alias("hash")), "id").select("id", F.lit(time.time()).alias("created"), "hash", "vector")
         changed, gone = self._changed(nodes, edges, None, None)
         self.store.commit(put={**put, **changed, "text_chunks": chunks, "node_mentions": nodes, "edge_mentions": edges, "chunk_vectors": vectors}, remove=gone, since=since)
 
@@ -304,14 +305,16 @@ class GraphRetrieval:
         row = self.spark.createDataFrame([(answer,)], "a string").select(extraction.keywords(F.col("a")).alias("k")).first()
         return list(row.k.high), list(row.k.low)
 
-    def _ranked(self, rows: DataFrame, text: Callable[[DataFrame], DataFrame], query: str, param: QueryParam) -> DataFrame:
-        """Rows of a section in the reranker's order, cut where scores fall; as they are without a reranker or a gradient."""
-        if not (self.score and param.gradient):
-            return rows
-        asked = text(rows).withColumns({"query": F.lit(query), "query_id": F.lit(0)})
-        scored = hooks.scored(asked, self.score, "__text").withColumnRenamed("id", "key")
-        kept = ranking.gradient_select(scored, param.least, param.gradient, key="key")
-        return kept.withColumn("id", F.col("rn") - 1).select(*rows.columns)
+    def _ranked(self, rows: DataFrame, query: str, param: QueryParam) -> str:
+        """Paragraphs ``rows(place, text)`` of all sections in the reranker's order, cut where scores fall, numbered from 1 (Q6).
+
+        Quotes and commas at the edges of a paragraph go; one that the reranker gave no score comes last.
+        """
+        asked = graph.checkpoint(rows).withColumns({"query": F.lit(query), "query_id": F.lit(0)})
+        scored = hooks.scored(asked, self.score, "text", limits=self.limits)
+        kept = ranking.gradient_select(scored, param.least, param.gradient, key="place")
+        block = F.concat(F.col("rn").cast("string"), F.lit(":\n"), F.btrim(F.col("text"), F.lit('",')), F.lit("\n\n"))
+        return context.joined_chunks(kept.select("rn", block.alias("content")), "rn", "").first().context or ""
 
     def context(self, text: str, param: QueryParam = QueryParam()) -> str | None:
         """Context of a query, or None where nothing is found."""
@@ -329,19 +332,27 @@ class GraphRetrieval:
         local = (sections.local_entity_rows, sections.local_relation_rows, sections.local_source_rows)
         overall = (sections.global_entity_rows, sections.global_relation_rows, sections.global_source_rows)
         columns = (["entity", "type", "description", "rank"], ["source", "target", "description", "keywords", "weight", "rank"], ["content"])
-        parts = []
-        for title, mine, theirs, names in zip(("Entities", "Relationships", "Sources"), local, overall, columns, strict=True):
-            rows = mine(g) if mode == "local" else theirs(g) if mode == "global" else context.combine(theirs(g), mine(g), names)
-            if param.mode == "mix":
-                rows = self._ranked(rows, lambda r, names=names: r.withColumn("__text", F.concat_ws(" ", *[F.col(c).cast("string") for c in names])), text, param)
-            parts.append(f"-----{title}-----\n" + context.csv_section(rows, ["id", *names]).first().csv)
+        titles = ("Entities", "Relationships", "Sources")
+        found = []
+        for mine, theirs, names in zip(local, overall, columns, strict=True):
+            found.append(mine(g) if mode == "local" else theirs(g) if mode == "global" else context.combine(theirs(g), mine(g), names))
+        joint = param.mode == "mix" and self.score and param.gradient
+        if joint:
+            line = lambda names: csv_row(*[F.col(c) for c in names])
+            rows = [r.select((F.lit(k << 32) + F.col("id")).alias("place"), line(["id", *names]).alias("text")) for k, (r, names) in enumerate(zip(found, columns, strict=True))]
+            return self._ranked(reduce(DataFrame.unionByName, [*rows, self._dated(g).select((F.lit(3 << 32) + F.col("pos")).alias("place"), F.col("content").alias("text"))]), text, param) or None
+        parts = [f"-----{title}-----\n" + context.csv_section(r, ["id", *names]).first().csv for title, r, names in zip(titles, found, columns, strict=True)]
         if param.mode == "mix":
-            hits = g.chunk_hits().where(F.col("pos") < min(10, param.top_k))
-            hits = hits.join(g.chunks_at(hits), "id").select(F.col("pos").alias("id"), "content")
-            hits = self._ranked(hits, lambda r: r.withColumn("__text", F.col("content")), text, param)
-            parts.append("-----Chunks-----\n" + (context.joined_chunks(hits, "id").first().context or ""))
+            parts.append("-----Chunks-----\n" + (context.joined_chunks(self._dated(g), "pos").first().context or ""))
         return "\n".join(parts)
 
+    def _dated(self, g: _Stored) -> DataFrame:
+        """``pos, content`` of the chunks that a mixed query hits, ten at most and within the budget, with the times they were stored (Q5)."""
+        hits = g.chunk_hits().where(F.col("pos") < min(10, g.param.top_k))
+        kept = ranking.token_budget(hits.join(g.chunks_at(hits), "id"), "content", g.budget, [F.col("pos")], counter=g.counter)
+        stamp = F.concat(F.lit("[Created at: "), context.created_at(F.floor("created").cast("long")), F.lit("]\n"))
+        return kept.select("pos", F.concat(F.coalesce(stamp, F.lit("")), "content").alias("content"))
+
     def past(self, param: QueryParam) -> str:
         """The last turns of the history as text."""
         if not param.history:
@@ -456,4 +467,4 @@ class _Stored:
         return self._hits("edge_vectors", self.high, ["lo", "hi"])
 
     def chunk_hits(self) -> DataFrame:
-        return self._hits("chunk_vectors", self.text, ["id"])
+        return self._hits("chunk_vectors", self.text, ["id", "created"])

@@ -104,7 +104,7 @@ def context_precision(g):
 
 
 @query(f"""WITH a AS (SELECT {_BY_CONTEXT} FROM lineitem), r AS (SELECT DISTINCT l_orderkey AS id, CAST(l_suppkey % 4 AS INTEGER) AS context FROM lineitem WHERE l_discount > 0.05),
-    m AS (SELECT DISTINCT a.id, a.claim FROM a JOIN r ON a.id = r.id AND a.context = r.context WHERE a.supported)
+    m AS (SELECT DISTINCT a.id, a.claim FROM a JOIN r ON a.id = r.id AND a.context = r.context WHERE a.supported),
     k AS (SELECT l_orderkey AS id, l_linenumber AS claim, bool_or(l_tax > 0.04) AS good FROM lineitem GROUP BY 1, 2)
     SELECT k.id, round(avg(CASE WHEN m.claim IS NOT NULL AND NOT good THEN 1.0 ELSE 0.0 END), 6) AS score FROM k LEFT JOIN m ON k.id = m.id AND k.claim = m.claim GROUP BY k.id""")
 def noise_sensitivity(g):

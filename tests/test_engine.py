@@ -1,5 +1,7 @@
 """Files, tables, streaming and the engine class."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,7 +116,7 @@ def test_engine(spark, tmp_path):
     found = engine.query("where is Anna?", param)
     assert '"ANNA"' in found and "lives in Rome" in found
     assert "Anna" in engine.query("/naive Anna", QueryParam(threshold=-1.0, only_need_context=True))
-    assert "Chunks" in engine.query("Anna", QueryParam(mode="mix", threshold=-1.0, only_need_context=True, gradient=1.1, least=1))
+    assert "-----Chunks-----\n[Created at: 20" in engine.query("Anna", QueryParam(mode="mix", threshold=-1.0, only_need_context=True, gradient=1.1, least=1))
     assert engine.query("/local Anna", QueryParam(threshold=-1.0)) == "answer"
     near, between = engine.subgraph("ROME", 1)
     assert {r.id: r.depth for r in near.collect()} == {"ROME": 0, "ANNA": 1} and between.count() == 1
@@ -275,9 +277,11 @@ def test_cache_rerank_and_history(spark, tmp_path):
     asked = QueryParam(mode="local", threshold=-1.0, low_keywords=("ANNA",), similar=0.5, recheck=True)
     assert engine.query("who is Anna now", asked) == "answer"
     assert [p.startswith(hooks.SAME) for p in calls("complete")].count(True) == 1
-    found = engine.context("Anna", QueryParam(mode="mix", threshold=-1.0, low_keywords=("ANNA",), gradient=1.1, least=3))
-    tail = found.rpartition("-----Chunks-----\n")[2]
-    assert tail.startswith("Rome is old and wide") and tail.endswith("Anna likes tea")
+    found = engine.context("Anna", QueryParam(mode="mix", threshold=-1.0, low_keywords=("ANNA",), gradient=1.1, least=30))
+    blocks = re.findall(r"(\d+):\n(.*?)\n\n", found, re.DOTALL)  # entities, relations and chunks in one order, those without a score last
+    assert [int(n) for n, _ in blocks] == list(range(1, len(blocks) + 1)) and not any(b[0] in '",' or b[-1] in '",' for _, b in blocks)
+    assert "tea" in blocks[-1][1] and all("tea" not in b for _, b in blocks[:3]) and [b.startswith("[Created at: 20") for _, b in blocks].count(True) >= 2
+    assert len(blocks[0][1]) >= len(blocks[2][1]) - 4 and any('"ANNA"' in b for _, b in blocks)
     turns = ({"role": "user", "content": "q"}, {"role": "assistant", "content": None}, {"role": "user", "content": "q2"}, {"role": "assistant", "content": "a2"})
     assert engine.past(QueryParam(history=turns)) == "user: q\nassistant: \nuser: q2\nassistant: a2\n"
 

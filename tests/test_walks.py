@@ -31,7 +31,7 @@ def test_shares_match_p_and_q(spark):
 def test_embeddings_of_close_nodes_are_close(spark):
     groups = [[f"{g}{i}" for i in range(5)] for g in "xy"]
     rows = [(a, b, 1.0) for nodes in groups for i, a in enumerate(nodes) for b in nodes[i + 1 :]] + [("x0", "y0", 0.1)]
-    found = {r.id: np.array(r.vector) for r in walks.node_vectors(spark.createDataFrame(rows, KIND), 8, per_node=20, length=8).collect()}
+    found = {r.id: np.array(r.vector) for r in walks.node_vectors(spark.createDataFrame(rows, KIND), 8, per_node=12, length=5).collect()}
     unit = {k: v / np.linalg.norm(v) for k, v in found.items()}
     near = np.mean([unit[a] @ unit[b] for nodes in groups for a in nodes for b in nodes if a < b])
     far = np.mean([unit[a] @ unit[b] for a in groups[0] for b in groups[1]])
