@@ -10,6 +10,15 @@ from tessella.operators import communities
 KIND = "lo string, hi string, weight double"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Tables of a few rows need no more; it saves most of the time of the many small jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def plain_modularity(edges, of):
     total = 2 * sum(w for *_, w in edges)
     degree, inside = {}, 0.0

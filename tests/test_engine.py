@@ -13,6 +13,15 @@ from tessella.sources import files, sinks
 from tessella.streaming import ingest
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Tables of a few rows need no more; it saves most of the time of the many small jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_graphml_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([("A", "T", "d & e", ["c1", "c2"])], "id string, entity_type string, description string, source_ids array<string>")
     edges = spark.createDataFrame([("A", "B", 1.5, "x", "k", ["c1"])], "lo string, hi string, weight double, description string, keywords string, source_ids array<string>")

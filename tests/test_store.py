@@ -13,6 +13,15 @@ NODES = Keyed("id string, n long")
 PAIRS = Keyed("a string, b string, n long", ("a", "b"), ("a",))
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Tables of a few rows need no more; it saves most of the time of the many small jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def store_in(spark, path, **more):
     return TableStore(spark, str(path), {"nodes": NODES, "pairs": PAIRS}, **{"buckets": 8, **more})
 

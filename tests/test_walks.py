@@ -8,6 +8,15 @@ import pytest
 from tessella.operators import walks
 
 KIND = "lo string, hi string, weight double"
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Tables of a few rows need no more; it saves most of the time of the many small jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 EDGES = [("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", None), ("c", "d", 1.0), ("d", "e", 3.0), ("b", "a", 1.0), ("e", "e", 5.0), ("e", "f", 0.0)]
 LINKS = {("a", "b"): 2.0, ("b", "c"): 2.0, ("a", "c"): 1.0, ("c", "d"): 1.0, ("d", "e"): 3.0}
 LINKS |= {(b, a): w for (a, b), w in LINKS.items()}
