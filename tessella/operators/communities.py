@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessella.operators.graph import checkpoint, checkpoints
 
 #: Modularity that a round or a level has to add.
-LEAST = 1e-6
+LEAST = 1e-4
 #: Rounds without such a gain after which a level ends; one round leaves half of the nodes where they are.
 PATIENCE = 2
 
@@ -38,43 +38,37 @@ def _level(links: DataFrame, loops: DataFrame) -> _Level:
     return _Level(links, loops, nodes, nodes.agg(F.sum("k")).first()[0] or 0.0)
 
 
-def _modularity(level: _Level, placed: DataFrame) -> float:
-    """Modularity of ``placed(id, c, k)``."""
-    where = placed.select("id", "c")
-    ends = level.links.join(where.withColumnsRenamed({"id": "src", "c": "cs"}), "src").join(where.withColumnsRenamed({"id": "dst", "c": "cd"}), "dst").where("cs = cd")
-    inside = (ends.agg(F.sum("w")).first()[0] or 0.0) + 2 * (level.loops.agg(F.sum("w")).first()[0] or 0.0)
-    squares = placed.groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
-    return inside / level.total - squares / level.total**2
-
-
-def _round(level: _Level, placed: DataFrame, number: int) -> DataFrame:
-    """``placed`` after one round."""
+def _scored(level: _Level, placed: DataFrame) -> DataFrame:
+    """``placed(id, c, k)`` with each node's links ``w`` to and the sum ``tot`` of its own community, and the community ``to`` in which it would gain."""
     totals = placed.groupBy("c").agg(F.sum("k").alias("tot"))
     near = level.links.join(placed.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c", "w")
     near = near.unionByName(placed.select("id", "c", F.lit(0.0).alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w"))
     own = placed.select("id", "k", F.col("c").alias("was"))
-    without = F.col("tot") - F.when(F.col("c") == F.col("was"), F.col("k")).otherwise(0.0)
+    stays = F.col("c") == F.col("was")
+    without = F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)
     gains = near.join(own, "id").join(totals, "c").withColumn("gain", F.round(F.col("w") - F.col("k") * without / level.total, 9))
     # of equal gains the smallest community; a node whose own is as good stays
-    best = gains.groupBy("id").agg(F.min_by(F.struct("c", "gain"), F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("was"), F.col("gain"))).alias("now"))
-    target = best.where("best.gain > now").select("id", F.col("best.c").alias("to"))
-    free = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(2)) == 0
-    moved = placed.join(target, "id", "left").select("id", F.when(F.col("to").isNotNull() & free, F.col("to")).otherwise(F.col("c")).alias("c"), "k")
-    return checkpoint(moved)
+    best = gains.groupBy("id").agg(
+        F.min_by(F.struct("c", "gain"), F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"), F.max(F.when(stays, F.struct("gain", "w", "tot", "k", "c"))).alias("own")
+    )
+    return best.select("id", "own.c", "own.k", "own.w", "own.tot", F.when(F.col("best.gain") > F.col("own.gain"), F.col("best.c")).alias("to"))
 
 
 def _settled(level: _Level, rounds: int, number: int) -> tuple[DataFrame, float]:
-    """The best communities of a level, and their modularity."""
-    placed = checkpoint(level.nodes.select("id", F.col("id").alias("c"), "k"))
-    best, most, idle = placed, _modularity(level, placed), 0
-    for r in range(rounds):
-        placed = _round(level, placed, 1000 * number + r)
-        now = _modularity(level, placed)
-        idle = 0 if now > most + LEAST else idle + 1
-        if now > most:
-            best, most = placed, now
-        if idle >= PATIENCE:
+    """The best communities of a level, and their modularity, which comes with each round's scores."""
+    loops = 2 * (level.loops.agg(F.sum("w")).first()[0] or 0.0)
+    placed, best, most, idle = level.nodes.select("id", F.col("id").alias("c"), "k"), None, 0.0, 0
+    for r in range(rounds + 1):
+        scored = checkpoint(_scored(level, placed))
+        inside, squares, wanting = scored.agg(F.sum("w"), F.sum(F.col("k") * F.col("tot")), F.count("to")).first()
+        now = (inside + loops) / level.total - squares / level.total**2
+        idle = 0 if best is None or now > most + LEAST else idle + 1
+        if best is None or now > most:
+            best, most = scored.select("id", "c"), now
+        if not wanting or idle >= PATIENCE:
             break
+        free = F.pmod(F.xxhash64("id", F.lit(1000 * number + r)), F.lit(2)) == 0
+        placed = scored.select("id", F.when(F.col("to").isNotNull() & free, F.col("to")).otherwise(F.col("c")).alias("c"), "k")
     return best, most
 
 
@@ -116,8 +110,11 @@ def louvain(edges: DataFrame, rounds: int = 20, levels: int = 10) -> DataFrame:
 def modularity(edges: DataFrame, communities: DataFrame) -> float:
     """Modularity of ``communities(id, community)`` on ``edges(lo, hi, weight)``."""
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
-    merged = edges.select("lo", "hi", weight.alias("w")).where("w > 0")
-    apart = merged.where("lo <> hi")
-    links = apart.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "w").unionByName(apart.select("hi", "lo", "w").toDF("src", "dst", "w"))
-    level = _level(links, merged.where("lo = hi").select(F.col("lo").alias("id"), "w"))
-    return _modularity(level, level.nodes.join(communities.select("id", F.col("community").alias("c")), "id")) if level.total else 0.0
+    each = edges.select("lo", "hi", weight.alias("w")).where("w > 0 and lo is not null and hi is not null")
+    where = communities.select("id", "community")
+    placed = checkpoint(each.join(where.toDF("lo", "a"), "lo").join(where.toDF("hi", "b"), "hi").select("a", "b", "w"))
+    total, inside = placed.agg(F.sum(F.col("w") * 2), F.sum(F.when(F.col("a") == F.col("b"), F.col("w") * 2))).first()
+    if not total:
+        return 0.0
+    ends = placed.select(F.explode(F.array("a", "b")).alias("c"), "w").groupBy("c").agg(F.sum("w").alias("k"))
+    return (inside or 0.0) / total - ends.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / total**2

@@ -220,4 +220,4 @@ def custom_kg_edges(g):
 @query()
 def louvain_communities(g):
     """Communities of the whole graph by modularity; a brute-force Louvain is the test."""
-    return communities.louvain(g.edges())
+    return communities.louvain(g.edges(), rounds=3, levels=2)
