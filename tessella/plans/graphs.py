@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.functions.text import SEP, token_count
 from tessella.operators import communities, graph
 from tessella.plans.bindings import PRELUDE, sql_tokens
 from tessella.plans.catalog import query
+from tessella.sources import files, sinks
 
 
 def _flat(df):
@@ -38,6 +41,23 @@ def merge_edges_untyped(g):
     return _flat(graph.merge_edges(g.edge_mentions(), weighted=False))
 
 
+def _exported(g) -> tuple:
+    """The graph, written as one GraphML document and read again."""
+    path = f"{graph.shared_folder(g.spark)}/export-{uuid.uuid4().hex}.graphml"
+    sinks.write_graphml(g.nodes(), g.edges(), path)
+    return files.read_graphml(g.spark, path)
+
+
+@query(PRELUDE + f"SELECT {_NODE_SQL} FROM nodes")
+def graphml_nodes(g):
+    return _exported(g)[0].withColumnRenamed("source_id", "source_ids")
+
+
+@query(PRELUDE + f"SELECT {_EDGE_SQL} FROM edges")
+def graphml_edges(g):
+    return _exported(g)[1].withColumnsRenamed({"src": "lo", "tgt": "hi", "source_id": "source_ids"})
+
+
 _NO_END = "nodes WHERE NOT (starts_with(id, 'P') AND id LIKE '%7')"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import shutil
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.text import SEP
+from tessella.sources.files import EDGE_KEYS, NODE_KEYS
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -31,14 +33,83 @@ def write_results(df: DataFrame, path: str, errors: str) -> None:
     write_json(df.where("error is not null"), errors)
 
 
+#: What XML 1.0 cannot hold, even escaped.
+_NO_XML = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]"
+#: Files that one request to the file system joins.
+JOINED = 500
+
+
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges as XML elements in two folders, ``nodes`` and ``edges`` (K2)."""
-    datum = lambda key, value: F.struct(F.lit(key).alias("_key"), value.cast("string").alias("_VALUE"))
-    sources = F.array_join("source_ids", SEP)
-    n = nodes.select(F.col("id").alias("_id"), F.array(datum("d0", F.col("entity_type")), datum("d1", F.col("description")), datum("d2", sources)).alias("data"))
-    e = edges.select(F.col("lo").alias("_source"), F.col("hi").alias("_target"), F.array(datum("d3", F.col("weight")), datum("d4", F.col("description")), datum("d5", F.col("keywords")), datum("d6", sources)).alias("data"))
-    n.write.mode("overwrite").format("xml").option("rootTag", "graph").option("rowTag", "node").save(f"{path}/nodes")
-    e.write.mode("overwrite").format("xml").option("rootTag", "graph").option("rowTag", "edge").save(f"{path}/edges")
+    """Nodes and edges as one GraphML document, with the declarations of its keys.
+
+    Tasks encode and write the elements, in as many parts as the frames have partitions; the file
+    system puts the parts together in order between a header and a footer (:func:`join_files`), so
+    neither one task nor the driver encodes the graph. The document appears under ``path`` by a
+    rename and takes the place of a file of that name. A null text is an empty element; characters
+    that XML cannot hold are left out.
+    """
+    spark = nodes.sparkSession
+    legal = lambda value: F.regexp_replace(value.cast("string"), _NO_XML, "")
+    datum = lambda key, value: F.struct(F.lit(key).alias("_key"), legal(value).alias("_VALUE"))
+    data = lambda keys: F.array(*[datum(k, F.array_join("source_ids", SEP) if name == "source_id" else F.col(name)) for k, name in keys.items()]).alias("data")
+    element = lambda tag, *fields: F.to_xml(F.struct(*fields), {"rowTag": tag}).alias("value")
+    n = nodes.select(element("node", legal(F.col("id")).alias("_id"), data(NODE_KEYS)))
+    e = edges.select(element("edge", legal(F.col("lo")).alias("_source"), legal(F.col("hi")).alias("_target"), data(EDGE_KEYS)))
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    for kind, keys in (("node", NODE_KEYS), ("edge", EDGE_KEYS)):
+        head += [f'<key id="{k}" for="{kind}" attr.name="{name}" attr.type="{"double" if name == "weight" else "string"}"/>' for k, name in keys.items()]
+    head.append('<graph edgedefault="undirected">')
+
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    target, aside = at(path), f"{path}.parts-{uuid.uuid4().hex}"
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, frame in (("nodes", n), ("edges", e)):
+        frame.write.text(f"{aside}/{name}")
+    for name, lines in (("document", head), ("footer", ["</graph>", "</graphml>"])):
+        out = files.create(at(f"{aside}/{name}"))
+        try:
+            out.write(bytearray("".join(line + "\n" for line in lines).encode()))
+        finally:
+            out.close()
+    parts = [f"{aside}/{folder}/{part}" for folder in ("nodes", "edges") for part in _parts(files, at(f"{aside}/{folder}"))]
+    join_files(spark, f"{aside}/document", [*parts, f"{aside}/footer"])
+    if files.exists(target):
+        files.delete(target, False)  # a file; a folder with content is an error
+    if not files.rename(at(f"{aside}/document"), target):
+        raise OSError(f"{aside}/document cannot be renamed to {path}")
+    files.delete(at(aside), True)
+
+
+def _parts(files, folder) -> list[str]:
+    """Names of the files that tasks wrote into a folder, in order of the partitions."""
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    return sorted((x for x in names if x.startswith("part-")), key=lambda x: int(x.split("-")[1]))
+
+
+def join_files(spark: SparkSession, first: str, others: list[str]) -> None:
+    """Append whole files to ``first`` in order, in the file system; ``others`` may be gone afterwards.
+
+    A file system with ``concat`` links blocks and moves no bytes. The local one appends the files.
+    One that can do neither raises an error, and the parts, which in order are the same bytes, stay.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(first).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.hasPathCapability(at(first), "fs.capability.paths.concat"):
+        for k in range(0, len(others), JOINED):
+            group = others[k : k + JOINED]
+            some = spark.sparkContext._gateway.new_array(at, len(group))
+            for i, name in enumerate(group):
+                some[i] = at(name)
+            files.concat(at(first), some)
+        return
+    if files.getUri().getScheme() != "file":
+        raise NotImplementedError(f"{files.getUri()} cannot join files; the parts of {first} stay")
+    local = lambda name: at(name).toUri().getPath()
+    with open(local(first), "ab") as out:
+        for name in others:
+            with open(local(name), "rb") as part:
+                shutil.copyfileobj(part, out, 1 << 20)
+    files.delete(at(first).getParent().suffix(f"/.{at(first).getName()}.crc"), False)  # the checksums of the first file alone
 
 
 def load_external(df: DataFrame, connect: Callable, batch: int = 500) -> None:

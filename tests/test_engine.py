@@ -22,14 +22,33 @@ def few_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_graphml_round_trip(spark, tmp_path):
-    nodes = spark.createDataFrame([("A", "T", "d & e", ["c1", "c2"])], "id string, entity_type string, description string, source_ids array<string>")
-    edges = spark.createDataFrame([("A", "B", 1.5, "x", "k", ["c1"])], "lo string, hi string, weight double, description string, keywords string, source_ids array<string>")
-    sinks.write_graphml(nodes, edges, str(tmp_path / "g"))
-    n, _ = files.read_graphml(spark, str(tmp_path / "g/nodes"))
-    _, e = files.read_graphml(spark, str(tmp_path / "g/edges"))
-    assert [tuple(r) for r in n.collect()] == [("A", "T", "d & e", "c1<SEP>c2")]
-    assert [(r.src, r.tgt, r.weight) for r in e.collect()] == [("A", "B", 1.5)]
+def test_graphml_is_one_document_that_reads_back(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    schema = "id string, entity_type string, description string, source_ids array<string>"
+    odd = [("A", "T", "d & e <x>\nsecond line", ["c1", "c2"]), ("B", None, "gone\x01 \U0001f600", None), ("C\nC", "T", "", [])]
+    nodes = spark.createDataFrame(odd + [(f"n{i}", "T", "plain", ["c"]) for i in range(40)], schema).repartition(7)
+    edges = spark.createDataFrame([("A", "B", 1.5, "x", "k", ["c1"]), ("A", "C\nC", None, "y", None, ["c1"])], "lo string, hi string, weight double, description string, keywords string, source_ids array<string>").repartition(3)
+    path = tmp_path / "g.graphml"
+    for _ in range(2):  # the second takes the place of the first
+        sinks.write_graphml(nodes, edges, str(path))
+    assert path.is_file() and [p.name for p in tmp_path.iterdir()] == ["g.graphml"]
+    root = ElementTree.parse(path).getroot()
+    tags = [x.tag.split("}")[1] for x in root]
+    assert tags == ["key"] * 7 + ["graph"] and [x.tag.split("}")[1] for x in root[-1]] == ["node"] * 43 + ["edge"] * 2
+    n, e = files.read_graphml(spark, str(path))
+    got = {r.id: tuple(r)[1:] for r in n.collect()}
+    assert len(got) == 43 and got["A"] == ("T", "d & e <x>\nsecond line", "c1<SEP>c2")
+    assert got["B"] == ("", "gone \U0001f600", "") and got["C\nC"] == ("T", "", "")
+    assert sorted((r.src, r.tgt, r.weight, r.keywords) for r in e.collect()) == [("A", "B", 1.5, "k"), ("A", "C\nC", 0.0, "")]
+
+
+def test_graphml_of_an_empty_graph(spark, tmp_path):
+    nodes = spark.createDataFrame([], "id string, entity_type string, description string, source_ids array<string>")
+    edges = spark.createDataFrame([], "lo string, hi string, weight double, description string, keywords string, source_ids array<string>")
+    sinks.write_graphml(nodes, edges, str(tmp_path / "g.graphml"))
+    n, e = files.read_graphml(spark, str(tmp_path / "g.graphml"))
+    assert n.count() == 0 and e.count() == 0
 
 
 def test_binary_files_fall_back_to_gbk(spark, tmp_path):
