@@ -38,23 +38,55 @@ def numbered(rows: DataFrame, order: list[Column], by: list[str] | None = None,
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order)) - 1)
 
 
+def ranked_runs(rows: DataFrame, score: str, key: str, by: str) -> DataFrame:
+    """``rows`` of each ``by`` in falling ``score``, then rising ``key``: with ``rn`` from 1 and the score ``before``, for groups of any size.
+
+    Rows are dealt by ranges of the whole order, so a hot group lies in many ranges, and no task gets
+    more than a range. A group's ranges are summed up first: one row for each tells how many rows come
+    before it and the score that these end with. Rows without a score come last. Rows equal in all
+    three have numbers in any order.
+    """
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = graph.checkpoint(rows.repartitionByRange(width, F.col(by), F.desc(score), F.col(key)).withColumn("__range", F.spark_partition_id()))
+    ends = dealt.groupBy(by, "__range").agg(F.count("*").alias("__n"), F.min_by(score, F.struct(F.col(score).isNotNull(), score)).alias("__last"))
+    earlier = Window.partitionBy(by).orderBy("__range")
+    ends = ends.select(F.col(by).alias("__by"), F.col("__range").alias("__at"), F.coalesce(F.sum("__n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.lag("__last").over(earlier).alias("__carried"))
+    own = Window.partitionBy("__range", by).orderBy(F.desc(score), key)
+    place = F.row_number().over(own)
+    joined = dealt.join(ends, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__at")))
+    out = joined.withColumns({"__place": place, "__lag": F.lag(score).over(own)})
+    out = out.withColumns({"rn": F.col("__place") + F.col("__start"), "before": F.when(F.col("__place") == 1, F.col("__carried")).otherwise(F.col("__lag"))})
+    return out.drop("__range", "__by", "__at", "__start", "__carried", "__place", "__lag")
+
+
+def _until(ranked: DataFrame, fails: Column, by: str, least: int = 0) -> DataFrame:
+    """Rows of each ``by`` before the first that ``fails``, or of a number up to ``least``; that row is found by a minimum."""
+    first = ranked.where(fails).groupBy(by).agg(F.min("rn").alias("__stop")).withColumnRenamed(by, "__by")
+    joined = ranked.join(first, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return joined.where(F.col("__stop").isNull() | (F.col("rn") < F.col("__stop")) | (F.col("rn") <= least)).drop("__by", "__stop")
+
+
 def gradient_select(scored: DataFrame, least: int = 30, gradient: float = 1.1, by: str = "query_id", key: str = "id") -> DataFrame:
     """Best rows of each query: ``least`` of them, then on while a score is over the last one's ``gradient``-th part.
 
-    ``scored`` holds a query's candidates, which a top-k bounds. Rows without a score come last and end nothing.
+    A query may have any number of rows (:func:`ranked_runs`). Rows without a score come last and end nothing.
     """
-    order = Window.partitionBy(by).orderBy(F.desc("score"), key)
-    ranked = scored.withColumns({"rn": F.row_number().over(order), "before": F.lag("score").over(order)})
-    fails = F.coalesce(((F.col("rn") > least) & ~(F.col("score") > F.col("before") / gradient)).cast("int"), F.lit(0))
-    return ranked.withColumn("failed", F.max(fails).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("failed = 0").drop("failed", "before")
+    ranked = ranked_runs(scored, "score", key, by)
+    fails = F.coalesce((F.col("rn") > least) & ~(F.col("score") > F.col("before") / gradient), F.lit(False))
+    return _until(ranked, fails, by).drop("before")
 
 
 def gradient_select_difference(scored: DataFrame, least: int = 12, threshold: float = -0.01, by: str = "query_id", key: str = "id") -> DataFrame:
     """Best rows while each is less than ``-threshold`` below the last; ``least`` of them if these are fewer."""
-    order = Window.partitionBy(by).orderBy(F.desc("score"), key)
-    ranked = scored.withColumns({"rn": F.row_number().over(order), "before": F.lag("score").over(order)})
-    fails = ((F.col("rn") > 1) & ~(F.col("score") - F.col("before") > threshold)).cast("int")
-    return ranked.withColumn("failed", F.max(fails).over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("failed") == 0) | (F.col("rn") <= least)).drop("failed", "before")
+    ranked = ranked_runs(scored, "score", key, by)
+    fails = F.coalesce((F.col("rn") > 1) & ~(F.col("score") - F.col("before") > threshold), F.lit(False))
+    return _until(ranked, fails, by, least).drop("before")
+
+
+def ranked_all(scored: DataFrame, by: str = "query_id", key: str = "id", name: str = "place") -> DataFrame:
+    """Every row of each query with its place from 0 in falling score, for queries with any number of rows."""
+    ranked = ranked_runs(scored, "score", key, by)
+    return ranked.withColumn(name, F.col("rn") - 1).drop("rn", "before")
 
 
 def positions(rows: DataFrame, key: str, name: str = "at") -> DataFrame:

@@ -224,7 +224,7 @@ def _overlap(query: str, texts: list[str]) -> list[float | None]:
 def rerank_order(g):
     rows = g.table("documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("source").alias("query_id"), "text", F.lit(_ASKED).alias("query"))
     scored = hooks.scored(rows, _overlap, "text", "query")
-    return ranking.numbered(scored, [F.desc_nulls_last("score"), F.col("id")], ["query_id"], "place").select("query_id", "id", "score", "place")
+    return ranking.ranked_all(scored).select("query_id", "id", "score", "place")
 
 
 _MIX = "(SELECT 0 AS query_id, pos AS id, content, list_sum([CAST(ascii(x) AS DOUBLE) for x in string_split(content, '')]) AS score FROM (SELECT pos, content FROM ch JOIN chunks ON chunks.id = ch.id))"
