@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
+from tessella import hooks
 from tessella.functions import text as tx
 from tessella.operators import chunking, extraction
 from tessella.plans.bindings import PRELUDE, sql_strip, sql_tokens
@@ -226,8 +226,20 @@ def vdb_content(g):
     return g.nodes().select("id", tx.hash_id("ent-", F.col("id")).alias("ent_id"), F.concat("id", "description").alias("content"))
 
 
-@query("SELECT doc_id, doc_id % 3 AS model FROM documents")
-def round_robin(g):
-    return g.documents().select("doc_id", F.pmod("doc_id", F.lit(3)).alias("model"))
+class _tagged:
+    """A model that says its name and how long its prompt is."""
+
+    def __init__(self, name: str):
+        self.name = name
 
+    def __call__(self, prompt: str, history: list[dict] | None = None) -> str:
+        return f"{self.name} {len(prompt)}"
 
+
+@query("SELECT doc_id, true AS routed, CAST(length(text) AS VARCHAR) AS reply FROM documents WHERE text IS NOT NULL")
+def round_robin(g):
+    """Three models answer on all documents in turn (U4); whose turn a document meets depends on its task, so the name is only checked."""
+    prompts = g.documents().where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("prompt"))
+    answers = hooks.answered(prompts, hooks.routed([_tagged(name) for name in ("first", "second", "third")]))
+    name, reply = F.split_part("answer", F.lit(" "), F.lit(1)), F.split_part("answer", F.lit(" "), F.lit(2))
+    return answers.select(F.col("id").alias("doc_id"), name.isin("first", "second", "third").alias("routed"), reply.alias("reply"))

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella import hooks
 from tessella.operators import evaluation
+from tessella.plans.bindings import sql_strip
 from tessella.plans.catalog import query
 
 
-@query("SELECT d.doc_id, b.item_id, d.source AS response FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id")
+@query("WITH known AS (SELECT text AS question, min(doc_id) AS reference FROM documents WHERE text IS NOT NULL GROUP BY text) SELECT doc_id, source AS response, reference FROM documents JOIN known ON text = question")
 def eval_reference_join(g):
-    responses = g.table("documents").select("doc_id", F.col("source").alias("response"), (F.col("doc_id") % 40).alias("item_id"))
-    return responses.join(g.table("benchmark").select("item_id"), "item_id").select("doc_id", "item_id", "response")
+    """Responses meet references by the text of their question."""
+    asked = g.table("documents").select("doc_id", F.col("source").alias("response"), F.col("text").alias("question"))
+    known = asked.where("question is not null").groupBy("question").agg(F.min("doc_id").alias("reference"))
+    return asked.join(known, "question").select("doc_id", "response", "reference")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -65,10 +69,19 @@ def split_ok_err(g):
     return g.table("events").withColumn("error", error).groupBy("event_type").agg(F.count(F.when(F.col("error").isNull(), 1)).alias("ok"), F.count("error").alias("failed"))
 
 
-@query("SELECT q.item_id AS question_id, d.doc_id AS context_id, length(q.text) AS n FROM benchmark q JOIN documents d ON d.doc_id = q.item_id * 3")
+def _measured(prompt: str, history: list[dict] | None = None) -> str:
+    """A deterministic model: how long its prompt is, after its own words."""
+    return f"It has {len(prompt)} characters"
+
+
+@query("SELECT q.item_id AS question_id, d.doc_id AS context_id, 'It has ' || length(d.text || chr(10) || q.text) || ' characters' AS answer FROM benchmark q JOIN documents d ON d.doc_id % 40 = q.item_id WHERE d.text IS NOT NULL AND q.text IS NOT NULL")
 def batch_answers(g):
-    contexts = g.table("documents").select(F.col("doc_id").alias("context_id"))
-    return g.table("benchmark").select(F.col("item_id").alias("question_id"), (F.col("item_id") * 3).alias("context_id"), F.length("text").alias("n")).join(contexts, "context_id").select("question_id", "context_id", "n")
+    """Every document is the context of one question; a model answers all prompts, several at a time (Q12)."""
+    asked = g.table("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    contexts = g.table("documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 40).alias("question_id"))
+    prompts = contexts.join(asked, "question_id").select("id", F.concat("text", F.lit("\n"), "question").alias("prompt")).where("prompt is not null")
+    answers = hooks.answered(prompts, _measured)
+    return answers.select((F.col("id") % 40).alias("question_id"), F.col("id").alias("context_id"), "answer")
 
 
 def _long_enough(rows: list[dict]) -> list[float]:
@@ -76,9 +89,13 @@ def _long_enough(rows: list[dict]) -> list[float]:
     return [len(set(r["text"].split())) / max(len(r["text"].split()), 1) for r in rows]
 
 
-@query()
+_WORDS = f"CASE WHEN {sql_strip('text')} = '' THEN [] ELSE string_split_regex({sql_strip('text')}, '[\\s\\p{{Z}}]+') END"
+
+
+@query(f"SELECT doc_id AS id, round(len(list_distinct(w)) / greatest(len(w), 1), 6) AS score, CAST(NULL AS VARCHAR) AS error FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL)")
 def judge_scores(g):
-    return evaluation.judged(g.table("benchmark").select(F.col("item_id").alias("id"), "text"), _long_enough, ["text"])
+    rows = g.table("documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    return evaluation.judged(rows, _long_enough, ["text"]).withColumn("score", F.round("score", 6))
 
 
 # deterministic verdicts: orders are responses, their lines claims, contexts follow from parts and suppliers

@@ -197,7 +197,11 @@ def largest_component(g):
     return graph.largest_component(_tree(g))
 
 
-@query()
+_ROUND = "l{k} AS MATERIALIZED (SELECT id, label FROM (SELECT src AS id, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS rn FROM steps JOIN l{before} ON dst = l{before}.id GROUP BY src, label) WHERE rn = 1)"
+_ROUNDS = ", ".join(_ROUND.format(k=k, before=k - 1) for k in range(1, 6))
+
+
+@query(PRELUDE + f", {_TREE}, steps AS (SELECT lo AS src, hi AS dst FROM tree UNION SELECT hi, lo FROM tree), l0 AS (SELECT DISTINCT src AS id, src AS label FROM steps), {_ROUNDS} SELECT id, label FROM l5")
 def label_communities(g):
     return graph.label_propagation(_tree(g))
 
