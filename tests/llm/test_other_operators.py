@@ -196,10 +196,27 @@ def test_cascade_is_exact_over_its_universe(spark, listed):
     assert (cascade.contains(pdf.h1.to_numpy(), pdf.h2.to_numpy()) == pdf.listed.to_numpy()).all()
 
 
-def test_cascade_refuses_what_is_too_large(spark):
-    universe = spark.range(1000).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), (F.col("id") < 500).alias("listed"))
-    with pytest.raises(ValueError, match="semi-join"):
-        urls.build_cascade(universe, max_bytes=8)
+def test_more_hosts_than_one_bitmap_holds_are_judged_in_parts(spark):
+    hosts = [f"h{i}.org" for i in range(3000)]
+    rows = [(k, f"http://{hosts[k % 3000]}/x") for k in range(4000)] + [(-1, None), (-2, "http://a.example.com/en/70"), (-3, "no url")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    listed = spark.createDataFrame([(h,) for h in hosts[::3]] + [(None,), ("unseen",), ("",)], "host string")
+    universe = urls._universe(pages.select(urls.host_of(F.col("url")).alias("key")), listed.select(F.col("host").alias("key")))
+    assert urls.parts_of(universe) == 1 and urls.parts_of(universe, 200) == 2
+    whole = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, queries.RULES, listed).collect()}
+    want = {k: (None, "block" if k % 3000 % 3 == 0 else "allow") for k in range(4000)}
+    want |= {-1: (None, "block"), -2: ("example.com/en/7", "allow"), -3: (None, "block")}
+    assert whole == want
+    for size in (200, 70):  # two parts, six parts
+        assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, queries.RULES, listed, size).collect()} == want
+
+
+def test_rules_of_one_length_and_long_urls(spark):
+    rules = [("block", "b.com", "/x/y"), ("allow", "a.b.com", "/x"), ("block", "c.com", "/"), ("allow", "c.com", "/")]
+    long = "http://c.com/" + "z" * 1_000_000
+    pages = spark.createDataFrame([(1, "http://a.b.com/x/y"), (2, "http://b.com/x/y"), (3, long)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules, spark.createDataFrame([], "host string")).collect()}
+    assert got == {1: ("a.b.com/x", "allow"), 2: ("b.com/x/y", "block"), 3: ("c.com/", "allow")}
 
 
 def test_vectors_match_brute_force(spark):
