@@ -1,10 +1,10 @@
 """Boilerplate lines by their spread over sites, with DataFrame functions only.
 
-A HyperLogLog sketch of the sites of each line hash is merged by one aggregation. Lines whose
-estimate is near the threshold are counted exactly. A line on at least ``sites`` sites stays in the
-document of the smallest id that has it and goes from all others. So does a passage, a line of over
-``PASSAGE`` words, that stands in different texts, whatever their sites; copies of the text that
-keeps it keep it too.
+A line is known by 128 bits of hashes. A HyperLogLog sketch of its sites is merged by one
+aggregation. Lines whose estimate is near the threshold are counted exactly. A line on at least
+``sites`` sites stays in the document of the smallest id that has it and goes from all others. So
+does a passage, a line of over ``PASSAGE`` words, that stands in different texts, whatever their
+sites; copies of the text that keeps it keep it too.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hash(line: Column) -> Column:
-    """Hash of a line without spaces, tabs and carriage returns at its ends; null for a blank line."""
+    """Two 64-bit hashes of a line without spaces, tabs and carriage returns at its ends, which stand for it; null for a blank line."""
     bare = F.btrim(line, F.lit(" \t\r"))
-    return F.when(bare != "", F.xxhash64(bare))
+    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("h1"), F.xxhash64(F.lit("second"), bare).alias("h2")))
 
 
 def is_passage(line: Column) -> Column:
