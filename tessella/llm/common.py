@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.operators.graph import shared_folder
+
 #: The ASCII upper-case letters and their lower-case forms; contracts lower these only.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -30,14 +31,8 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    That folder must be shared by driver and executors. Only where the setting is absent (as in
-    local tests) a temporary folder of this machine is used.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    """Cut the lineage by a checkpoint in the folder that ``spark.checkpoint.dir`` names (:func:`shared_folder`)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
