@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.llm import decontam, lines, packing, simhash, toxicity
 from tessella.llm.common import held_out
 from tessella.llm.queries import table
+from tessella.operators.graph import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,18 +50,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; what each returns is written as Parquet in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{_shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
-
-
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or a temporary one where none is set (as in tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="pipeline-")
