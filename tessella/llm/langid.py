@@ -3,13 +3,15 @@
 Training counts the words of every labelled text by language in one aggregation, and the character
 n-grams of the distinct words in another; Kneser-Ney probabilities follow from these by joins and
 aggregations, under 63-bit hashes of the n-grams. A model keeps, for each order, a sorted array of
-hashes and a matrix with a column for each language. A text's words are scored each as ``^word$``;
-its language is the one of lowest cross-entropy per character.
+hashes and a matrix with a column for each language. Languages go to the tasks by groups of bounded
+size, a language larger than that by parts, whose log probabilities add up. A text's words are
+scored each as ``^word$``; its language is the one of lowest cross-entropy per character.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -17,10 +19,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import append_columns, checkpoint
+from tessella.operators.graph import shared_folder
 
 #: Runs of letters with their marks.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -31,10 +34,16 @@ HELD_WORDS = 200_000
 HELD_BYTES = 32 << 20
 #: Characters that are scored or counted as arrays at a time; a longer word is cut, with its context.
 SCORED_CHARS = 1 << 18
-#: Languages that a model may have.
-MAX_LANGUAGES = 512
+#: Languages that a model may have, more than have a code; tables by language are broadcast.
+MAX_LANGUAGES = 8192
+#: Languages of one group.
+GROUP_LANGUAGES = 512
 #: Bytes of the arrays that one group of languages sends to the tasks; further languages make further groups.
-MODEL_BYTES = 256 << 20
+MODEL_BYTES = 128 << 20
+#: Bytes of the scores of known tokens that a task holds.
+SCORES_BYTES = 64 << 20
+#: N-grams of a language in parts are dealt from this size on, by the characters before the last in an n-gram of this size.
+DEALT = 3
 #: Labelled texts for the calibration of scores and rejection, about; those of the smallest hashes.
 CALIBRATED = 20_000
 #: Standard deviations above the mean misfit of a language's own texts, beyond which a text is rejected.
@@ -69,6 +78,10 @@ class Grams:
     full: list[np.ndarray]
     context: list[np.ndarray]
 
+    def where(self, some: np.ndarray) -> Grams:
+        """Those of some of the characters."""
+        return Grams(self.word[some], [x[some] for x in self.full], [x[some] for x in self.context])
+
 
 def grams_of(words: list[str], order: int = ORDER) -> Iterator[Grams]:
     """Hash the n-grams of ``^word$``; at a word's start the missing characters are all ``^``. About ``SCORED_CHARS`` characters at a time."""
@@ -192,14 +205,17 @@ def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Model:
-    """Sorted hash arrays with log probabilities of a group of languages, for every order."""
+    """Sorted hash arrays with log probabilities of a group of languages, for every order.
+
+    A part of a language knows only the characters that follow the contexts dealt to it, and scores only these.
+    """
 
-    def __init__(self, languages: list[str], rows: dict[str, np.ndarray] | None = None, order: int = ORDER):
+    def __init__(self, languages: list[str], rows: dict[str, np.ndarray] | None = None, order: int = ORDER, part: int = 0, parts: int = 1):
         """``rows`` has ``lang`` (place in ``languages``), ``size``, ``gram``, ``context``, ``suffix``, ``p`` and ``back`` of every n-gram.
 
         A language that lacks an n-gram which another has gets what it backs off to there.
         """
-        self.languages, self.order = languages, order
+        self.languages, self.order, self.part, self.parts = languages, order, part, parts
         self.keys: list[np.ndarray] = []
         self.logs: list[np.ndarray] = []
         self.context_keys: list[np.ndarray] = []
@@ -225,17 +241,19 @@ class Model:
             self.context_logs.append(back)
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Negative log probability of each word in each language, and characters predicted."""
+        """Negative log probability of each word in each language (in a part, of the characters that are its own), and characters of the word."""
         cost, length = np.zeros((len(words), len(self.languages))), np.zeros(len(words), dtype=np.int64)
         for grams in grams_of(words, self.order):
+            length += np.bincount(grams.word, minlength=len(words))
+            if self.parts > 1:
+                grams = grams.where(grams.context[min(DEALT, self.order) - 1] % self.parts == self.part)
             starts = np.flatnonzero(np.diff(grams.word, prepend=-1))
-            own = grams.word[starts]
-            cost[own] -= np.add.reduceat(self._logs(grams), starts, axis=0)
-            length[own] += np.diff(np.append(starts, len(grams.word)))
+            if len(starts):
+                cost[grams.word[starts]] -= np.add.reduceat(self._logs(grams), starts, axis=0)
         return cost, length
 
     def _lower(self, hashes: np.ndarray, size: int) -> np.ndarray:
-        """Log probabilities of n-grams of a size; of unknown ones (left out as rare) those of a new character."""
+        """Log probabilities of n-grams of a size; of unknown ones those of a new character."""
         keys = self.keys[size - 1]
         if not len(keys):
             return np.tile(self.floor, (len(hashes), 1))
@@ -261,23 +279,59 @@ class Model:
         return logs
 
 
+@dataclass
+class Group:
+    """Languages whose arrays go to the tasks together, or a part of one language's."""
+
+    languages: list[str]
+    rows: DataFrame | None
+    order: int = ORDER
+    part: int = 0
+    parts: int = 1
+
+    def load(self) -> Model:
+        """Bring the n-grams to the driver and sort them into arrays."""
+        if self.rows is None:
+            return Model(self.languages, None, self.order)
+        place = F.array_position(F.array(*[F.lit(x) for x in self.languages]), F.col("lang")).cast("int") - 1
+        found = self.rows.select(place.alias("lang"), "size", "gram", "context", "suffix", F.col("p").cast("float").alias("p"), F.col("back").cast("float").alias("back")).toArrow()
+        return Model(self.languages, {c: found.column(c).to_numpy() for c in found.column_names}, self.order, self.part, self.parts)
+
+
 @dataclass
 class Identifier:
     """Models of all languages in groups, how a language's own words and texts fit, and how evidence saturates."""
 
-    groups: list[Model]
+    groups: list[Group]
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     spread: np.ndarray = field(default_factory=lambda: np.zeros(0))
     limit: np.ndarray = field(default_factory=lambda: np.zeros(0))
     half: float = 50.0
+    held: tuple[int, Model] | None = None
 
     @property
     def languages(self) -> list[str]:
-        return [lang for m in self.groups for lang in m.languages]
+        return list(dict.fromkeys(lang for g in self.groups for lang in g.languages))
+
+    @property
+    def places(self) -> list[list[int]]:
+        """For each group the places of its languages among all."""
+        at = {lang: k for k, lang in enumerate(self.languages)}
+        return [[at[lang] for lang in g.languages] for g in self.groups]
+
+    def model(self, k: int) -> Model:
+        """The arrays of a group; the driver holds those of one group at a time."""
+        if self.held is None or self.held[0] != k:
+            self.held = None
+            self.held = k, self.groups[k].load()
+        return self.held[1]
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [m.score(words) for m in self.groups]
-        return np.concatenate([cost for cost, _ in found], axis=1), found[0][1]
+        total = np.zeros((len(words), len(self.languages)))
+        for k, at in enumerate(self.places):
+            cost, length = self.model(k).score(words)
+            total[:, at] += cost
+        return total, length
 
     def misfit(self, k: int, rate: float, words: float) -> float:
         """Standard errors by which a text's cross-entropy lies above that of the language's own words."""
@@ -294,51 +348,74 @@ def train(docs: DataFrame, order: int = ORDER, model_bytes: int = MODEL_BYTES, c
 
     The counts are aggregated over the whole corpus, and the probabilities computed by Spark; the
     n-gram tables, measured first, come to the driver by groups of languages of at most
-    ``model_bytes``. A language that is larger alone leaves out the n-grams of the fewest
-    occurrences (of two characters or more), as few as make it fit; these back off. The misfit and
+    ``model_bytes``, one group at a time. A language that is larger alone comes in parts: its
+    n-grams of ``DEALT`` characters or more are dealt by the context of the last character, so all
+    that the probability of a character needs is in one part, and the parts' costs add up to those
+    of the whole. Parts are about ``model_bytes``: shorter n-grams are in each of them. The misfit and
     the evidence of labelled texts are then measured on a sample of about ``calibrated`` of them.
     Null and empty texts, and rows without a language, count for nothing.
     """
     labelled = docs.where("lang is not null and text is not null").select("lang", "text")
     words = checkpoint(word_counts(labelled))
     table = probabilities(checkpoint(gram_counts(words, order)), order)
-    model = Identifier([Model(names, rows, order) for names, rows in _groups(table, model_bytes)] or [Model([], None, order)])
+    model = Identifier(_groups(table, model_bytes, order) or [Group([], None, order)])
     if model.languages:
         _calibrate(model, words, labelled, calibrated)
     return model
 
 
-def _groups(table: DataFrame, model_bytes: int) -> Iterator[tuple[list[str], dict[str, np.ndarray]]]:
-    """Languages and rows of each group; a group's dense arrays stay within ``model_bytes``."""
-    sizes = {r.lang: r.n for r in table.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def _groups(table: DataFrame, model_bytes: int, order: int) -> list[Group]:
+    """Groups of languages whose dense arrays stay within ``model_bytes``, and the parts of languages that do not."""
+    level = min(DEALT, order)
+    sizes = {r.lang: (r.n, r.short) for r in table.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("size") < level).alias("short")).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"{len(sizes)} languages; a model has at most {MAX_LANGUAGES}")
-    room = lambda names: sum(min(sizes[x], most) for x in names) * (16 + 8 * len(names))
     most = model_bytes // 24
-    groups: list[list[str]] = []
+    room = lambda names: sum(sizes[x][0] for x in names) * (16 + 8 * len(names))
+    together: list[list[str]] = []
+    out = []
     for lang in sorted(sizes):
-        if not groups or room([*groups[-1], lang]) > model_bytes:
-            groups.append([])
-        groups[-1].append(lang)
-    for names in groups:
-        rows = table.where(F.col("lang").isin(names))
-        if sizes[names[0]] > most:  # alone in its group
-            by_count = rows.where("size > 1").groupBy("n").agg(F.count("*").alias("rows"))
-            above = by_count.withColumn("kept", F.sum("rows").over(Window.orderBy(F.desc("n")))).where(F.col("kept") <= most - rows.where("size = 1").count())
-            least = above.agg(F.min("n")).first()[0]
-            rows = rows.where((F.col("size") == 1) | (F.col("n") >= (least or 1 << 62)))
-        place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")).cast("int") - 1
-        found = rows.select(place.alias("lang"), "size", "gram", "context", "suffix", F.col("p").cast("float").alias("p"), F.col("back").cast("float").alias("back")).toArrow()
-        yield names, {c: found.column(c).to_numpy() for c in found.column_names}
+        n, short = sizes[lang]
+        if n > most and level > 1:
+            parts = math.ceil(2 * (n - short) / max(most - short, most // 2, 1))  # twice as many as if all were equal
+            out.extend(_parts(table.where(F.col("lang") == lang), lang, parts, order))
+            continue
+        if not together or room([*together[-1], lang]) > model_bytes or len(together[-1]) == GROUP_LANGUAGES:
+            together.append([])
+        together[-1].append(lang)
+    return [Group(names, table.where(F.col("lang").isin(names)), order) for names in together] + out
+
+
+def _parts(rows: DataFrame, lang: str, parts: int, order: int) -> list[Group]:
+    """Deal a language's n-grams; the parts are written in the shared folder, a folder for each."""
+    level = min(DEALT, order)
+    columns = ["lang", "size", "gram", "context", "suffix", "p", "back"]
+    rows = rows.select(*columns)
+    sized = rows.where(F.col("size") == level).withColumn("dealt", F.col("context"))
+    every = sized
+    for size in range(level + 1, order + 1):  # a longer n-gram goes where its suffix goes
+        above = sized.select(F.col("gram").alias("suffix"), "dealt")
+        sized = rows.where(F.col("size") == size).join(above, "suffix").select(*columns, "dealt")
+        every = every.unionByName(sized)
+    folder = f"{shared_folder(rows.sparkSession)}/language-parts-{uuid.uuid4().hex}"
+    every.withColumn("part", F.pmod("dealt", F.lit(parts)).cast("int")).drop("dealt").repartition("part", F.pmod("gram", F.lit(8))).write.partitionBy("part").parquet(folder)
+    written = rows.sparkSession.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, part int").parquet(folder)
+    short = rows.where(F.col("size") < level)
+    return [Group([lang], written.where(F.col("part") == k).drop("part").unionByName(short), order, k, parts) for k in range(parts)]
 
 
 def _calibrate(model: Identifier, words: DataFrame, labelled: DataFrame, calibrated: int) -> None:
-    languages = model.languages
+    languages, places = model.languages, model.places
     sums = np.zeros((len(languages), 3))
-    for group in model.groups:
-        shared = words.sparkSession.sparkContext.broadcast(group)
-        for lang, *values in words.where(F.col("lang").isin(group.languages)).mapInArrow(_own_fit(shared), "lang string, n double, s double, q double").groupBy("lang").agg(F.sum("n"), F.sum("s"), F.sum("q")).collect():
-            sums[languages.index(lang)] = values
+    for k, group in enumerate(model.groups):
+        shared = words.sparkSession.sparkContext.broadcast(model.model(k))
+        if group.part == 0:
+            own = words.where(F.col("lang").isin(group.languages)).select("lang", "word", "n", F.lit(0.0).alias("cost"))
+        if group.part < group.parts - 1:
+            own = checkpoint(own.mapInArrow(_own_cost(shared), "lang string, word string, n long, cost double"))
+        else:
+            for lang, *values in own.mapInArrow(_own_fit(shared), "lang string, n double, s double, q double").groupBy("lang").agg(F.sum("n"), F.sum("s"), F.sum("q")).collect():
+                sums[languages.index(lang)] = values
         shared.unpersist()
     n = np.maximum(sums[:, 0], 1)
     model.mean = sums[:, 1] / n
@@ -346,13 +423,14 @@ def _calibrate(model: Identifier, words: DataFrame, labelled: DataFrame, calibra
     share = min(1.0, calibrated / max(labelled.count(), 1))
     sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     place = {lang: k for k, lang in enumerate(languages)}
+    judge = Identifier([], model.mean, model.spread)
 
     def finish(costs: list, lang: str):
-        rate, characters, own_words = _rates(costs)
+        rate, characters, own_words = _rates(costs, places)
         if rate is None:
             return None, None
         k = place[lang]
-        return model.misfit(k, rate[k], own_words), [float(np.log(max(model.posterior(rate, characters, h)[k], 1e-12))) for h in HALVES]
+        return judge.misfit(k, rate[k], own_words), [float(np.log(max(judge.posterior(rate, characters, h)[k], 1e-12))) for h in HALVES]
 
     fields = [("misfit", "double", pa.float64()), ("likelihood", "array<double>", pa.list_(pa.float64()))]
     found = checkpoint(_scored(sample, model, fields, finish, ["lang"]).select("lang", "misfit", "likelihood").where("misfit is not null"))
@@ -365,8 +443,19 @@ def _calibrate(model: Identifier, words: DataFrame, labelled: DataFrame, calibra
         model.half = HALVES[max(likelihood, key=lambda k: (likelihood[k], -k))]
 
 
+def _own_cost(shared):
+    """Add what one part of a language takes of each word to its ``cost``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cost, _ = shared.value.score(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(batch.column(3).to_numpy() + cost[:, 0])], names=["lang", "word", "n", "cost"])
+
+    return run
+
+
 def _own_fit(shared):
-    """Sums over words of their weight, and of the cross-entropy per character in their own language and its square."""
+    """Sums over words of their weight, and of the cross-entropy per character in their own language and its square; ``cost`` is what the parts before took."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -377,7 +466,7 @@ def _own_fit(shared):
                 cost, length = own.score(batch.column(1).to_pylist())
                 k = np.array([place[x] for x in batch.column(0).to_pylist()])
                 n = batch.column(2).to_numpy()
-                rate = cost[np.arange(len(k)), k] / length
+                rate = (batch.column(3).to_numpy() + cost[np.arange(len(k)), k]) / length
                 for c, v in enumerate((n, n * rate, n * rate * rate)):
                     sums[:, c] += np.bincount(k, weights=v, minlength=len(own.languages))
         yield pa.RecordBatch.from_arrays([pa.array(own.languages, pa.string()), *[pa.array(sums[:, c]) for c in range(3)]], names=["lang", "n", "s", "q"])
@@ -385,18 +474,20 @@ def _own_fit(shared):
     return run
 
 
-def _rates(costs: list) -> tuple[np.ndarray | None, float, float]:
-    """Cross-entropy of a text per character in each language, its characters and its words, from the sums of each group."""
-    rate = np.concatenate([np.asarray(c[:-2]) for c in costs])
+def _rates(costs: list, places: list[list[int]]) -> tuple[np.ndarray | None, float, float]:
+    """Cross-entropy of a text per character in each language, its characters and its words, from the sums of each group at its ``places``."""
+    total = np.zeros(1 + max((k for at in places for k in at), default=-1))
+    for cost, at in zip(costs, places, strict=True):
+        total[at] += cost[:-2]
     characters, words = costs[0][-2], costs[0][-1]
-    return (rate / characters, characters, words) if words and len(rate) else (None, 0.0, 0.0)
+    return (total / characters, characters, words) if words and len(total) else (None, 0.0, 0.0)
 
 
 def _scored(docs: DataFrame, model: Identifier, fields: list, finish: Callable[..., tuple], inputs: list[str] = [], cache: int = 200_000) -> DataFrame:  # noqa: B006
     """Add what ``finish`` makes of a text's costs, one group of languages after another; between groups a checkpoint, so that one model is held at a time."""
     names = [f"__costs{k}" for k in range(len(model.groups) - 1)]
-    for k, group in enumerate(model.groups):
-        shared = docs.sparkSession.sparkContext.broadcast(group)
+    for k in range(len(model.groups)):
+        shared = docs.sparkSession.sparkContext.broadcast(model.model(k))
 
         def make(k=k, shared=shared):
             scores = _Scores(shared.value, cache)
@@ -424,11 +515,11 @@ def identify(docs: DataFrame, model: Identifier, cache: int = 200_000) -> DataFr
     task keeps at most ``cache`` scored tokens, of ``HELD_BYTES`` together. Repeated rows are judged
     alike; other columns pass through, but those named like the results are replaced.
     """
-    languages = model.languages
+    languages, places = model.languages, model.places
     judge = Identifier([], model.mean, model.spread, model.limit, model.half)
 
     def finish(costs: list) -> tuple:
-        rate, characters, words = _rates(costs)
+        rate, characters, words = _rates(costs, places)
         if rate is None:
             return "und", 0.0, None, True
         best = int(np.argmin(rate))
@@ -446,10 +537,10 @@ class _Scores:
     """Costs in each language, characters and words of the tokens seen so far."""
 
     def __init__(self, model: Model, cache: int):
-        self.model, self.cache = model, cache
+        self.model, self.cache = model, max(min(cache, SCORES_BYTES // (8 * (len(model.languages) + 2))), 1)
         self.known: dict[bytes, int] = {}
         self.held = 0
-        self.table = np.zeros((cache, len(model.languages) + 2))
+        self.table = np.zeros((self.cache, len(model.languages) + 2))
 
     def parts(self, tokens: list[bytes]) -> Iterator[list[bytes]]:
         """Tokens in lists that fit in the table."""

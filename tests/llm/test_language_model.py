@@ -83,12 +83,25 @@ def test_groups_of_languages_judge_alike(spark):
     assert langid.identify(asked.limit(0), one).count() == 0
 
 
-def test_a_model_too_large_leaves_out_rare_n_grams(spark):
-    docs = spark.createDataFrame([("x", "abcd " * 50 + "efgh ijkl mnop")], TRAIN)
-    model = langid.train(docs, model_bytes=24 * 30)
-    assert sum(len(k) for k in model.groups[0].keys) <= 30
-    cost, _ = model.score(["abcd", "zzzz"])
-    assert cost[0, 0] < cost[1, 0]
+@pytest.mark.parametrize(("order", "most"), [(4, 3000), (3, 500), (2, 60)])
+def test_a_large_language_comes_in_parts_that_add_up(spark, order, most):
+    rng = random.Random(5)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(n))
+    texts = [("x", text("abcdefghé", 200)) for _ in range(10)] + [("y", text("mnop", 5)), ("z", "q")]
+    docs = spark.createDataFrame(texts, TRAIN)
+    whole, parts = langid.train(docs, order=order), langid.train(docs, order=order, model_bytes=24 * most)
+    large = [g for g in parts.groups if g.languages == ["x"]]
+    assert len(whole.groups) == 1 and 1 < len(large) < 10 and sorted(parts.languages) == whole.languages
+    count = lambda model: sum(len(k) for k in model.keys)
+    assert sum(count(g.load()) for g in large) >= count(langid.Group(["x"], whole.groups[0].rows.where("lang = 'x'"), order).load())
+    asked = ["abcd", "a", "zzzz", "éé", "mnop", "q", "abqé", "abcdefgh" * 20]
+    (cost, length), (again, as_long) = whole.score(asked), parts.score(asked)
+    order_of = [parts.languages.index(x) for x in whole.languages]
+    assert np.allclose(cost, again[:, order_of], rtol=1e-5) and length.tolist() == as_long.tolist() == [len(w) + 1 for w in asked]
+    assert np.allclose(whole.mean, parts.mean[order_of], rtol=1e-4) and np.allclose(whole.spread, parts.spread[order_of], rtol=1e-3) and whole.half == parts.half
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)] + [(90, None), (91, ""), (92, "1 2"), (93, "abc mnop q 你好")], "doc_id long, text string")
+    found = lambda m: sorted((r.doc_id, r.lang_pred, round(r.score, 4), r.rejected) for r in langid.identify(rows, m).collect())
+    assert found(whole) == found(parts)
 
 
 def test_rejection_lowers_the_score(spark):
