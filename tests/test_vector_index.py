@@ -126,3 +126,20 @@ def test_recall_of_the_query(spark):
     vectors = {r.vec_id: r.embedding for r in rows}
     want = brute(vectors, {i: v for i, v in vectors.items() if i % 20 == 0}, 10)
     assert recall(found_by(catalog.QUERIES["vector_index_topk"](spark, folder)), want) >= 0.9
+
+
+@pytest.mark.parametrize(("rows", "far"), [(16_384, 0.0), (60, 0.0), (60, 1e6)])
+def test_links_and_classes_without_pairs(spark, monkeypatch, rows, far):
+    """Links of all cells and blocks, copies among them, against all pairs."""
+    monkeypatch.setattr(search, "NEAR_ROWS", rows)
+    monkeypatch.setattr(search, "HELD", 500)
+    x = np.random.default_rng(1).normal(size=(400, 8)) + far
+    x[300:330] = x[5]  # copies
+    near = np.linalg.norm(x[:, None] - x[None], axis=2) < 1.5
+    np.fill_diagonal(near, False)
+    label = np.arange(400)
+    while (label != (new := np.minimum(label, np.where(near, label, 400).min(axis=1)))).any():
+        label = new
+    odd = {9001: None, 9002: np.full(8, np.nan)}
+    got = {r.id: (r.n_links, r.component) for r in search.near_links(as_rows(spark, {**dict(enumerate(x)), **odd}, "id long, vector array<double>"), 1.5).collect()}
+    assert len(set(label)) > 20 and got == {**{i: (near[i].sum(), label[i]) for i in range(400)}, 9001: (0, 9001), 9002: (0, 9002)}
