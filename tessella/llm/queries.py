@@ -28,8 +28,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 3, 1)
-    model = langid.train(docs.where(~out))
-    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return langid.learn_and_identify(docs.select("doc_id", "text", "lang"), ~out).select("doc_id", out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
