@@ -221,7 +221,7 @@ class VectorIndex:
                     if c in by_cell:
                         own = batch.filter(pa.array(cells == c))
                         held = best.setdefault(c, search.Best(len(by_cell[c]), k, own.schema.field(0)))
-                        held.add(_near(asked[by_cell[c]], own.column(2), centres[c], scale), own.column(0))
+                        held.scan(own, key, lambda part, c=c: _near(asked[by_cell[c]], part.column(2), centres[c], scale))
             for c, held in best.items():
                 found = held.result()
                 yield from _named(found, aimed.column("query_id").take(pa.array(by_cell[c])), key, c)
@@ -243,8 +243,8 @@ class VectorIndex:
             cell = (table if table.num_rows else asked).column("cell")[0].as_py()
             if table.num_rows and asked.num_rows:
                 unit = search.matrix(asked.column("vector"))
-                for batch in table.to_batches(max_chunksize=8192):
-                    best.add(_near(unit, batch.column("code"), centres[cell], scale), batch.column(key))
+                for batch in table.to_batches():
+                    best.scan(batch, key, lambda part: _near(unit, part.column("code"), centres[cell], scale))
             return pa.Table.from_batches(_named(best.result(), asked.column("query_id"), key, cell)) if best.held else pa.table({"query_id": asked.column("query_id").slice(0, 0), key: table.column(key).slice(0, 0), "cell": pa.array([], pa.int32()), "near": pa.array([], pa.float64())})
 
         return left.groupBy("cell", "g", "h").cogroup(right.groupBy("cell", "g", "h")).applyInArrow(run, schema)

@@ -143,3 +143,42 @@ def test_links_and_classes_without_pairs(spark, monkeypatch, rows, far):
     odd = {9001: None, 9002: np.full(8, np.nan)}
     got = {r.id: (r.n_links, r.component) for r in search.near_links(as_rows(spark, {**dict(enumerate(x)), **odd}, "id long, vector array<double>"), 1.5).collect()}
     assert len(set(label)) > 20 and got == {**{i: (near[i].sum(), label[i]) for i in range(400)}, 9001: (0, 9001), 9002: (0, 9002)}
+
+
+def arrow(vectors, key="id"):
+    import pyarrow as pa
+
+    return pa.table({key: pa.array(list(vectors), pa.int64()), "vector": pa.array([v.tolist() for v in vectors.values()], pa.list_(pa.float64()))})
+
+
+def test_batch_search_holds_few_scores(monkeypatch):
+    """A task holds some rows' scores at a time, however many rows a batch or a group has."""
+    monkeypatch.setattr(search, "HELD", 4000)
+    add = search.Best.add
+
+    def small(self, scores, *others):
+        assert scores.size <= 4000
+        return add(self, scores, *others)
+
+    monkeypatch.setattr(search.Best, "add", small)
+    vectors = dict(enumerate(clustered(500).astype(np.float64)))
+    queries = {i: vectors[i] for i in range(0, 500, 2)}
+    rows, asked, want = arrow(vectors), arrow(queries, "query_id"), brute(vectors, queries, 3)
+    for found in (list(search._best_of(asked, 3, "id")(iter(rows.to_batches()))), search._best_of_groups(3, "id")(rows, asked).to_batches()):
+        got = {}
+        for r in (r for batch in found for r in batch.to_pylist()):
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert got == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_links_of_a_block_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(search, "HELD", 500)
+    x = np.random.default_rng(2).normal(size=(200, 8))
+    near = np.linalg.norm(x[:, None] - x[None], axis=2) < 2
+    np.fill_diagonal(near, False)
+    named = lambda part: arrow(dict(part)).rename_columns(["__key", "__vector"])
+    every = list(enumerate(x))
+    own, across = (search._linked(2.0, "id")(*t).to_pylist() for t in (((0, 0, 0, 0), named(every), named(every)), ((0, 0, 1, 0), named(every[:90]), named(every[90:]))))
+    assert {r["id"]: r["n"] for r in own} == {i: n for i, n in enumerate(near.sum(axis=1)) if n}
+    near[:90, :90] = near[90:, 90:] = False
+    assert {r["id"]: r["n"] for r in across} == {i: n for i, n in enumerate(near.sum(axis=1)) if n}
