@@ -34,11 +34,11 @@ def delete_doc_chunks(g):
 
 @query("SELECT kind, 0::BIGINT AS remaining FROM (VALUES ('chunks'), ('nodes'), ('edges')) v(kind)")
 def verify_deletion(g):
-    gone = _gone(g)
+    gone, nodes = _gone(g), graph.merge_nodes(g.node_mentions(), typed=False)
     left = {
         "chunks": kv.delete(g.chunks(), gone.withColumnRenamed("chunk_id", "id")).select(F.col("id").alias("chunk_id")),
-        "nodes": graph.delete_document(g.nodes(), gone, ["id"]).select(F.explode("source_ids").alias("chunk_id")),
-        "edges": graph.delete_document(g.edges(), gone, ["lo", "hi"]).select(F.explode("source_ids").alias("chunk_id")),
+        "nodes": graph.delete_document(nodes.select("id", "source_ids"), gone, ["id"]).select(F.explode("source_ids").alias("chunk_id")),
+        "edges": graph.delete_document(g.edges().select("lo", "hi", "source_ids"), gone, ["lo", "hi"]).select(F.explode("source_ids").alias("chunk_id")),
     }
     counts = [df.join(gone, "chunk_id", "left_semi").agg(F.count("*").alias("remaining")).select(F.lit(kind).alias("kind"), "remaining") for kind, df in left.items()]
     return counts[0].unionAll(counts[1]).unionAll(counts[2])

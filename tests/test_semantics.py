@@ -151,3 +151,26 @@ def test_windows_cover_all_tokens(lengths, size, overlap):
     for n in lengths:
         starts = range(0, n, size - overlap)
         assert set(range(n)) == {i for s in starts for i in range(s, min(s + size, n))}
+
+
+def test_texts_of_mentions_are_those_of_merged_items(spark):
+    """One shuffle less than by way of the merged table; repeated, missing and unknown chunks count alike."""
+    from tessella.operators import graph
+
+    rows = [("a", "c2"), ("a", "c1"), ("a", "c2"), ("b", None), ("c", "c9"), ("c", "c1"), ("c", None)]
+    mentions = spark.createDataFrame(rows, "id string, chunk_id string")
+    chunks = spark.createDataFrame([("c1", "one"), ("c2", "two"), ("c3", "no")], "id string, content string")
+    merged = mentions.groupBy("id").agg(graph.F.sort_array(graph.F.collect_set("chunk_id")).alias("source_ids"))
+    texts = lambda df: {r.id: r.content for r in df.collect()}
+    found = graph.mentions_with_text(mentions, chunks, ["id"])
+    assert texts(found) == texts(graph.with_text(merged, chunks, ["id"])) == {"a": "one; two", "b": "", "c": "one"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_deletion_from_keys_alone_joins_nothing_back(spark):
+    from tessella.operators import graph
+
+    items = spark.createDataFrame([("a", ["c1", "c2"]), ("b", ["c1"])], "id string, source_ids array<string>")
+    left = graph.delete_document(items, spark.createDataFrame([("c1",)], "chunk_id string"), ["id"])
+    assert [tuple(r) for r in left.collect()] == [("a", ["c2"])]
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
