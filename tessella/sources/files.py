@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.schemas import GRAPHML_EDGE, GRAPHML_NODE
@@ -29,11 +29,28 @@ def _attributes(df: DataFrame, keys: dict[str, str]) -> list:
     return [F.trim(F.replace(F.coalesce(F.try_element_at(table, F.lit(k)), F.lit("")), F.lit('"'), F.lit(""))).alias(name) for k, name in keys.items()]
 
 
+def _broken(line: Column) -> Column:
+    """Whether a line of GraphML has a begin or end of nodes or edges, or a comment or verbatim text, and is not one whole element."""
+    begins, ends = F.regexp_count(line, F.lit(r"<(?:node|edge)(?:[\s/>]|$)")), F.regexp_count(line, F.lit(r"</(?:node|edge)(?:[\s>]|$)"))
+    aside = line.contains("<!--") | line.contains("<![CDATA[")
+    long = (ends == 1) & line.rlike(r"^\s*<(?:node|edge)[\s>]") & line.rlike(r"</(?:node|edge)>\s*$")
+    short = (ends == 0) & line.rlike(r"^\s*<(?:node|edge)(?:\s[^<>]*)?/>\s*$")
+    return aside | ((begins + ends > 0) & ~((begins == 1) & (long | short)))
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a GraphML file; quotes are taken off, a missing weight is 0, missing text empty."""
+    """Nodes and edges of a GraphML file; quotes are taken off, a missing weight is 0, missing text empty.
+
+    A document in which each element has a line of its own, as :func:`sinks.write_graphml` writes it,
+    is read by many tasks, after a pass that makes sure of it; any other by one task a file.
+    """
     bare = lambda c: F.replace(F.col(c), F.lit('"'), F.lit(""))
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(GRAPHML_NODE).load(path)
-    edges = spark.read.format("xml").option("rowTag", "edge").schema(GRAPHML_EDGE).load(path)
+    lines = spark.read.text(path)
+    if lines.where(_broken(F.col("value"))).isEmpty():
+        every = lambda tag, schema: lines.where(F.col("value").rlike(rf"^\s*<{tag}[\s/>]")).select(F.from_xml("value", schema, {"rowTag": tag}).alias("x")).select("x.*")
+    else:
+        every = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    nodes, edges = every("node", GRAPHML_NODE), every("edge", GRAPHML_EDGE)
     edges = edges.select(bare("_source").alias("src"), bare("_target").alias("tgt"), *_attributes(edges, EDGE_KEYS))
     return nodes.select(bare("_id").alias("id"), *_attributes(nodes, NODE_KEYS)), edges.withColumn("weight", F.coalesce(F.col("weight").try_cast("double"), F.lit(0.0)))
 

@@ -43,6 +43,31 @@ def test_graphml_is_one_document_that_reads_back(spark, tmp_path):
     assert sorted((r.src, r.tgt, r.weight, r.keywords) for r in e.collect()) == [("A", "B", 1.5, "k"), ("A", "C\nC", 0.0, "")]
 
 
+def test_graphml_is_read_by_many_tasks(spark, tmp_path):
+    """Elements that have lines of their own are dealt out, whatever their texts hold; others are read all the same."""
+    odd = "a > b\r\n\u2028 </node> <!-- " + "x" * 100_000
+    nodes = spark.createDataFrame([(f"n{i}", "T", odd if i == 3 else "plain", ["c"]) for i in range(400)], "id string, entity_type string, description string, source_ids array<string>")
+    edges = nodes.select(graph_end("id").alias("lo"), F.col("id").alias("hi"), F.lit(1.0).alias("weight"), "description", F.lit("k").alias("keywords"), "source_ids")
+    path = str(tmp_path / "g.graphml")
+    sinks.write_graphml(nodes, edges, path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for frame, name in zip(files.read_graphml(spark, path), ("id", "tgt"), strict=True):
+            assert frame.rdd.getNumPartitions() > 5
+            assert {r[name]: r.description for r in frame.collect()} == {f"n{i}": odd if i == 3 else "plain" for i in range(400)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    foreign = tmp_path / "f.graphml"
+    foreign.write_text('<graphml><graph>\n<!--\n<node id="no"/>\n-->\n<node id="a">\n <data key="d0">T</data>\n</node><node id="b"/>\n<edge source="a"\n target="b"/>\n</graph></graphml>')
+    n, e = files.read_graphml(spark, str(foreign))
+    assert sorted((r.id, r.entity_type) for r in n.collect()) == [("a", "T"), ("b", "")] and [(r.src, r.tgt, r.weight) for r in e.collect()] == [("a", "b", 0.0)]
+
+
+def graph_end(name):
+    return F.concat(F.lit("m"), F.col(name))
+
+
 def test_graphml_of_an_empty_graph(spark, tmp_path):
     nodes = spark.createDataFrame([], "id string, entity_type string, description string, source_ids array<string>")
     edges = spark.createDataFrame([], "lo string, hi string, weight double, description string, keywords string, source_ids array<string>")
