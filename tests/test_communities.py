@@ -90,3 +90,29 @@ def test_clear_groups_and_odd_tables(spark):
     found = {r.id: r.community for r in communities.louvain(table.repartition(3, "hi")).collect()}
     assert found == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x", "q": "q"}
     assert communities.louvain(spark.createDataFrame([], KIND)).count() == 0
+
+
+def shuffled(spark):
+    """Rows that all stages so far wrote to shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rounds_leave_the_links_where_they_are(spark):
+    edges = planted(3, 40, 0.9, 0.4, 2)
+    table = spark.createDataFrame(edges, KIND)
+    before = shuffled(spark)
+    assert communities.louvain(table, rounds=3, levels=1).count() == 120
+    assert shuffled(spark) - before < 2 * len(edges) + 40 * 120
+
+
+def test_parts_do_not_change_the_communities(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(a, b, rng.randint(1, 9) / 2) for a, b, _ in planted(4, 10, 0.6, 0.1, 4)] + [("n000", "n000", 2.5), ("lone", "lone", 1.0)]
+    table = spark.createDataFrame(edges, KIND)
+    one = sorted(map(tuple, communities.louvain(table, rounds=3, levels=2).collect()))
+    monkeypatch.setattr(communities, "MOST_LINKS", 100)
+    assert sorted(map(tuple, communities.louvain(table, rounds=3, levels=2).collect())) == one
+    assert ("lone", "lone") in one and not [t for t in spark.catalog.listTables() if t.name.startswith("louvain_")]
+    assert spark.conf.get(communities.ALL_KEYS) == "true"
