@@ -116,3 +116,49 @@ def test_parts_do_not_change_the_communities(spark, monkeypatch):
     assert sorted(map(tuple, communities.louvain(table, rounds=3, levels=2).collect())) == one
     assert ("lone", "lone") in one and not [t for t in spark.catalog.listTables() if t.name.startswith("louvain_")]
     assert spark.conf.get(communities.ALL_KEYS) == "true"
+
+
+def gains_left(edges, of):
+    """Modularity that the best move of a node, and the best union of two linked communities, would still add."""
+    total, links, k, between, tot = 2 * sum(w for *_, w in edges), {}, {}, {}, {}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            k[x], tot[of[x]] = k.get(x, 0) + w, tot.get(of[x], 0) + w
+            if a != b:
+                links.setdefault(x, {})[of[y]] = links.setdefault(x, {}).get(of[y], 0) + w
+                between[of[x], of[y]] = between.get((of[x], of[y]), 0) + w
+    move = lambda n, c: links[n].get(c, 0) - k[n] * (tot[c] - k[n] * (c == of[n])) / total
+    nodes = max(move(n, c) - move(n, of[n]) for n in links for c in links[n])
+    unions = [w - tot[c] * tot[d] / total for (c, d), w in between.items() if c != d]
+    return 2 * nodes / total, 2 * max(unions, default=0.0) / total
+
+
+def test_levels_and_rounds_go_on_until_nothing_gains(spark):
+    edges = [(f"n{i:03d}", f"n{i + 1:03d}", 1.0) for i in range(60)]  # a path, whose gains are alike everywhere
+    found = {r.id: r.community for r in communities.louvain(spark.createDataFrame(edges, KIND)).collect()}
+    assert gains_left(edges, found)[1] < 1e-7
+    assert plain_modularity(edges, found) >= plain_modularity(edges, plain_louvain(edges)) - 0.02
+
+
+def test_one_level_ends_where_no_node_gains(spark):
+    edges = planted(5, 12, 0.4, 0.2, 6)
+    found = {r.id: r.community for r in communities.louvain(spark.createDataFrame(edges, KIND), levels=1).collect()}
+    assert gains_left(edges, found)[0] < 1e-7
+
+
+def test_late_rounds_find_what_a_new_count_finds(spark, monkeypatch):
+    edges = planted(5, 12, 0.4, 0.2, 6)
+    found = []
+    for many in (1_000_000, 0):
+        monkeypatch.setattr(communities, "MANY_LINKS", many)
+        found.append(sorted(map(tuple, communities.louvain(spark.createDataFrame(edges, KIND), levels=1).collect())))
+    assert found[0] == found[1]
+
+
+def test_the_query_leaves_no_union_that_gains(spark, sf):
+    from tessella.plans import bindings, catalog
+
+    edges = [tuple(r) for r in bindings.Graph(spark, sf).edges().select("lo", "hi", "weight").collect()]
+    found = {r.id: r.community for r in catalog.QUERIES["louvain_communities"](spark, sf).collect()}
+    assert gains_left(edges, found)[1] < 1e-7
+    assert plain_modularity(edges, found) >= plain_modularity(edges, plain_louvain(edges)) - 0.01
