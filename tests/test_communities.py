@@ -153,3 +153,32 @@ def test_the_query_leaves_no_union_that_gains(spark, sf):
     found = {r.id: r.community for r in catalog.QUERIES["louvain_communities"](spark, sf).collect()}
     assert gains_left(edges, found)[1] < 1e-7
     assert plain_modularity(edges, found) >= plain_modularity(edges, plain_louvain(edges)) - 0.01
+
+
+def test_few_communities_are_settled_by_one_task(spark, monkeypatch):
+    edges = planted(4, 12, 0.5, 0.1, 7) + [("n000", "n000", 2.0), ("lone", "lone", 1.0)] + [(f"p{i:03d}", f"p{i + 1:03d}", 0.5) for i in range(40)]
+    levels, settled, table = [], communities._settled, spark.createDataFrame(edges, KIND)
+    monkeypatch.setattr(communities, "_settled", lambda *args: levels.append(1) or settled(*args))
+    found = {r.id: r.community for r in communities.louvain(table).collect()}
+    assert len(levels) == 1 and set(found) == {n for e in edges for n in e[:2]} and found["lone"] == "lone"
+    assert gains_left([e for e in edges if e[0] != "lone"], found)[1] < 1e-7
+    assert plain_modularity(edges, found) >= plain_modularity(edges, plain_louvain(edges)) - 0.02
+    assert found == {r.id: r.community for r in communities.louvain(table.repartition(5, "hi")).collect()}
+    monkeypatch.setattr(communities, "LAST_LINKS", -1)  # all levels in rounds
+    rounds = {r.id: r.community for r in communities.louvain(table).collect()}
+    assert len(levels) > 3 and set(rounds) == set(found) and gains_left([e for e in edges if e[0] != "lone"], rounds)[1] < 1e-7
+    assert plain_modularity(edges, rounds) >= plain_modularity(edges, plain_louvain(edges)) - 0.02
+
+
+def test_last_levels_are_those_of_a_plain_louvain():
+    import pandas as pd
+
+    edges = planted(4, 12, 0.5, 0.1, 8) + [("n000", "n000", 2.0), ("a", "a", 1.0)]
+    rows = pd.DataFrame(edges, columns=["src", "dst", "w"])
+    for frames in ([rows], [rows.iloc[::-1], rows.iloc[:0]]):
+        (found,) = communities._last_levels(None)(iter(frames))
+        (first,) = communities._last_levels(1)(iter(frames))
+        (none,) = communities._last_levels(0)(iter(frames))
+        assert gains_left(edges[:-1], dict(zip(found.id, found.c, strict=True)))[1] < 1e-7
+        assert plain_modularity(edges, dict(zip(found.id, found.c, strict=True))) >= plain_modularity(edges, plain_louvain(edges)) - 1e-9
+        assert gains_left(edges[:-1], dict(zip(first.id, first.c, strict=True)))[0] < 1e-7 and list(none.id) == list(none.c) == sorted({n for e in edges for n in e[:2]})
