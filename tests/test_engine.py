@@ -68,6 +68,24 @@ def graph_end(name):
     return F.concat(F.lit("m"), F.col(name))
 
 
+def test_graphml_lies_on_disk_once(spark, tmp_path, monkeypatch):
+    """While the parts are joined, all files together are hardly larger than the document."""
+    nodes = spark.range(4000).select(F.concat(F.lit("n"), "id").alias("id"), F.lit("T").alias("entity_type"), F.repeat(F.lit("x"), 200).alias("description"), F.array(F.lit("c")).alias("source_ids"))
+    edges = nodes.select(F.col("id").alias("lo"), graph_end("id").alias("hi"), F.lit(1.0).alias("weight"), "description", F.lit("k").alias("keywords"), "source_ids")
+    held, copy = [], sinks.shutil.copyfileobj
+
+    def watched(*args):
+        copy(*args)
+        args[1].flush()
+        held.append(sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()))
+
+    monkeypatch.setattr(sinks.shutil, "copyfileobj", watched)
+    sinks.write_graphml(nodes.repartition(8), edges.repartition(8), str(tmp_path / "g.graphml"))
+    assert len(held) == 17 and max(held) < 1.2 * (tmp_path / "g.graphml").stat().st_size
+    n, e = files.read_graphml(spark, str(tmp_path / "g.graphml"))
+    assert n.count() == e.count() == 4000
+
+
 def test_graphml_of_an_empty_graph(spark, tmp_path):
     nodes = spark.createDataFrame([], "id string, entity_type string, description string, source_ids array<string>")
     edges = spark.createDataFrame([], "lo string, hi string, weight double, description string, keywords string, source_ids array<string>")
