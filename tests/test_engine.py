@@ -1,6 +1,7 @@
 """Files, tables, streaming and the engine class."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tessella import hooks
 from tessella.api import GraphRetrieval, QueryParam
 from tessella.functions.limits import Limits
-from tessella.operators import chunking
+from tessella.operators import chunking, graph
 from tessella.sources import files, sinks
 from tessella.streaming import ingest
 
@@ -86,6 +87,24 @@ def test_graphml_lies_on_disk_once(spark, tmp_path, monkeypatch):
     assert n.count() == e.count() == 4000
 
 
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for name in (blocks.apply(i).name() for i in range(blocks.size())) if name.startswith("shuffle_")}
+
+
+def test_graphml_leaves_no_shuffle_files(spark, tmp_path):
+    mentions = spark.range(2000).select((F.col("id") % 300).cast("string").alias("name"), F.lit("T").alias("entity_type"), F.lit("d").alias("description"), F.col("id").cast("string").alias("chunk_id"), F.col("id").alias("pos"))
+    links = mentions.select(F.col("name").alias("src"), F.col("chunk_id").alias("tgt"), F.lit(1.0).alias("weight"), "description", F.lit("k").alias("keywords"), "chunk_id")
+    before = shuffle_files(spark)
+    sinks.write_graphml(graph.merge_nodes(mentions), graph.merge_edges(links), str(tmp_path / "g.graphml"))
+    until = time.monotonic() + 20  # Spark deletes them in the background
+    while (left := shuffle_files(spark) - before) and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(sinks.CLEANUP) == "false"
+    n, e = files.read_graphml(spark, str(tmp_path / "g.graphml"))
+    assert n.count() == 300 and e.count() == len({tuple(sorted((str(i % 300), str(i)))) for i in range(2000)})
+
+
 def test_graphml_of_an_empty_graph(spark, tmp_path):
     nodes = spark.createDataFrame([], "id string, entity_type string, description string, source_ids array<string>")
     edges = spark.createDataFrame([], "lo string, hi string, weight double, description string, keywords string, source_ids array<string>")
