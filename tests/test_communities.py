@@ -172,13 +172,12 @@ def test_few_communities_are_settled_by_one_task(spark, monkeypatch):
 
 def test_last_levels_are_those_of_a_plain_louvain():
     import pandas as pd
+    import pyarrow as pa
 
     edges = planted(4, 12, 0.5, 0.1, 8) + [("n000", "n000", 2.0), ("a", "a", 1.0)]
     rows = pd.DataFrame(edges, columns=["src", "dst", "w"])
-    for frames in ([rows], [rows.iloc[::-1], rows.iloc[:0]]):
-        (found,) = communities._last_levels(None)(iter(frames))
-        (first,) = communities._last_levels(1)(iter(frames))
-        (none,) = communities._last_levels(0)(iter(frames))
-        assert gains_left(edges[:-1], dict(zip(found.id, found.c, strict=True)))[1] < 1e-7
-        assert plain_modularity(edges, dict(zip(found.id, found.c, strict=True))) >= plain_modularity(edges, plain_louvain(edges)) - 1e-9
-        assert gains_left(edges[:-1], dict(zip(first.id, first.c, strict=True)))[0] < 1e-7 and list(none.id) == list(none.c) == sorted({n for e in edges for n in e[:2]})
+    for frames in ([rows], [rows.iloc[:0:-1], rows.iloc[:1]]):
+        done = lambda levels, frames=frames: dict(zip(*next(communities._last_levels(levels)(pa.RecordBatch.from_pandas(f, preserve_index=False) for f in frames)).to_pydict().values(), strict=True))
+        assert gains_left(edges[:-1], done(None))[1] < 1e-7
+        assert plain_modularity(edges, done(None)) >= plain_modularity(edges, plain_louvain(edges)) - 1e-9
+        assert gains_left(edges[:-1], done(1))[0] < 1e-7 and done(0) == {n: n for e in edges for n in e[:2]}
